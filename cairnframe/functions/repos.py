@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import safe_path_part, strip, strip_slashes
+from .text import let, safe_path_part, strip, strip_slashes
 
 # Hosts whose SSH service speaks for the main host, and the messages.
 SSH_HOSTS = ("ssh.github.com", "altssh.github.com")
@@ -19,18 +19,21 @@ _URL = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)"
 
 
 def normalize_repo_url(raw: Column) -> Column:
-    """STRUCT(url, error): ``host/owner/repo`` from a URL, ``user@host:path`` or ``host/owner/repo``.
+    """STRUCT(host, owner, repo, url, error): ``host/owner/repo`` from a URL, ``user@host:path`` or ``host/owner/repo``.
 
     The host is lower-cased, outer slashes and one ``.git`` are dropped, and the
     SSH hosts become the main host, with a leading ``443`` segment removed.
     """
-    text = strip(raw)
+    return let(strip(raw), lambda text: let(_host_and_path(text), _owner_and_repo))
+
+
+def _host_and_path(text: Column) -> Column:
+    """STRUCT(host, path, error) of a trimmed address in one of the three forms."""
     is_url = text.contains("://")
     after_at = F.regexp_replace(text, "^.*@", "")
-    is_scp = ~is_url & text.contains("@") & after_at.contains(":")
-    bare = F.split(strip_slashes(text), "/")
-    is_bare = ~is_url & ~is_scp & (F.size(bare) >= 3)
-
+    is_scp = text.contains("@") & after_at.contains(":")
+    bare = strip_slashes(text)
+    is_bare = F.size(F.split(bare, "/")) >= 3
     authority = F.regexp_replace(F.regexp_extract(text, _URL, 2), "^.*@", "")
     url_host = F.when(authority.startswith("["), F.regexp_extract(authority, r"^\[([^\]]*)\]", 1)).otherwise(
         F.regexp_replace(authority, ":[0-9]*$", "")
@@ -38,41 +41,54 @@ def normalize_repo_url(raw: Column) -> Column:
     host = (
         F.when(is_url, url_host)
         .when(is_scp, F.substring_index(after_at, ":", 1))
-        .when(is_bare, F.get(bare, F.lit(0)))
+        .when(is_bare, F.substring_index(bare, "/", 1))
     )
     path = (
         F.when(is_url, F.regexp_extract(text, _URL, 3))
         .when(is_scp, F.regexp_replace(after_at, "^[^:]*:", ""))
-        .when(is_bare, F.regexp_replace(strip_slashes(text), "^[^/]*/", ""))
-    )
-    host = F.lower(strip(host))
-    via_ssh = host.isin(*SSH_HOSTS)
-    host = F.when(via_ssh, F.lit(MAIN_HOST)).otherwise(host)
-    parts = F.split(F.regexp_replace(strip_slashes(path), r"\.git$", ""), "/")
-    parts = F.when(via_ssh & (F.size(parts) == 3) & (F.get(parts, F.lit(0)) == "443"), F.slice(parts, 2, 2)).otherwise(
-        parts
+        .when(is_bare, F.regexp_replace(bare, "^[^/]*/", ""))
     )
-    owner, repo = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
-    good = (F.size(parts) == 2) & (owner != "") & (repo != "")
     error = (
         F.when(F.coalesce(text, F.lit("")) == "", F.lit(REPO_REQUIRED))
         .when(is_url & ~text.rlike(_URL), F.lit(REPO_BAD_URL))
         .when(is_url & (authority == ""), F.lit(REPO_HOST_REQUIRED))
         .when(~is_url & ~is_scp & ~is_bare, F.lit(REPO_BAD_URL))
-        .when(~good, F.lit(REPO_BAD_PATH))
     )
-    return F.struct(F.when(error.isNull(), F.concat_ws("/", host, owner, repo)).alias("url"), error.alias("error"))
+    return F.struct(F.lower(strip(host)).alias("host"), path.alias("path"), error.alias("error"))
+
+
+def _owner_and_repo(address: Column) -> Column:
+    """STRUCT(host, owner, repo, url, error) of a host and path."""
+    via_ssh = address["host"].isin(*SSH_HOSTS)
+    host = F.when(via_ssh, F.lit(MAIN_HOST)).otherwise(address["host"])
+    named = F.regexp_replace(strip_slashes(address["path"]), r"\.git$", "")
+    port_first = via_ssh & named.rlike("^443/[^/]*/[^/]*$")
+    named = F.when(port_first, F.regexp_replace(named, "^443/", "")).otherwise(named)
+    error = F.coalesce(
+        address["error"], F.when(~F.coalesce(named.rlike("^[^/]+/[^/]+$"), F.lit(False)), F.lit(REPO_BAD_PATH))
+    )
+    return let(
+        F.struct(host.alias("host"), named.alias("named"), error.alias("error")),
+        lambda a: F.struct(
+            *[
+                F.when(a["error"].isNull(), value).alias(name)
+                for name, value in (
+                    ("host", a["host"]),
+                    ("owner", F.substring_index(a["named"], "/", 1)),
+                    ("repo", F.substring_index(a["named"], "/", -1)),
+                    ("url", F.concat_ws("/", a["host"], a["named"])),
+                )
+            ],
+            a["error"].alias("error"),
+        ),
+    )
 
 
 def repo_identity(raw: Column) -> Column:
-    """STRUCT(host, owner, repo, url) of a repository address; NULL fields when it is invalid."""
-    normalized = normalize_repo_url(raw)["url"]
-    parts = F.split(normalized, "/")
-    return F.struct(
-        F.get(parts, F.lit(0)).alias("host"),
-        F.get(parts, F.lit(1)).alias("owner"),
-        F.get(parts, F.lit(2)).alias("repo"),
-        F.concat(F.lit("https://"), normalized).alias("url"),
+    """STRUCT(host, owner, repo, url, error) of a repository address; url is the web address."""
+    return let(
+        normalize_repo_url(raw),
+        lambda a: F.struct(a["host"], a["owner"], a["repo"], F.concat(F.lit("https://"), a["url"]).alias("url"), a["error"]),
     )
 
 

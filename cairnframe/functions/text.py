@@ -9,6 +9,15 @@ from pyspark.sql import functions as F
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    The optimiser writes out an expression at every place that uses it; a
+    lambda variable keeps long ones (parsed JSON, split addresses) single.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(col: Column) -> Column:
     """Remove leading and trailing white space of any kind (``trim`` removes blanks only)."""
     return F.btrim(col, F.lit(WHITE_SPACE))

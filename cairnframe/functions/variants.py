@@ -6,15 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once per row.
-
-    A filter that mentions an expression twice computes it twice; a lambda
-    variable holds the parsed JSON instead.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def kind(value: Column) -> Column:
     """JSON kind of a VARIANT: object, array, string, boolean, integer, number, null; NULL when absent."""
     shape = F.schema_of_variant(value)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import variants
-from ..functions.text import is_uuid
+from ..functions.text import is_uuid, let
 from ..functions.vectors import check_metric, norm
 from . import mutations
 
@@ -136,7 +136,7 @@ def payload_filter(points: DataFrame, must: Mapping[str, object] | None, promote
     def all_match(payload: Column) -> Column:
         return reduce(and_, [_condition(payload, key, must[key]) for key in json_keys])
 
-    return points.filter(variants.let(F.try_parse_json("payload"), all_match))
+    return points.filter(let(F.try_parse_json("payload"), all_match))
 
 
 def decode_payload(points: DataFrame) -> DataFrame:

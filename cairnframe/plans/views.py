@@ -225,3 +225,50 @@ SELECT p_partkey AS file_id, concat(CASE WHEN p_partkey % 9 = 0 THEN 'version 2'
 FROM part
 """,
 )
+
+# ---------------------------------------------------------------- configuration documents
+
+view(
+    "docs",
+    """
+SELECT CASE c_custkey % 4 WHEN 0 THEN 'explorer' WHEN 1 THEN 'nav' WHEN 2 THEN 'file_summary' ELSE 'projects' END AS config_type,
+       CASE WHEN c_custkey % 4 = 3 AND c_custkey % 29 <> 0 THEN concat(n_name, '/', replace(c_name, '#', '_')) ELSE replace(c_name, '#', '_') END AS name,
+       c_custkey AS doc_key, c_mktsegment AS segment,
+       CASE WHEN c_custkey % 17 = 0 THEN '{broken' WHEN c_custkey % 37 = 0 THEN '' WHEN c_custkey % 41 = 0 THEN NULL ELSE
+       CASE c_custkey % 4
+       WHEN 0 THEN concat('{"sharedFilters":{"defined":{"seg":[{"index":"part","field":"p_brand"},{"index":"file","field":"', lower(c_mktsegment), '"}]}},"explorerConfig":[',
+         '{"tabTitle":', CASE WHEN c_custkey % 13 = 0 THEN '5' ELSE concat('"Tab ', c_mktsegment, '"') END,
+         ',"guppyConfig":{"dataType":"file","nodeCountTitle":"Files","manifestMapping":{"resourceIdField":"id"}},"filters":{"tabs":[{"title":"Main","fields":["segment","', n_name, '"],',
+         '"fieldsConfig":{"segment":{"label":"Segment","type":"enum"', CASE WHEN c_custkey % 11 = 0 THEN ',"surprise":1' ELSE '' END, '}}},{"fields":["nation"]}]},',
+         '"table":{"enabled":true,"fields":["name","balance"],"columns":{"name":{"field":"name","title":"Name of ', replace(c_name, '#', '_'), '","type":"string"},',
+         '"balance":{"field":"balance","title":"Balance","type":"","sortable":', CASE WHEN c_custkey % 3 = 0 THEN 'true' ELSE 'false' END, '}},"detailsConfig":{}},',
+         '"preFilters":{"segment":["', c_mktsegment, '"]}}',
+         CASE WHEN c_custkey % 5 = 0 THEN ',{"tabTitle":"Second","filters":{"tabs":[]},"table":{"enabled":false,"fields":null}}' ELSE '' END,
+         '],"fileActions":{"extensions":{"tiff":["view","', lower(c_mktsegment), '"],"default":["download"]},"actions":{"view":"open"}}}')
+       WHEN 1 THEN concat('{"headerProps":{"topBar":{"items":[]},"navigation":{"items":[],"title":"', n_name, '","classNames":null},"leftnav":[',
+         CASE WHEN c_custkey % 3 = 0 THEN '{"title":"Home","description":"","icon":"i","href":"/","perms":null}' ELSE '' END, ']},"footerProps":{',
+         CASE WHEN c_custkey % 5 = 0 THEN '' ELSE concat('"rightSection":{"columns":[{"heading":"h","rows":[{"Text":{"text":"', c_mktsegment, '"}},',
+           CASE WHEN c_custkey % 7 = 0 THEN '{"Icon":{"logo":"l"},"Text":{}}' WHEN c_custkey % 11 = 0 THEN '{"Odd":1}' ELSE '{"Link":{"text":"t","href":"/x"}}' END,
+           ',{"Section":{"columns":[{"rows":[{"Text":{"text":"inner"}},{"Links":{"links":[]}}]}]}}]}]},') END,
+         '"basePage":', CASE WHEN c_custkey % 13 = 0 THEN '"yes"' ELSE 'true' END, '},"headerMetadata":{"title":"t","content":"c","key":"k"}}')
+       WHEN 2 THEN concat('{"config":{', CASE WHEN c_custkey % 5 = 0 THEN '' ELSE concat('"', lower(c_mktsegment), '":{"field":"size","title":"Size"}') END,
+         '},"barChartColor":"blue","defaultProject":"', n_name, '","binslicePoints":[0,1048576,524288000,1073741824,107374182400,',
+         CASE WHEN c_custkey % 13 = 0 THEN '"many"' ELSE '9007199254740991' END, '],"idField":"id","index":"file"', CASE WHEN c_custkey % 11 = 0 THEN ',"extra":[]' ELSE '' END, '}')
+       ELSE concat('{"title":', CASE WHEN c_custkey % 13 = 0 THEN '7' WHEN c_custkey % 19 = 0 THEN '"  "' ELSE concat('" T', CAST(c_custkey AS STRING), ' "') END,
+         ',"contact_email":"', CASE c_custkey % 5 WHEN 0 THEN 'nobody' WHEN 1 THEN 'Ann B <ann@b.org>' ELSE 'a.b@c.org' END, '","src_repo":"',
+         CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN concat('https://github.com/', n_name, '/r', CAST(c_custkey AS STRING), '.git') ELSE 'bad' END,
+         '","org_title":"', c_mktsegment, '",', CASE WHEN c_custkey % 23 = 0 THEN '' ELSE '"description":" d ",' END, '"project_title":" ', c_mktsegment, ' "',
+         CASE WHEN c_custkey % 11 = 0 THEN ',"surprise":1' ELSE '' END, '}')
+       END END AS content
+FROM customer JOIN nation ON c_nationkey = n_nationkey
+""",
+)
+# Names asked for: every document, and as many that do not exist or have an odd type.
+view(
+    "doc_asks",
+    """
+SELECT config_type, name FROM docs
+UNION ALL SELECT CASE WHEN o_orderstatus = 'F' THEN '' WHEN o_orderstatus = 'P' THEN 'weird' ELSE 'nav' END,
+                 CASE WHEN o_orderpriority = '1-URGENT' THEN '' ELSE concat('Customer_', lpad(CAST(o_custkey AS STRING), 9, '0')) END FROM orders
+""",
+)
