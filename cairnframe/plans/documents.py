@@ -225,13 +225,15 @@ def c_validate_init(t):
     return dc.validate_projects(_projects(t), require_repo=False).select(*_VALIDATED)
 
 
-_REPO_URL = """CASE project_key % 7 WHEN 0 THEN NULL WHEN 6 THEN NULL ELSE concat('github.com/', organization, '/r', CAST(project_key AS VARCHAR)) END"""
+_OWNER = "CASE WHEN project_key % 7 = 2 THEN segment ELSE organization END"
+_VALID_REPO = "project_key % 7 NOT IN (0, 6)"
+_REPO_URL = f"'github.com/' || {_OWNER} || '/r' || project_key"
 
 
 @query(
     "c_repo_url",
     f"""
-SELECT project_id, CASE WHEN organization LIKE '% %' AND project_key % 7 IN (1, 3) THEN {_REPO_URL} ELSE {_REPO_URL} END AS url,
+SELECT project_id, CASE WHEN {_VALID_REPO} THEN {_REPO_URL} END AS url,
        CASE project_key % 7 WHEN 0 THEN 'src_repo is required' WHEN 6 THEN 'invalid src_repo URL' END AS error FROM projects
 """,
 )
@@ -243,11 +245,9 @@ def c_repo_url(t):
 @query(
     "c_identity",
     f"""
-SELECT project_id, CASE WHEN project_key % 7 NOT IN (0, 6) THEN 'github.com' END AS repo_host,
-       CASE WHEN project_key % 7 NOT IN (0, 6) THEN organization END AS repo_owner,
-       CASE WHEN project_key % 7 NOT IN (0, 6) THEN concat('r', CAST(project_key AS VARCHAR)) END AS repo_name,
-       concat('https://', CASE WHEN project_key % 7 NOT IN (0, 6) THEN {_REPO_URL} ELSE NULL END) AS repo_url_text FROM projects
-""".replace("concat('https://', CASE", "'https://' || (CASE").replace("AS repo_url_text", "AS repo_url"),
+SELECT project_id, CASE WHEN {_VALID_REPO} THEN 'github.com' END AS repo_host, CASE WHEN {_VALID_REPO} THEN {_OWNER} END AS repo_owner,
+       CASE WHEN {_VALID_REPO} THEN 'r' || project_key END AS repo_name, CASE WHEN {_VALID_REPO} THEN 'https://' || {_REPO_URL} END AS repo_url FROM projects
+""",
 )
 def c_identity(t):
     found = dc.repository_identities(t["projects"].select("project_id", "src_repo"))

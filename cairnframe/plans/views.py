@@ -70,7 +70,7 @@ SELECT c_custkey AS project_key, concat(n_name, '/', replace(c_name, '#', '_'))
        replace(c_name, '#', '_') AS project, concat('/programs/', n_name, '/projects/', replace(c_name, '#', '_')) AS resource_path,
        c_mktsegment AS segment,
        CASE c_custkey % 7 WHEN 0 THEN '' WHEN 1 THEN concat('https://GitHub.com/', n_name, '/r', CAST(c_custkey AS STRING), '.git')
-            WHEN 2 THEN concat('git@github.com:', n_name, '/r', CAST(c_custkey AS STRING), '.git')
+            WHEN 2 THEN concat('git@github.com:', c_mktsegment, '/r', CAST(c_custkey AS STRING), '.git')
             WHEN 3 THEN concat('ssh://git@ssh.github.com:443/', n_name, '/r', CAST(c_custkey AS STRING))
             WHEN 4 THEN concat(' github.com/', n_name, '/r', CAST(c_custkey AS STRING), '/ ')
             WHEN 5 THEN concat('git@altssh.github.com:443/', n_name, '/r', CAST(c_custkey AS STRING))
@@ -85,6 +85,9 @@ SELECT project_id, 'github.com' AS repo_host, organization AS repo_owner,
        concat(CASE WHEN project_key % 11 = 0 THEN 'old' ELSE 'r' END, CAST(project_key AS STRING)) AS repo_name,
        CASE WHEN project_key % 5 = 0 THEN CAST(project_key AS BIGINT) END AS installation_id,
        CASE WHEN project_key % 10 < 5 THEN organization END AS installation_target,
+       CASE WHEN project_key % 10 < 5 THEN 'Organization' END AS installation_target_type,
+       concat('/data/github.com/', organization, '/r', CAST(project_key AS STRING), '.git') AS mirror_path,
+       CASE WHEN project_key % 4 = 1 THEN TIMESTAMP '2024-01-01 00:00:00' END AS last_refreshed_at,
        CASE project_key % 4 WHEN 0 THEN 'never_synced' WHEN 1 THEN 'ready' WHEN 2 THEN '' ELSE 'error' END AS sync_state,
        CASE WHEN project_key % 4 = 1 THEN 'main' END AS default_branch,
        CASE WHEN project_key % 4 = 3 THEN 'fetch failed' END AS last_error
@@ -272,3 +275,52 @@ UNION ALL SELECT CASE WHEN o_orderstatus = 'F' THEN '' WHEN o_orderstatus = 'P'
                  CASE WHEN o_orderpriority = '1-URGENT' THEN '' ELSE concat('Customer_', lpad(CAST(o_custkey AS STRING), 9, '0')) END FROM orders
 """,
 )
+
+# ---------------------------------------------------------------- reconciliation inputs
+
+view(
+    "org_state",
+    "SELECT organization, installed, installation_id, organization AS installation_target, 'Organization' AS installation_target_type, html_url, repository_selection FROM orgs",
+)
+view(
+    "installs",
+    """
+SELECT DISTINCT organization, segment AS owner,
+       CASE WHEN segment = 'BUILDING' THEN 404 WHEN segment = 'AUTOMOBILE' AND organization LIKE '%7' THEN 500 ELSE 200 END AS status_code,
+       organization LIKE '%1%' AND segment = 'HOUSEHOLD' AS installed, CAST(7 AS BIGINT) AS installation_id, segment AS installation_target,
+       'Organization' AS installation_target_type, 'https://github.com/apps/x' AS html_url, 'selected' AS repository_selection FROM projects
+UNION ALL SELECT organization, organization, 200, installed, installation_id, installation_target, installation_target_type, html_url, repository_selection FROM org_state
+""",
+)
+view(
+    "probes",
+    """
+SELECT project_id, CASE project_key % 6 WHEN 0 THEN 403 WHEN 1 THEN 404 WHEN 2 THEN 502 ELSE 200 END AS token_status, project_key % 4 <> 1 AS metadata_ok FROM projects
+""",
+)
+view(
+    "upload_sessions",
+    """
+SELECT o_orderkey AS id, concat(n_name, '/', replace(c_name, '#', '_')) AS project_id, 'main' AS base_branch,
+       CASE o_orderstatus WHEN 'F' THEN 'finalized' WHEN 'O' THEN 'ready_for_pr' ELSE 'pending_upload' END AS status,
+       o_orderdate AS created_at, o_orderdate AS updated_at
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+""",
+)
+view(
+    "installation_repos",
+    """
+SELECT o.installation_id, concat(p.organization, '/R', CAST(p.project_key AS STRING)) AS full_name,
+       CASE WHEN p.segment = 'BUILDING' THEN ' ' WHEN p.segment = 'MACHINERY' THEN 'nonsense' ELSE concat('https://github.com/', p.organization, '/r', CAST(p.project_key AS STRING), '.git') END AS clone_url,
+       CASE WHEN p.project_key % 2 = 0 THEN '' ELSE concat('https://github.com/', p.organization, '/page', CAST(p.project_key AS STRING)) END AS html_url
+FROM projects p JOIN orgs o ON o.organization = p.organization AND o.installed
+""",
+)
+view(
+    "bind_requests",
+    """
+SELECT CASE WHEN project_key % 31 = 0 THEN concat(project_id, '-gone') ELSE project_id END AS project_id, project_key,
+       CASE project_key % 5 WHEN 0 THEN ' ' WHEN 1 THEN 'none/here' ELSE concat(' ', lower(organization), '/r', CAST(project_key AS STRING)) END AS repository_full_name
+FROM projects
+""",
+)
