@@ -324,3 +324,26 @@ SELECT CASE WHEN project_key % 31 = 0 THEN concat(project_id, '-gone') ELSE proj
 FROM projects
 """,
 )
+
+# ---------------------------------------------------------------- uploads
+
+view(
+    "upload_files",
+    """
+SELECT l_orderkey AS session_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS BIGINT) AS ordinal,
+       concat('r', CAST(l_orderkey % 3 AS STRING)) AS repo,
+       CASE WHEN l_partkey % 43 = 0 THEN '  ' ELSE concat(' part-', CAST(l_partkey % 20 AS STRING), CASE WHEN l_partkey % 41 = 0 THEN '/x' ELSE '.tsv' END) END AS raw_name,
+       CASE WHEN l_orderkey % 2 = 0 THEN ' /data/ ' ELSE '' END AS subdirectory, CAST(l_quantity AS BIGINT) AS size,
+       CASE WHEN l_returnflag <> 'R' THEN upper(concat(' abc', CAST(l_partkey AS STRING))) END AS checksum,
+       CASE WHEN l_linestatus = 'O' THEN concat('drs-', CAST(l_partkey AS STRING)) ELSE ' ' END AS drs_object_id
+FROM lineitem
+""",
+)
+view(
+    "base_tree",
+    """
+SELECT DISTINCT concat('r', CAST(p_size % 5 AS STRING)) AS repo,
+       concat(CASE WHEN p_type = 'ECONOMY' THEN 'data/' ELSE '' END, 'part-', CAST(p_partkey % 20 AS STRING), '.tsv', CASE WHEN p_size > 40 THEN '/inner' ELSE '' END) AS path
+FROM part WHERE p_brand = 'Brand#2'
+""",
+)
