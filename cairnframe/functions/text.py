@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The white space that trimming removes at both ends.
@@ -18,6 +18,15 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def barrier(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``withColumn`` for an expensive value that later filters must not compute again.
+
+    A filter on a plain column moves below it and takes the whole expression
+    along; it does not move below a generator.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def strip(col: Column) -> Column:
     """Remove leading and trailing white space of any kind (``trim`` removes blanks only)."""
     return F.btrim(col, F.lit(WHITE_SPACE))
@@ -99,17 +108,27 @@ def normalize_resource_path(resource: Column) -> Column:
     """Trim; keep only the path of a URL; one leading slash, none trailing; empty stays empty.
 
     A value whose URL form has no path (``https://host``, ``a:b``) or cannot be
-    decoded keeps its whole text, as the access snapshot's own rule does.
+    decoded keeps its whole text. Plain paths, nearly all values, skip the URL
+    rules.
     """
+
+    def absolute(path: Column) -> Column:
+        inner = strip_slashes(path)
+        return F.when(inner == "", F.lit("")).otherwise(F.concat(F.lit("/"), inner))
+
     text = strip(resource)
+    plain = text.rlike("^/([^/?#%:][^?#%:]*)?$")
+    return F.when(plain, absolute(text)).otherwise(let(text, lambda t: absolute(_url_path(t))))
+
+
+def _url_path(text: Column) -> Column:
+    """Decoded path of a URL or relative reference, or the text itself when it has none."""
     bare = F.regexp_replace(text, r"[?#].*$", "")
-    has_scheme = bare.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:")
-    opaque = has_scheme & ~bare.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:/") | (~has_scheme & bare.rlike(r"^[^/]*:"))
+    # A scheme without a slash after it, or a colon in the first segment: no path at all.
+    opaque = bare.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:(?!/)") | bare.rlike(r"^(?![A-Za-z][A-Za-z0-9+.\-]*:)[^/]*:")
     path = F.regexp_replace(bare, r"^([A-Za-z][A-Za-z0-9+.\-]*:)?(//[^/]*)?", "")
     decoded = F.when(path.contains("%"), F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))).otherwise(path)
-    chosen = F.when(opaque, text).otherwise(F.coalesce(F.nullif(decoded, F.lit("")), text))
-    inner = strip_slashes(chosen)
-    return F.when(inner == "", F.lit("")).otherwise(F.concat(F.lit("/"), inner))
+    return F.when(opaque, text).otherwise(F.coalesce(F.nullif(decoded, F.lit("")), text))
 
 
 def path_escape(col: Column) -> Column:

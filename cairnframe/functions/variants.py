@@ -20,6 +20,10 @@ def kind(value: Column) -> Column:
     )
 
 
+def is_object(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+
+
 def member(value: Column, path: str) -> Column:
     """Nested VARIANT at a JSON path such as ``$.a.b``; NULL when absent."""
     return F.try_variant_get(value, path, "variant")
@@ -37,5 +41,5 @@ def as_map(value: Column) -> Column:
 
 def text_or(value: Column, path: str, default: str) -> Column:
     """Text at the path when it really is a JSON string, else the default."""
-    node = member(value, path)
-    return F.when(kind(node) == "string", F.try_variant_get(node, "$", "string")).otherwise(F.lit(default))
+    is_text = F.schema_of_variant(member(value, path)) == "STRING"
+    return F.when(is_text, F.try_variant_get(value, path, "string")).otherwise(F.lit(default))

@@ -45,7 +45,7 @@ def explode_grants(snapshots: DataFrame) -> DataFrame:
     """
     per_resource = _snapshot_blocks(snapshots).select("user_id", F.explode("_access").alias("resource", "_entries"))
     entries = per_resource.select("user_id", "resource", F.explode(variants.as_array(F.col("_entries"))).alias("_entry"))
-    return entries.filter(variants.kind(F.col("_entry")) == "object").select(
+    return entries.filter(variants.is_object(F.col("_entry"))).select(
         "user_id",
         "resource",
         variants.text_or(F.col("_entry"), "$.method", "").alias("method"),

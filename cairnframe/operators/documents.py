@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions import variants
 from ..functions.grants import project_path
 from ..functions.repos import normalize_repo_url, repo_identity, requested_repo_url
-from ..functions.text import blank_to_null, first_non_blank, let, path_escape, strip
+from ..functions.text import barrier, blank_to_null, first_non_blank, let, path_escape, strip
 from ..schemas import (
     CONFIG_TYPES,
     DEFAULT_ID,
@@ -151,7 +151,7 @@ def strict_parse(documents: DataFrame, schema: T.StructType, column: str = "cont
     with exact case.
     """
     found = f"CASE WHEN doc IS NOT NULL THEN array_sort(array_distinct({_problems('doc', schema, '')})) END"
-    checked = documents.withColumn("problems", F.expr(_let(f"try_parse_json(`{column}`)", "doc", found)))
+    checked = barrier(documents, "problems", F.expr(_let(f"try_parse_json(`{column}`)", "doc", found)))
     first = F.get("problems", F.lit(0))
     error = (
         F.when(F.col(column).isNull(), "empty_request_body")
@@ -185,7 +185,9 @@ def decode(documents: DataFrame, config_type: str) -> DataFrame:
     schema = DOCUMENT_SCHEMAS[config_type]
     rows = strict_parse(documents.filter(F.col("config_type") == config_type), schema)
     readable = ~F.exists("problems", lambda p: p["problem"] != "unknown_field")
-    return rows.select("name", F.when(readable, F.from_json("content", schema)).alias("doc"))
+    return barrier(rows.select("name", "problems", "content"), "doc", F.when(readable, F.from_json("content", schema))).select(
+        "name", "doc"
+    )
 
 
 # ---------------------------------------------------------------- encoding

@@ -18,10 +18,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import let
 from ..functions.vectors import HIGHER_IS_BETTER, best_first, check_metric, norm, passes_threshold, score_literal
 
-# A query table up to this size is sent to every task; a larger one is shuffled in blocks.
+# A query table (and a table of excluded pairs) up to this size is sent to every task;
+# a larger one is shuffled in blocks.
 BROADCAST_BYTES = 64 << 20
+PAIR_BYTES = 64
 # Points of one shuffled block, and queries of one shuffled block, in bytes of DOUBLE vectors.
 BLOCK_BYTES = 64 << 20
 # A table of block counts up to this many cells (12 bytes each) is broadcast.
@@ -214,58 +217,62 @@ def knn_join(
 
     ``points`` has ``id, vector`` and ``queries`` has unique ``query_id`` with
     ``vector``; ``exclude`` lists ``(query_id, id)`` pairs left out before
-    ranking. Vectors of another length than the query's are never matched.
+    ranking. All vectors have the length of the first point's; queries of
+    another length get no rows.
 
-    The measured size of the query table (and exclusions) decides the plan: up
-    to ``broadcast_bytes`` it goes to every task and points are not shuffled;
+    The size of the query table (and exclusions) decides the plan: up to
+    ``broadcast_bytes`` it goes to every task and points are not shuffled;
     beyond that both sides are cut into blocks of at most ``block_bytes`` and
     every (query block, point block) is one group of bounded size.
     """
     check_metric(metric)
     wanted = offset + k
     points = points.select("id", "vector")
-    queries = queries.select("query_id", "vector").filter("vector IS NOT NULL")
-    if exclude is not None:
-        exclude = exclude.select("query_id", "id").distinct()
-    size = queries.agg(F.count(F.lit(1)), F.min(F.size("vector")), F.max(F.size("vector"))).first()
-    n_queries, min_dim, max_dim = size
-    if n_queries and min_dim != max_dim:
-        raise ValueError("query vectors differ in length")
-    dim = max_dim or 0
-    points = points.filter(F.size("vector") == dim)
-    n_excluded = exclude.count() if exclude is not None else 0
-    if n_queries * dim * 8 + n_excluded * 64 <= broadcast_bytes:
-        partial = _broadcast_top(points, queries, exclude, wanted, metric)
+    first = points.filter("vector IS NOT NULL").select(F.size("vector")).first()
+    dim = first[0] if first else 0
+    same_length = F.size("vector") == dim
+    points = points.filter(same_length)
+    queries = queries.select("query_id", "vector").filter(same_length)
+    pairs = None if exclude is None else exclude.select("query_id", "id").distinct()
+    small_queries = _rows_up_to(queries, broadcast_bytes // (8 * max(dim, 1)))
+    small_pairs = None if pairs is None else _rows_up_to(pairs, broadcast_bytes // PAIR_BYTES)
+    if small_queries is not None and (pairs is None or small_pairs is not None):
+        partial = _broadcast_top(points, queries, small_queries, small_pairs, wanted, metric)
     else:
-        rows_per_block = max(1, block_bytes // (8 * dim))
+        one_cell = F.lit(0)
         partial = _blocked_top(
-            points.withColumn("cell", F.lit(0)),
-            queries.withColumn("cell", F.lit(0)),
-            exclude.withColumn("cell", F.lit(0)) if exclude is not None else None,
+            points.withColumn("cell", one_cell),
+            queries.withColumn("cell", one_cell),
+            None if pairs is None else pairs.withColumn("cell", one_cell),
             wanted,
             metric,
-            rows_per_block,
+            max(1, block_bytes // (8 * max(dim, 1))),
         )
     if threshold is not None:
         partial = partial.filter(passes_threshold(F.col("score"), threshold, metric))
     return rank_per_query(partial, wanted, metric).filter(F.col("rank") > offset)
 
 
+def _rows_up_to(df: DataFrame, limit: int) -> pa.Table | None:
+    """The rows when there are at most ``limit``, else None; reads no more than ``limit + 1``."""
+    table = df.limit(limit + 1).toArrow()
+    return table if table.num_rows <= limit else None
+
+
 def rank_per_query(scored: DataFrame, limit: int, metric: str = "Cosine") -> DataFrame:
     """Add ``rank`` and keep the ``limit`` best per query; limited per task before the shuffle."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(best_first("score", metric), F.col("id")))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= limit).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-def _broadcast_top(points, queries, exclude, k, metric) -> DataFrame:
+def _broadcast_top(points, queries, table: pa.Table, pairs: pa.Table | None, k, metric) -> DataFrame:
+    """Top ``k`` per query and task, with the query table (its rows in ``table``) sent to every task."""
     result = _result_type(points, queries)
     schema = _arrow_schema(result)
-    table = queries.toArrow()  # size checked by the caller
     query_ids = table.column("query_id").to_pylist()
     matrix = _matrix(table.column("vector")) if query_ids else np.empty((0, 1))
     hidden = {}
-    if exclude is not None:
-        pairs = exclude.toArrow()  # size checked by the caller
+    if pairs is not None:
         hidden = _excluded_rows(zip(pairs["query_id"].to_pylist(), pairs["id"].to_pylist()), query_ids)
     shared = points.sparkSession.sparkContext.broadcast((query_ids, matrix, hidden))
 
@@ -368,8 +375,7 @@ def recommend_targets(points: DataFrame, inputs: DataFrame, metric: str = "Cosin
     """
     vector = F.col("vector").cast("array<double>")
     if metric == "Cosine":
-        length = norm(vector)
-        vector = F.when(length == 0, vector).otherwise(F.transform(vector, lambda x: x / length))
+        vector = let(vector, lambda v: let(norm(v), lambda n: F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n))))
     stored = points.select("id", vector.alias("vector"))
     joined = inputs.join(stored, "id", "left")
     state = joined.groupBy("request_id").agg(

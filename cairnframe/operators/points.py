@@ -143,9 +143,8 @@ def decode_payload(points: DataFrame) -> DataFrame:
     """Top-level payload entries as rows ``id, key, kind, value`` (value as JSON text, NULL for null)."""
     entries = F.explode(variants.as_map(F.try_parse_json("payload"))).alias("key", "node")
     rows = points.select("id", entries)
-    kind = variants.kind(F.col("node"))
-    return rows.select(
-        "id", "key", kind.alias("kind"), F.when(kind != "null", F.to_json("node")).alias("value")
+    return rows.select("id", "key", variants.kind(F.col("node")).alias("kind"), "node").select(
+        "id", "key", "kind", F.when(F.col("kind") != "null", F.to_json("node")).alias("value")
     )
 
 

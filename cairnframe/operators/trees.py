@@ -118,6 +118,7 @@ def ordered_refs(listing: DataFrame) -> DataFrame:
 
 # Where a bare name is looked for, in order.
 NAME_RULES = ("{}", "refs/{}", "refs/tags/{}", "refs/heads/{}", "refs/remotes/{}", "refs/remotes/{}/HEAD")
+FALLBACK_RANK = 10
 
 
 def resolve_refs(requests: DataFrame, refs: DataFrame) -> DataFrame:
@@ -127,32 +128,35 @@ def resolve_refs(requests: DataFrame, refs: DataFrame) -> DataFrame:
     for bare names, then among origin's branches; an unknown name falls back to
     HEAD. ``hash`` is NULL when not even HEAD exists.
     """
-    wanted = F.coalesce(F.nullif("requested", F.lit("")), F.nullif("default_branch", F.lit("")))
+    wanted = F.coalesce(F.nullif("requested", F.lit("")), F.nullif("default_branch", F.lit("")), F.lit(""))
+    asked = requests.select("request_id", "repo", wanted.alias("wanted"))
 
     def candidates(name: Column, rules, start: int) -> list[Column]:
         out = []
         for i, rule in enumerate(rules):
             before, after = rule.split("{}")
-            full = F.concat(F.lit(before), name, F.lit(after))
+            full = F.when(name != "", F.concat(F.lit(before), name, F.lit(after)))
             out.append(F.struct(F.lit(start + i).alias("rank"), full.alias("full_name"), _short(name).alias("resolved")))
         return out
 
     tried = F.array(
-        *candidates(wanted, (*NAME_RULES, _ORIGIN + "{}"), 0),
-        *candidates(F.lit("HEAD"), NAME_RULES, 10),
+        *candidates(F.col("wanted"), (*NAME_RULES, _ORIGIN + "{}"), 0),
+        *candidates(F.lit("HEAD"), NAME_RULES, FALLBACK_RANK),
     )
-    rows = requests.select("request_id", "repo", F.explode(tried).alias("c")).select("request_id", "repo", "c.*")
+    # Equal questions are answered once.
+    pairs = asked.select("repo", "wanted").distinct()
+    rows = pairs.select("repo", "wanted", F.explode(tried).alias("c")).select("repo", "wanted", "c.*")
     found = (
         rows.filter("full_name IS NOT NULL")
         .join(refs.groupBy("repo", "full_name").agg(F.min("hash").alias("hash")), ["repo", "full_name"])
-        .groupBy("request_id")
+        .groupBy("repo", "wanted")
         .agg(F.min_by(F.struct("rank", "resolved", "hash"), "rank").alias("best"))
     )
-    return requests.select("request_id").join(found, "request_id", "left").select(
+    return asked.join(found, ["repo", "wanted"], "left").select(
         "request_id",
         F.col("best.resolved").alias("resolved"),
         F.col("best.hash").alias("hash"),
-        F.coalesce(F.col("best.rank") >= 10, F.lit(False)).alias("fell_back"),
+        F.coalesce(F.col("best.rank") >= FALLBACK_RANK, F.lit(False)).alias("fell_back"),
     )
 
 

@@ -106,7 +106,7 @@ FROM projects
 view(
     "grants",
     """
-SELECT o_orderkey % 50 AS user_id, CASE WHEN o_orderkey % 97 = 0 THEN concat('/programs/', n_name)
+SELECT CAST(floor(o_orderkey / 300) AS BIGINT) AS user_id, CASE WHEN o_orderkey % 97 = 0 THEN concat('/programs/', n_name)
             WHEN o_orderkey % 89 = 0 THEN concat('/programs/', n_name, '/projects')
             WHEN o_orderkey % 1009 = 0 THEN '/programs'
             WHEN o_orderkey % 83 = 0 THEN concat('/organization/', n_name, '/project/', replace(c_name, '#', '_'))
@@ -123,14 +123,14 @@ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey =
 view(
     "access_asks",
     """
-SELECT event_id AS request_id, user_id % 50 AS user_id, project_id, organization, project, resource_path
+SELECT event_id AS request_id, CAST(floor(user_id / 3) AS BIGINT) AS user_id, project_id, organization, project, resource_path
 FROM events JOIN projects ON project_key = user_id
 """,
 )
 view(
     "route_requests",
     """
-SELECT event_id AS request_id, user_id % 50 AS user_id,
+SELECT event_id AS request_id, CAST(floor(user_id / 3) AS BIGINT) AS user_id,
        CASE event_type WHEN 'view' THEN 'GET' WHEN 'click' THEN 'GET' WHEN 'signup' THEN 'PUT' WHEN 'purchase' THEN 'DELETE' ELSE 'PATCH' END AS method,
        CASE event_id % 4 WHEN 0 THEN 'explorer' WHEN 1 THEN 'nav' WHEN 2 THEN '' ELSE 'project' END AS config_type,
        CASE WHEN event_id % 8 = 0 THEN 'bad' WHEN event_id % 15 = 0 THEN '' ELSE concat(organization, '-', project) END AS config_id,
