@@ -27,7 +27,7 @@ def upsert(base: DataFrame, batch: DataFrame, keys: Sequence[str], order: str |
     """Insert or replace whole rows by key; within one batch the last row by ``order`` wins."""
     latest = batch if order is None else latest_per_key(batch, keys, order)
     latest = latest.select(*base.columns)
-    return base.join(latest.select(*keys), list(keys), "left_anti").unionByName(latest)
+    return delete(base, latest, keys).unionByName(latest)
 
 
 def upsert_keeping(base: DataFrame, batch: DataFrame, keys: Sequence[str], keep_on_update: Sequence[str]) -> DataFrame:
@@ -49,7 +49,7 @@ def upsert_keeping(base: DataFrame, batch: DataFrame, keys: Sequence[str], keep_
 
 def delete(base: DataFrame, ids: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key is not listed; unknown keys are ignored."""
-    return base.join(ids.select(*keys).distinct(), list(keys), "left_anti")
+    return base.join(ids.select(*keys).distinct(), list(keys), "left_anti").select(*base.columns)
 
 
 def delete_flags(base: DataFrame, ids: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -62,9 +62,7 @@ def delete_flags(base: DataFrame, ids: DataFrame, keys: Sequence[str]) -> DataFr
 
 def replace_groups(base: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Replace all rows of the groups that occur in ``batch`` (a session's files, say)."""
-    keys = list(keys)
-    touched = batch.select(*keys).distinct()
-    return base.join(touched, keys, "left_anti").unionByName(batch.select(*base.columns))
+    return delete(base, batch, keys).unionByName(batch.select(*base.columns))
 
 
 def lookup(stored: DataFrame, ids: DataFrame, keys: Sequence[str]) -> DataFrame:

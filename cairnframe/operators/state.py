@@ -379,12 +379,11 @@ def new_repo_ids(ids: Column, before_text: Column) -> Column:
 def cascade_delete(tables: Mapping[str, DataFrame], project_ids: DataFrame) -> dict[str, DataFrame]:
     """Remaining ``files``, ``sessions`` and ``states`` after deleting projects with all that hangs on them."""
     gone = project_ids.select("project_id").distinct()
-    sessions = tables["sessions"]
-    gone_sessions = sessions.join(gone, "project_id", "left_semi").select(F.col("id").alias("session_id"))
+    gone_sessions = tables["sessions"].join(gone, "project_id", "left_semi").select(F.col("id").alias("session_id"))
     return {
-        "files": tables["files"].join(gone_sessions, "session_id", "left_anti"),
-        "sessions": sessions.join(gone, "project_id", "left_anti"),
-        "states": tables["states"].join(gone, "project_id", "left_anti"),
+        "files": mutations.delete(tables["files"], gone_sessions, ["session_id"]),
+        "sessions": mutations.delete(tables["sessions"], gone, ["project_id"]),
+        "states": mutations.delete(tables["states"], gone, ["project_id"]),
     }
 
 
