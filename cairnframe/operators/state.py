@@ -336,7 +336,7 @@ def close_pending(
             hit = hit & F.col("resolved_at").isNull()
     joined = pending.join(listed, on, "left").withColumn("_hit", hit)
     updated = {column: F.when(F.col("_hit"), now).otherwise(F.col(column))}
-    before = F.col("updated_at") if "updated_at" in pending.columns else F.lit(None).cast("timestamp")
+    before = F.col("updated_at") if "updated_at" in pending.columns else F.lit(None)
     updated["updated_at"] = F.when(F.col("_hit"), now).otherwise(before)
     return joined.withColumns(updated).drop("_hit", "_listed")
 

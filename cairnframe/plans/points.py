@@ -73,7 +73,7 @@ def v_delete(t):
     "v_get",
     f"""
 WITH asked AS (SELECT id FROM point_feed UNION SELECT id FROM raw_points)
-SELECT a.id, p.id IS NOT NULL AS found, p.payload, round(p.vector[1], 6) AS first_value,
+SELECT a.id, p.id IS NOT NULL AS found, p.payload, round(CAST(p.vector[1] AS DOUBLE), 6) AS first_value,
        CASE WHEN NOT regexp_matches(a.id, {UUID}) THEN 'invalid_uuid' WHEN p.id IS NULL THEN 'point_not_found' END AS error_type
 FROM asked a LEFT JOIN points p ON p.id = a.id
 """,

@@ -12,7 +12,7 @@ _LINKED = f"CASE WHEN {_VALID_REPO} THEN {_OWNER} END"
 
 
 def _now():
-    return F.expr(NOW)
+    return F.expr(NOW.replace("TIMESTAMP", "TIMESTAMP_NTZ"))
 
 
 @query(

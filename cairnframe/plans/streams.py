@@ -58,4 +58,5 @@ SELECT CAST(window_start AS TIMESTAMP) AS window_start, op, n FROM w WHERE windo
 def s_windows(t):
     path = shared_dir(t.spark)
     feed.run_available(feed.daily_counts(_changes(t)), path)
-    return t.spark.read.parquet(f"{path}/data")
+    counts = t.spark.read.parquet(f"{path}/data")
+    return counts.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

@@ -78,22 +78,20 @@ SELECT c_custkey AS project_key, concat(n_name, '/', replace(c_name, '#', '_'))
 FROM customer JOIN nation ON c_nationkey = n_nationkey
 """,
 )
-view(
-    "project_state",
-    """
+_PROJECT_STATE = """
 SELECT project_id, 'github.com' AS repo_host, organization AS repo_owner,
        concat(CASE WHEN project_key % 11 = 0 THEN 'old' ELSE 'r' END, CAST(project_key AS STRING)) AS repo_name,
        CASE WHEN project_key % 5 = 0 THEN CAST(project_key AS BIGINT) END AS installation_id,
        CASE WHEN project_key % 10 < 5 THEN organization END AS installation_target,
        CASE WHEN project_key % 10 < 5 THEN 'Organization' END AS installation_target_type,
        concat('/data/github.com/', organization, '/r', CAST(project_key AS STRING), '.git') AS mirror_path,
-       CASE WHEN project_key % 4 = 1 THEN TIMESTAMP '2024-01-01 00:00:00' END AS last_refreshed_at,
+       CASE WHEN project_key % 4 = 1 THEN TIMESTAMP_NTZ '2024-01-01 00:00:00' END AS last_refreshed_at,
        CASE project_key % 4 WHEN 0 THEN 'never_synced' WHEN 1 THEN 'ready' WHEN 2 THEN '' ELSE 'error' END AS sync_state,
        CASE WHEN project_key % 4 = 1 THEN 'main' END AS default_branch,
        CASE WHEN project_key % 4 = 3 THEN 'fetch failed' END AS last_error
 FROM projects WHERE segment <> 'BUILDING'
-""",
-)
+"""
+view("project_state", _PROJECT_STATE, _PROJECT_STATE.replace("TIMESTAMP_NTZ", "TIMESTAMP"))
 view(
     "bucket_resources",
     """
