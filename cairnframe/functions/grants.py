@@ -30,8 +30,7 @@ def project_path(organization: Column, project: Column) -> Column:
 
 def resource_org(normalized: Column) -> Column:
     """Organisation of a normalised ``/programs/<org>…`` path, else NULL."""
-    parts = F.split(normalized, "/")
-    return F.when(F.get(parts, F.lit(1)) == "programs", F.nullif(F.get(parts, F.lit(2)), F.lit("")))
+    return F.nullif(F.regexp_extract(normalized, "^/programs/([^/]+)", 1), F.lit(""))
 
 
 def admin_paths(organization: Column, project: Column) -> Column:

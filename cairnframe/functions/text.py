@@ -123,12 +123,19 @@ def normalize_resource_path(resource: Column) -> Column:
 
 def _url_path(text: Column) -> Column:
     """Decoded path of a URL or relative reference, or the text itself when it has none."""
-    bare = F.regexp_replace(text, r"[?#].*$", "")
-    # A scheme without a slash after it, or a colon in the first segment: no path at all.
-    opaque = bare.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:(?!/)") | bare.rlike(r"^(?![A-Za-z][A-Za-z0-9+.\-]*:)[^/]*:")
-    path = F.regexp_replace(bare, r"^([A-Za-z][A-Za-z0-9+.\-]*:)?(//[^/]*)?", "")
-    decoded = F.when(path.contains("%"), F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))).otherwise(path)
-    return F.when(opaque, text).otherwise(F.coalesce(F.nullif(decoded, F.lit("")), text))
+
+    def inside(bare: Column) -> Column:
+        # A scheme without a slash after it, or a colon in the first segment: no path at all.
+        opaque = bare.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:(?!/)") | bare.rlike(r"^(?![A-Za-z][A-Za-z0-9+.\-]*:)[^/]*:")
+        path = F.regexp_replace(bare, r"^([A-Za-z][A-Za-z0-9+.\-]*:)?(//[^/]*)?", "")
+        return F.when(opaque, text).otherwise(let(path, decoded))
+
+    def decoded(path: Column) -> Column:
+        plus_kept = F.replace(path, F.lit("+"), F.lit("%2B"))
+        plain = F.when(path.contains("%"), F.try_url_decode(plus_kept)).otherwise(path)
+        return F.coalesce(F.nullif(plain, F.lit("")), text)
+
+    return let(F.regexp_replace(text, r"[?#].*$", ""), inside)
 
 
 def path_escape(col: Column) -> Column:

@@ -24,16 +24,20 @@ from ..functions.grants import (
     project_path,
     resource_org,
 )
-from ..functions.text import normalize_resource_path
+from ..functions.text import barrier, let, normalize_resource_path
 
 
 def _snapshot_blocks(snapshots: DataFrame) -> DataFrame:
+    """``user_id`` with ``access``: resource → entries of the block that counts, NULL when there is none."""
     body = F.from_json("snapshot", "authz variant, project_access variant")
-    blocks = snapshots.withColumn("_body", body)
-    authz = variants.as_map(F.col("_body.authz"))
-    fallback = variants.as_map(F.col("_body.project_access"))
-    chosen = F.when(F.size(authz) > 0, authz).otherwise(fallback)
-    return blocks.withColumn("_access", chosen).drop("_body")
+
+    def blocks(b: Column) -> Column:
+        return F.struct(variants.as_map(b["authz"]).alias("authz"), variants.as_map(b["project_access"]).alias("older"))
+
+    def chosen(m: Column) -> Column:
+        return F.when(F.size(m["authz"]) > 0, m["authz"]).otherwise(m["older"])
+
+    return barrier(snapshots, "access", let(body, lambda b: let(blocks(b), chosen))).select("user_id", "access")
 
 
 def explode_grants(snapshots: DataFrame) -> DataFrame:
@@ -43,13 +47,13 @@ def explode_grants(snapshots: DataFrame) -> DataFrame:
     Values that are not lists and entries that are not objects are skipped; a
     missing or non-text method or service is empty.
     """
-    per_resource = _snapshot_blocks(snapshots).select("user_id", F.explode("_access").alias("resource", "_entries"))
-    entries = per_resource.select("user_id", "resource", F.explode(variants.as_array(F.col("_entries"))).alias("_entry"))
-    return entries.filter(variants.is_object(F.col("_entry"))).select(
+    per_resource = _snapshot_blocks(snapshots).select("user_id", F.explode_outer("access").alias("resource", "entries"))
+    entries = per_resource.select("user_id", "resource", F.explode(variants.as_array(F.col("entries"))).alias("entry"))
+    return entries.filter(variants.is_object(F.col("entry"))).select(
         "user_id",
         "resource",
-        variants.text_or(F.col("_entry"), "$.method", "").alias("method"),
-        variants.text_or(F.col("_entry"), "$.service", "").alias("service"),
+        variants.text_or(F.col("entry"), "$.method", "").alias("method"),
+        variants.text_or(F.col("entry"), "$.service", "").alias("service"),
     )
 
 
@@ -57,7 +61,7 @@ def snapshot_errors(snapshots: DataFrame) -> DataFrame:
     """``user_id, error`` for snapshots with neither block."""
     # Fixed value: the message.
     message = "authorization snapshot response did not include authz/project_access"
-    return _snapshot_blocks(snapshots).filter(F.col("_access").isNull()).select("user_id", F.lit(message).alias("error"))
+    return _snapshot_blocks(snapshots).filter(F.col("access").isNull()).select("user_id", F.lit(message).alias("error"))
 
 
 def allowed_resources(grants: DataFrame, method: str, service: str) -> DataFrame:
@@ -67,7 +71,9 @@ def allowed_resources(grants: DataFrame, method: str, service: str) -> DataFrame
 
 
 def _allowed_paths(allowed: DataFrame) -> DataFrame:
-    return allowed.select("user_id", normalize_resource_path(F.col("resource")).alias("path")).distinct()
+    """Distinct ``user_id, path`` with the normalised path of every allowed resource."""
+    normalized = barrier(allowed.select("user_id", "resource"), "path", normalize_resource_path(F.col("resource")))
+    return normalized.select("user_id", "path").distinct()
 
 
 def filter_projects(projects: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -85,8 +91,8 @@ def filter_projects(projects: DataFrame, allowed: DataFrame) -> DataFrame:
 
 def allowed_orgs(allowed: DataFrame) -> DataFrame:
     """Distinct ``user_id, organization`` named by the user's ``/programs/…`` resources."""
-    org = resource_org(normalize_resource_path(F.col("resource")))
-    return allowed.select("user_id", org.alias("organization")).filter("organization IS NOT NULL").distinct()
+    orgs = _allowed_paths(allowed).select("user_id", resource_org(F.col("path")).alias("organization"))
+    return orgs.filter("organization IS NOT NULL").distinct()
 
 
 def org_members(asks: DataFrame, allowed: DataFrame) -> DataFrame:

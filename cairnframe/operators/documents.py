@@ -66,20 +66,17 @@ def delete_documents(base: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFr
 
 # Checks are generated as SQL text: one expression per schema, parsed in one call.
 _NONE = "CAST(array() AS array<struct<field:string,problem:string>>)"
-# How the kinds of a VARIANT are spelled.
-_SHAPES = {
-    T.StringType: "{0} = 'STRING'",
-    T.BooleanType: "{0} = 'BOOLEAN'",
-    T.LongType: "{0} = 'BIGINT'",
-    T.DoubleType: "({0} IN ('BIGINT', 'DOUBLE', 'FLOAT') OR startswith({0}, 'DECIMAL'))",
-    T.StructType: "startswith({0}, 'OBJECT')",
-    T.MapType: "startswith({0}, 'OBJECT')",
-    T.ArrayType: "startswith({0}, 'ARRAY')",
+# How the kinds of a scalar VARIANT are spelled.
+_SCALARS = {
+    T.StringType: "{0} IN ('STRING', 'VOID')",
+    T.BooleanType: "{0} IN ('BOOLEAN', 'VOID')",
+    T.LongType: "{0} IN ('BIGINT', 'VOID')",
+    T.DoubleType: "({0} IN ('BIGINT', 'DOUBLE', 'FLOAT', 'VOID') OR startswith({0}, 'DECIMAL'))",
 }
 
 
 def _found(field: str, problem: str) -> str:
-    return f"array(named_struct('field', '{field}', 'problem', '{problem}'))"
+    return f"named_struct('field', '{field}', 'problem', '{problem}')"
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -87,39 +84,50 @@ def _let(value: str, name: str, body: str) -> str:
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
+def _scalar_problem(value: str, kind: T.DataType, field: str) -> str:
+    """SQL giving the problem of a scalar member, NULL when it is absent, null or right."""
+    right = _SCALARS[type(kind)].format(f"schema_of_variant({value})")
+    return f"CASE WHEN NOT {right} THEN {_found(field, 'wrong_type')} END"
+
+
 def _problems(value: str, kind: T.DataType, field: str, level: int = 0) -> str:
-    """SQL listing everything in a JSON value that its type does not allow (JSON null is always allowed)."""
+    """SQL listing everything in a JSON value that its type does not allow (JSON null is always allowed).
+
+    An object or array is taken apart once, and its members are looked at in
+    place; a failed cast tells that the value is something else.
+    """
     if isinstance(kind, T.VariantType):
         return _NONE
-    v, x = f"v{level}", f"x{level}"
+    if type(kind) in _SCALARS:
+        return f"array_compact(array({_scalar_problem(value, kind, field)}))"
+    v, parts, x = f"v{level}", f"m{level}", f"x{level}"
     if isinstance(kind, T.StructType):
-        prefix = field + "." if field else ""
+        cast, prefix = "map<string,variant>", field + "." if field else ""
         known = ", ".join(f"'{f.name}'" for f in kind.fields)
-        keys = f"array_except(map_keys(try_variant_get({v}, '$', 'map<string,variant>')), array({known}))"
-        unknown = f"transform({keys}, {x} -> named_struct('field', concat('{prefix}', {x}), 'problem', 'unknown_field'))"
-        inner = [
-            (_union_problems if f.metadata.get("union") else _problems)(
-                f"try_variant_get({v}, '$.{f.name}', 'variant')", f.dataType, prefix + f.name, level + 1
-            )
-            for f in kind.fields
-        ]
-        inside = f"concat({', '.join([unknown, *[i for i in inner if i != _NONE]])})"
-    elif isinstance(kind, T.ArrayType):
-        parts = _problems(x, kind.elementType, field, level + 1)
-        inside = f"flatten(transform(try_variant_get({v}, '$', 'array<variant>'), {x} -> {parts}))"
-    elif isinstance(kind, T.MapType):
-        parts = _problems(x, kind.valueType, field, level + 1)
-        inside = f"flatten(transform(map_values(try_variant_get({v}, '$', 'map<string,variant>')), {x} -> {parts}))"
+        unknown = f"transform(array_except(map_keys({parts}), array({known})), {x} -> named_struct('field', concat('{prefix}', {x}), 'problem', 'unknown_field'))"
+        scalars, nested = [], []
+        for f in kind.fields:
+            member, name = f"try_element_at({parts}, '{f.name}')", prefix + f.name
+            if type(f.dataType) in _SCALARS:
+                scalars.append(_scalar_problem(member, f.dataType, name))
+            else:
+                check = _union_problems if f.metadata.get("union") else _problems
+                nested.append(check(member, f.dataType, name, level + 1))
+        lists = [unknown, *[n for n in nested if n != _NONE]]
+        if scalars:
+            lists.append(f"array_compact(array({', '.join(scalars)}))")
+        inside = f"concat({', '.join(lists)})"
     else:
-        inside = _NONE
-    if isinstance(kind, (T.ArrayType, T.MapType)) and parts == _NONE:
-        inside = _NONE
-    right = _SHAPES[type(kind)].format(f"schema_of_variant({v})")
+        element = kind.elementType if isinstance(kind, T.ArrayType) else kind.valueType
+        cast = "array<variant>" if isinstance(kind, T.ArrayType) else "map<string,variant>"
+        items = parts if isinstance(kind, T.ArrayType) else f"map_values({parts})"
+        each = _problems(x, element, field, level + 1)
+        inside = _NONE if each == _NONE else f"flatten(transform({items}, {x} -> {each}))"
     check = (
-        f"CASE WHEN {v} IS NULL OR schema_of_variant({v}) = 'VOID' THEN {_NONE} "
-        f"WHEN {right} THEN coalesce({inside}, {_NONE}) ELSE {_found(field, 'wrong_type')} END"
+        f"CASE WHEN {v} IS NULL THEN {_NONE} WHEN {parts} IS NOT NULL THEN {inside} "
+        f"WHEN schema_of_variant({v}) = 'VOID' THEN {_NONE} ELSE array({_found(field, 'wrong_type')}) END"
     )
-    return _let(value, v, check)
+    return _let(value, v, _let(f"try_variant_get({v}, '$', '{cast}')", parts, check))
 
 
 def _union_problems(value: str, kind: T.DataType, field: str, level: int) -> str:
@@ -134,7 +142,7 @@ def _union_problems(value: str, kind: T.DataType, field: str, level: int) -> str
     )
     check = (
         f"CASE WHEN {entries} IS NULL OR size({entries}) <> 1 OR map_keys({entries})[0] NOT IN ({kinds}) "
-        f"THEN {_found(field, 'bad_row')} {wrong} ELSE {_NONE} END"
+        f"THEN array({_found(field, 'bad_row')}) {wrong} ELSE {_NONE} END"
     )
     each = _let(f"try_variant_get({row}, '$', 'map<string,variant>')", entries, check)
     rows = f"flatten(transform(try_variant_get({value}, '$', 'array<variant>'), {row} -> {each}))"
