@@ -1,7 +1,8 @@
-"""Vector scores as column expressions."""
+"""Vector scores as column expressions, in DOUBLE."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -10,10 +11,6 @@ from pyspark.sql import functions as F
 # Metric names and whether a higher score is better.
 HIGHER_IS_BETTER = {"Cosine": True, "Dot": True, "Euclid": False, "Manhattan": False}
 
-# Longest literal vector written as a plain sum of products; beyond it the
-# generated code would pass the JVM's method size, so the lambda form is used.
-UNROLL_LIMIT = 256
-
 
 def check_metric(metric: str) -> str:
     if metric not in HIGHER_IS_BETTER:
@@ -21,62 +18,47 @@ def check_metric(metric: str) -> str:
     return metric
 
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+def _double(x: Column) -> Column:
+    return x.cast("double")
 
 
-def score(a: Column, b: Column, metric: str) -> Column:
-    """Score of two vector columns in DOUBLE; zero vectors have cosine 0."""
-    check_metric(metric)
-    a, b = a.cast("array<double>"), b.cast("array<double>")
-    if metric == "Euclid":
-        return F.sqrt(_sum(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))))
-    if metric == "Manhattan":
-        return _sum(F.zip_with(a, b, lambda x, y: F.abs(x - y)))
-    dot = _sum(F.zip_with(a, b, lambda x, y: x * y))
-    if metric == "Dot":
-        return dot
-    return _cosine(dot, norm(a) * norm(b))
+def _sum_of(a: Column, b: Column, term) -> Column:
+    pairs = F.zip_with(a, b, lambda x, y: term(_double(x), _double(y)))
+    return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def _cosine(dot: Column, norms: Column) -> Column:
-    return F.when(norms == 0, F.lit(0.0)).otherwise(dot / norms)
+def _dot(a: Column, b: Column) -> Column:
+    return _sum_of(a, b, lambda x, y: x * y)
 
 
 def norm(a: Column) -> Column:
-    return F.sqrt(_sum(F.transform(a.cast("array<double>"), lambda x: x * x)))
+    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + _double(x) * _double(x)))
+
+
+def score(a: Column, b: Column, metric: str) -> Column:
+    """Score of two vector columns; NULL for different lengths, cosine 0 for a zero vector."""
+    check_metric(metric)
+    if metric == "Euclid":
+        return F.sqrt(_sum_of(a, b, lambda x, y: (x - y) * (x - y)))
+    if metric == "Manhattan":
+        return _sum_of(a, b, lambda x, y: F.abs(x - y))
+    if metric == "Dot":
+        return _dot(a, b)
+    return F.when(F.size(a) == F.size(b), F.coalesce(F.try_divide(_dot(a, b), norm(a) * norm(b)), F.lit(0.0)))
 
 
 def score_literal(vector: Column, query: Sequence[float], metric: str) -> Column:
-    """Score against one literal query, as straight-line arithmetic inside generated code.
+    """Score against one literal query, whose norm is taken here and not per row.
 
-    For vectors as long as the query; others give NULL or a score of a part.
+    (Writing the products out one by one is slower: the method gets too large
+    for the JVM to compile.)
     """
-    check_metric(metric)
     values = [float(q) for q in query]
-    if len(values) > UNROLL_LIMIT:
-        scored = score(vector, F.lit(values), metric)
-    else:
-        xs = [F.get(vector, F.lit(i)).cast("double") for i in range(len(values))]
-
-        def total(terms):
-            # Pairwise, so the expression tree stays shallow.
-            terms = list(terms)
-            while len(terms) > 1:
-                odd = terms[-1:] if len(terms) % 2 else []
-                terms = [a + b for a, b in zip(terms[::2], terms[1::2])] + odd
-            return terms[0]
-
-        if metric == "Euclid":
-            scored = F.sqrt(total((x - q) * (x - q) for x, q in zip(xs, values)))
-        elif metric == "Manhattan":
-            scored = total(F.abs(x - q) for x, q in zip(xs, values))
-        else:
-            scored = total(x * q for x, q in zip(xs, values))
-            if metric == "Cosine":
-                q_norm = sum(q * q for q in values) ** 0.5
-                scored = _cosine(scored, F.sqrt(total(x * x for x in xs)) * q_norm)
-    return scored
+    if check_metric(metric) != "Cosine":
+        return score(vector, F.lit(values), metric)
+    length = math.sqrt(sum(v * v for v in values))
+    unit = F.lit([v / length for v in values] if length else values)
+    return F.when(F.size(vector) == len(values), F.coalesce(F.try_divide(_dot(vector, unit), norm(vector)), F.lit(0.0)))
 
 
 def best_first(score_col: str, metric: str) -> Column:
