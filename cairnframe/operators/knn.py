@@ -108,33 +108,44 @@ class _TopK:
         self.q, self.k, self.metric = queries, k, metric
         self.sign = 1.0 if HIGHER_IS_BETTER[metric] else -1.0
         self.excluded = excluded or {}
-        self.rows = np.empty(0, dtype=np.int64)
-        self.scores = np.empty(0)
-        self.ids: np.ndarray | None = None
+        self.rows = self.scores = self.ids = None
         self.floor = np.full(len(queries), -np.inf)  # signed k-th best so far
         self.q_norm = np.sqrt((queries * queries).sum(axis=1))
 
     def add(self, ids: np.ndarray, p: np.ndarray) -> None:
-        if not len(ids) or not len(self.q):
-            return
-        hidden = [(col, self.excluded[i]) for col, i in enumerate(ids.tolist()) if i in self.excluded]
+        """Take in a batch of points for all queries."""
+        if len(ids) and len(self.q):
+            self.merge([self.find(ids, p, np.arange(len(self.q)))])
+
+    def find(self, ids: np.ndarray, p: np.ndarray, among: np.ndarray):
+        """(query rows, ids, scores) of the points that may be among the best of the listed (sorted) query rows."""
+        pairs = [(row, col) for col, i in enumerate(ids.tolist()) for row in self.excluded.get(i, ())] if self.excluded else []
+        hidden = np.array(pairs, dtype=np.int64).reshape(-1, 2)
         step = max(1, SCORE_CELLS // len(ids))
-        found = [self._shortlist(lo, min(lo + step, len(self.q)), p, hidden) for lo in range(0, len(self.q), step)]
+        found = [self._shortlist(among[lo : lo + step], p, hidden) for lo in range(0, len(among), step)]
         rows, cols, scores = (np.concatenate(part) for part in zip(*found))
-        rows = np.concatenate([self.rows, rows])
-        scores = np.concatenate([self.scores, scores])
-        ids = ids[cols] if self.ids is None else np.concatenate([self.ids, ids[cols]])
+        return rows, ids[cols], scores
+
+    def merge(self, found: list) -> None:
+        """Keep the best ``k`` per query of what was kept before and what was found."""
+        if self.ids is not None:
+            found = [(self.rows, self.ids, self.scores), *found]
+        if not found:
+            return
+        rows, ids, scores = (np.concatenate(part) for part in zip(*found))
         order = np.lexsort((ids, -self.sign * scores, rows))
-        rows, scores, ids = rows[order], scores[order], ids[order]
-        starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else rows
+        rows, ids, scores = rows[order], ids[order], scores[order]
+        fresh = np.r_[True, (rows[1:] != rows[:-1]) | (ids[1:] != ids[:-1])][: len(rows)]
+        rows, ids, scores = rows[fresh], ids[fresh], scores[fresh]
+        starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]][: len(rows)])
         place = np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)]))
-        keep = place < self.k
         last = place == self.k - 1
         self.floor[rows[last]] = self.sign * scores[last]
-        self.rows, self.scores, self.ids = rows[keep], scores[keep], ids[keep]
+        keep = place < self.k
+        self.rows, self.ids, self.scores = rows[keep], ids[keep], scores[keep]
 
-    def _shortlist(self, lo: int, hi: int, p: np.ndarray, hidden: list):
-        q, floor = self.q[lo:hi], self.floor[lo:hi]
+    def _shortlist(self, among: np.ndarray, p: np.ndarray, hidden: np.ndarray):
+        q, floor, q_norm = self.q[among], self.floor[among], self.q_norm[among]
         p_norm = np.sqrt((p * p).sum(axis=1))
         if self.metric == "Manhattan":
             approx = -np.stack([np.abs(p - row).sum(axis=1) for row in q])
@@ -142,18 +153,20 @@ class _TopK:
         else:
             approx = q @ p.T
             if self.metric == "Cosine":
-                norms = np.outer(self.q_norm[lo:hi], p_norm)
+                norms = np.outer(q_norm, p_norm)
                 approx = np.divide(approx, norms, out=np.zeros_like(approx), where=norms > 0)
                 margin = self.slack
             elif self.metric == "Dot":
-                margin = self.slack * (1 + self.q_norm[lo:hi].max() * p_norm.max())
+                margin = self.slack * (1 + q_norm.max() * p_norm.max())
             else:
-                squares = (self.q_norm[lo:hi] ** 2)[:, None] + (p_norm**2)[None, :]
+                squares = (q_norm**2)[:, None] + (p_norm**2)[None, :]
                 approx = 2 * approx - squares  # minus the squared distance
                 margin = self.slack * (1 + squares.max())
                 floor = np.where(np.isfinite(floor), -(floor**2), floor)
-        for col, rows in hidden:
-            approx[rows[(rows >= lo) & (rows < hi)] - lo, col] = -np.inf
+        if len(hidden):
+            place = np.minimum(np.searchsorted(among, hidden[:, 0]), len(among) - 1)
+            inside = among[place] == hidden[:, 0]
+            approx[place[inside], hidden[inside, 1]] = -np.inf
         if approx.shape[1] > self.k:
             kth = np.partition(approx, approx.shape[1] - self.k, axis=1)[:, approx.shape[1] - self.k]
             floor = np.maximum(floor, kth)
@@ -163,7 +176,7 @@ class _TopK:
         for at in range(0, len(rows), step):
             part = slice(at, at + step)
             scores[part] = _pair_scores(q[rows[part]], p[cols[part]], self.metric)
-        return rows + lo, cols, scores
+        return among[rows], cols, scores
 
 
 def _result_type(points: DataFrame, queries: DataFrame) -> T.StructType:
@@ -183,7 +196,7 @@ def _arrow_schema(result: T.StructType) -> pa.Schema:
 
 
 def _as_batch(top: _TopK, query_ids, schema: pa.Schema) -> pa.RecordBatch | None:
-    if top.ids is None or not len(top.rows):
+    if top.ids is None or not len(top.ids):
         return None
     picked = pa.array([query_ids[r] for r in top.rows], type=schema.field(0).type)
     ids = pa.array(top.ids.tolist(), type=schema.field(1).type)
@@ -430,9 +443,21 @@ def recommend_errors(points: DataFrame, inputs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- approximate search
 
 
-def _signatures(df: DataFrame, planes: np.ndarray, bands: int, bits: int) -> DataFrame:
-    """Repeat each row once per band with ``cell`` = band and the signs against that band's planes."""
-    weights = 1 << np.arange(bits, dtype=np.int64)
+def _cells(vectors: np.ndarray, planes: np.ndarray, bands: int, bits: int) -> np.ndarray:
+    """One cell number per vector and band: the band, then the signs against its planes."""
+    above = (vectors @ planes.T > 0).reshape(len(vectors), bands, bits)
+    return above @ (1 << np.arange(bits, dtype=np.int64)) + (np.arange(bands, dtype=np.int64) << bits)
+
+
+def _rows_by_cell(cells: np.ndarray) -> dict[int, np.ndarray]:
+    """Cell number → sorted positions of the vectors in it."""
+    order = np.argsort(cells, axis=None, kind="stable")
+    numbers, starts = np.unique(cells.ravel()[order], return_index=True)
+    return {int(n): np.sort(part // cells.shape[1]) for n, part in zip(numbers, np.split(order, starts[1:]))}
+
+
+def _with_cells(df: DataFrame, planes: np.ndarray, bands: int, bits: int) -> DataFrame:
+    """Repeat each row once per band with its ``cell``."""
     schema = T.StructType([*df.schema.fields, T.StructField("cells", T.ArrayType(T.LongType()))])
     arrow = _arrow_schema(schema)
     at = df.columns.index("vector")
@@ -440,8 +465,7 @@ def _signatures(df: DataFrame, planes: np.ndarray, bands: int, bits: int) -> Dat
     def sign(batches):
         for batch in batches:
             if batch.num_rows:
-                above = (_matrix(batch.column(at)) @ planes.T > 0).reshape(batch.num_rows, bands, bits)
-                cells = (above @ weights) + (np.arange(bands, dtype=np.int64) << bits)
+                cells = _cells(_matrix(batch.column(at)), planes, bands, bits)
                 yield pa.record_batch([*batch.columns, pa.array(list(cells), type=arrow.field("cells").type)], schema=arrow)
 
     return df.mapInArrow(sign, schema).withColumn("cell", F.explode("cells")).drop("cells")
@@ -455,24 +479,31 @@ def ann_join(
     bands: int = 12,
     bits: int = 4,
     seed: int = 7,
+    broadcast_bytes: int = BROADCAST_BYTES,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Approximate ``knn_join``: only points that share a hyperplane signature with the query are scored.
 
-    Each of ``bands`` signatures has ``bits`` random hyperplanes. Points and
-    queries meet on equal signatures, in blocks of bounded size, and each block
-    returns its exact best ``k`` per query; more bands raise recall, more bits
-    cut the work. ``bits`` should grow with the logarithm of the points.
+    Each of ``bands`` signatures has ``bits`` random hyperplanes; more bands
+    raise recall, more bits cut the work (``bits`` should grow with the
+    logarithm of the points). A small query table is broadcast and points are
+    not shuffled: a task scores each cell's points against that cell's queries.
+    Otherwise points and queries meet on equal cells, in blocks of bounded size.
+    Both plans score the same pairs and return each block's exact best ``k``.
     """
     check_metric(metric)
     points, queries = points.select("id", "vector"), queries.select("query_id", "vector")
-    first = queries.filter("vector IS NOT NULL").select(F.size("vector")).first()
+    first = points.filter("vector IS NOT NULL").select(F.size("vector")).first()
     dim = first[0] if first else 1
     planes = np.random.default_rng(seed).standard_normal((bands * bits, dim))
-    same_dim = F.size("vector") == dim
+    same_length = F.size("vector") == dim
+    points, queries = points.filter(same_length), queries.filter(same_length)
+    table = _rows_up_to(queries, broadcast_bytes // (8 * dim))
+    if table is not None:
+        return rank_per_query(_broadcast_ann(points, queries, table, planes, bands, bits, k, metric), k, metric)
     partial = _blocked_top(
-        _signatures(points.filter(same_dim), planes, bands, bits),
-        _signatures(queries.filter(same_dim), planes, bands, bits),
+        _with_cells(points, planes, bands, bits),
+        _with_cells(queries, planes, bands, bits),
         None,
         k,
         metric,
@@ -483,6 +514,30 @@ def ann_join(
     return rank_per_query(distinct, k, metric)
 
 
+def _broadcast_ann(points, queries, table: pa.Table, planes, bands, bits, k, metric) -> DataFrame:
+    result = _result_type(points, queries)
+    schema = _arrow_schema(result)
+    query_ids = table.column("query_id").to_pylist()
+    matrix = _matrix(table.column("vector")) if query_ids else np.empty((0, planes.shape[1]))
+    shared = points.sparkSession.sparkContext.broadcast((query_ids, matrix, planes))
+
+    def score(batches):
+        ids_of_queries, q, hyperplanes = shared.value
+        top = _TopK(q, k, metric)
+        asked = _rows_by_cell(_cells(q, hyperplanes, bands, bits)) if len(q) else {}
+        for batch in batches:
+            if not batch.num_rows or not asked:
+                continue
+            ids, p = _ids(batch.column(0)), _matrix(batch.column(1))
+            held = _rows_by_cell(_cells(p, hyperplanes, bands, bits))
+            top.merge([top.find(ids[rows], p[rows], asked[cell]) for cell, rows in held.items() if cell in asked])
+        out = _as_batch(top, ids_of_queries, schema)
+        if out is not None:
+            yield out
+
+    return points.mapInArrow(score, result)
+
+
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:
     """Share of the exact neighbours that the approximate result also holds (one row)."""
     hits = approximate.select("query_id", "id").withColumn("hit", F.lit(1.0))

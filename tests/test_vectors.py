@@ -164,17 +164,31 @@ def test_recommend_averages_and_leaves_inputs_out(spark):
     assert rows(nn.recommend_errors(p, inputs)) == [(3, "invalid_vector_request"), (4, "point_not_found")]
 
 
-def test_ann_recall_and_hot_bucket(spark, inputs):
+def test_ann_recall(spark, inputs):
     points, queries = inputs["points"], inputs["knn_queries"]
     exact = nn.knn_join(points, queries, 10)
     found = nn.ann_join(points, queries, 10, bands=24, bits=3)
     assert nn.recall(found, exact).first()[0] > 0.9
+
+
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
+def test_ann_with_all_points_in_one_bucket(spark, broadcast_bytes):
     rng = np.random.default_rng(8)
     copies = np.repeat(rng.normal(size=(1, 4)), 40, axis=0)
-    got = nn.ann_join(make_points(spark, copies), make_queries(spark, copies[:2]), 30, block_bytes=4 * 8 * 6)
+    got = nn.ann_join(make_points(spark, copies), make_queries(spark, copies[:2]), 30, broadcast_bytes=broadcast_bytes, block_bytes=4 * 8 * 6)
     assert rows(got, "query_id", "id", "rank") == brute(copies, copies[:2], 30, "Cosine")
 
 
+@pytest.mark.parametrize("metric", ["Cosine", "Euclid"])
+def test_both_ann_plans_agree(spark, metric):
+    rng = np.random.default_rng(9)
+    p, q = make_points(spark, rng.normal(size=(120, 6))), make_queries(spark, rng.normal(size=(17, 6)))
+    small = nn.ann_join(p, q, 9, metric, bands=4, bits=3)
+    large = nn.ann_join(p, q, 9, metric, bands=4, bits=3, broadcast_bytes=0, block_bytes=6 * 8 * 11)
+    assert rows(small, "query_id", "id", "rank") == rows(large, "query_id", "id", "rank")
+    assert small.count() > 0
+
+
 # ---------------------------------------------------------------- points
 
 COLOURS = [
