@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grants import project_id_parts, project_id_path
 from ..functions.text import segments, valid_path
+from ..sources.tables import stored
 
 # Labels of the graph.
 STUDY_LABEL = "ResearchStudy"
@@ -53,8 +54,15 @@ def children(vertices: DataFrame, edges: DataFrame, edge_label: str | None = Non
 
 
 def out_or_null(frontier: DataFrame, kids: DataFrame, key: str = "id") -> DataFrame:
-    """One row per out-neighbour of ``key``, and one with a null child where there is none."""
-    return frontier.join(kids, frontier[key] == kids["src"], "left").drop("src")
+    """One row per out-neighbour of ``key``, and one with a null child where there is none.
+
+    Written as an inner join and an anti join: a directory with very many
+    children is on the right, where a left join could not be split.
+    """
+    linked = frontier.join(kids, frontier[key] == kids["src"]).drop("src")
+    sources = kids.select(F.col("src").alias(key)).distinct()
+    alone = frontier.join(sources, key, "left_anti")
+    return linked.unionByName(alone, allowMissingColumns=True)
 
 
 def list_projects(vertices: DataFrame, edges: DataFrame, grants: DataFrame) -> DataFrame:
@@ -86,11 +94,11 @@ def list_directory(vertices: DataFrame, edges: DataFrame, project: str, path: st
     not filtered: a directory without children gives one all-NULL row.
     """
     request = vertices.sparkSession.createDataFrame([(project, path)], "project string, path string")
-    found = resolve_paths(vertices, edges, request.withColumn("request_id", F.lit(0)), max_depth=len(path.strip("/").split("/")))
-    return found.filter("error_type IS NULL AND matched").select("id", "label", "name", "auth_resource_path")
+    found = resolve_paths(vertices, edges, request.withColumn("request_id", F.lit(0)))
+    return found.filter("matched").select("id", "label", "name", "auth_resource_path")
 
 
-def resolve_paths(vertices: DataFrame, edges: DataFrame, requests: DataFrame, max_depth: int | None = None) -> DataFrame:
+def resolve_paths(vertices: DataFrame, edges: DataFrame, requests: DataFrame) -> DataFrame:
     """``list_directory`` for a table of ``request_id, project, path``.
 
     One row per listed entry with ``matched`` true (its vertex is all NULL for an
@@ -98,50 +106,50 @@ def resolve_paths(vertices: DataFrame, edges: DataFrame, requests: DataFrame, ma
     not exist, and with ``error_type`` for a path that is not valid. Equal
     (project, path) pairs are resolved once. There is one equality join per
     path level, on (directory, name, project), so a level never produces the
-    whole content of a directory it only passes through. ``max_depth`` defaults
-    to the deepest requested path, which is looked up first.
+    whole content of a directory it only passes through.
+
+    The walk runs here, level by level, until no path goes deeper. Each level is
+    written to the shared folder: it is computed once, its size is known to the
+    planner, and a lost executor repeats one level at most.
     """
     checked = requests.withColumn(
         "error_type", F.when(~F.coalesce(valid_path(F.col("path")), F.lit(False)), "invalid_directory")
     )
     pairs = checked.filter("error_type IS NULL").select("project", "path").distinct()
     pairs = pairs.withColumn("_parts", F.when(F.col("path") == "/", F.array()).otherwise(segments(F.col("path"))))
-    if max_depth is None:
-        max_depth = pairs.agg(F.max(F.size("_parts"))).first()[0] or 0
-    kids = children(vertices, edges)
-    at_root = pairs.join(roots(vertices, edges), "project")
-
-    finished = [
-        at_root.filter(F.size("_parts") == 0)
-        .join(kids.filter("child_id IS NOT NULL"), (F.col("id") == F.col("src")) & (F.col("child_auth") == F.col("project")))
-        .select("project", "path", *_CHILD)
-    ]
+    kids = stored(children(vertices, edges))
+    at_root = stored(pairs.join(roots(vertices, edges), "project"))
+
+    in_root = (F.col("id") == F.col("src")) & (F.col("child_auth") == F.col("project"))
+    finished = [at_root.filter(F.size("_parts") == 0).join(kids, in_root).select("project", "path", *_CHILD)]
     frontier = at_root.filter(F.size("_parts") > 0).select("project", "path", "_parts", "id")
     step = kids.select(
         F.col("src").alias("id"), F.col("child_name").alias("_name"), F.col("child_auth").alias("project"), "child_id"
     )
-    for depth in range(max_depth):
+    depth = 0
+    while not frontier.isEmpty():
         named = frontier.withColumn("_name", F.get("_parts", F.lit(depth)))
-        frontier = named.join(step, ["id", "_name", "project"]).select("project", "path", "_parts", F.col("child_id").alias("id"))
-        arrived = frontier.filter(F.size("_parts") == depth + 1)
-        finished.append(out_or_null(arrived, kids).select("project", "path", *_CHILD))
-        frontier = frontier.filter(F.size("_parts") > depth + 1)
-
-    entries = reduce(DataFrame.unionByName, finished).withColumn("matched", F.lit(True))
-    return (
-        checked.join(entries, ["project", "path"], "left")
-        .withColumn("matched", F.coalesce("matched", F.lit(False)))
-        .select(
-            "request_id",
-            "project",
-            "path",
-            "error_type",
-            "matched",
-            F.col("child_id").alias("id"),
-            F.col("child_label").alias("label"),
-            F.col("child_name").alias("name"),
-            F.col("child_auth").alias("auth_resource_path"),
+        reached = stored(
+            named.join(step, ["id", "_name", "project"]).select("project", "path", "_parts", F.col("child_id").alias("id"))
         )
+        depth += 1
+        finished.append(out_or_null(reached.filter(F.size("_parts") == depth), kids).select("project", "path", *_CHILD))
+        frontier = reached.filter(F.size("_parts") > depth)
+
+    entries = stored(reduce(DataFrame.unionByName, finished))
+    listed = checked.join(entries, ["project", "path"]).withColumn("matched", F.lit(True))
+    found = entries.select("project", "path").distinct()
+    other = checked.join(found, ["project", "path"], "left_anti").withColumn("matched", F.lit(False))
+    return listed.unionByName(other, allowMissingColumns=True).select(
+        "request_id",
+        "project",
+        "path",
+        "error_type",
+        "matched",
+        F.col("child_id").alias("id"),
+        F.col("child_label").alias("label"),
+        F.col("child_name").alias("name"),
+        F.col("child_auth").alias("auth_resource_path"),
     )
 
 

@@ -476,6 +476,21 @@ def bind_repositories(requests: DataFrame, projects: DataFrame, org_state: DataF
     )
 
 
+def apply_bindings(states: DataFrame, bound: DataFrame, org_state: DataFrame, data_dir: str) -> DataFrame:
+    """State table after the good rows of ``bind_repositories``.
+
+    A bound project takes its organisation's installation and starts as
+    never_synced, without branch, time or error.
+    """
+    orgs = org_state.select("organization", "installation_target", "installation_target_type")
+    good = bound.filter("error_type IS NULL").withColumn("organization", org_of_id(F.col("project_id")))
+    rows = good.join(orgs, "organization", "left").withColumn("mirror_path", mirror_path(*[F.col(c) for c in _IDENTITY], data_dir))
+    for c in states.columns:
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(None).cast(states.schema[c].dataType))
+    return mutations.upsert(states, rows, ["project_id"])
+
+
 # ---------------------------------------------------------------- paths, refresh, set-up
 
 # Address scheme of each storage provider; any other is s3.

@@ -141,19 +141,31 @@ def session_view(requests: DataFrame, sessions: DataFrame, files: DataFrame) ->
     another project, or none, gives one row with ``error_type`` not_found.
     """
     own = sessions.select("session_id", "project_id").withColumn("_own", F.lit(True))
-    asked = requests.select("session_id", "project_id").distinct().join(own, ["session_id", "project_id"], "left")
     conflicts = files.groupBy("session_id").agg(F.bool_or(F.col("status") == COLLISION).alias("has_conflicts"))
-    rows = files.select("session_id", "ordinal", "file_name", "target_path", "size", "checksum", "drs_object_id", "status", "error")
-    found = asked.filter("_own").join(conflicts, "session_id", "left").join(rows, "session_id", "left")
-    missing = asked.filter("_own IS NULL").withColumn("error_type", F.lit("not_found"))
+    asked = requests.select("session_id", "project_id").distinct().join(own, ["session_id", "project_id"], "left")
+    asked = asked.join(conflicts, "session_id", "left")
+    # The files are the left side of an inner join, so a very large session can be split.
+    filled = asked.filter("_own AND has_conflicts IS NOT NULL").drop("_own")
+    columns = ("ordinal", "file_name", "target_path", "size", "checksum", "drs_object_id", "status", "error")
+    shown = files.select("session_id", *columns).join(filled, "session_id")
+    empty = asked.filter("_own AND has_conflicts IS NULL").withColumn("has_conflicts", F.lit(False)).drop("_own")
+    missing = asked.filter("_own IS NULL").select("session_id", "project_id", F.lit("not_found").alias("error_type"))
     return (
-        found.withColumn("collision", F.col("status") == COLLISION)
-        .withColumn("has_conflicts", F.coalesce("has_conflicts", F.lit(False)))
+        shown.withColumn("collision", F.col("status") == COLLISION)
+        .unionByName(empty, allowMissingColumns=True)
         .unionByName(missing, allowMissingColumns=True)
-        .drop("_own")
     )
 
 
+def final_texts(sessions: DataFrame, requests: DataFrame) -> DataFrame:
+    """``title`` and ``body`` of sessions, replaced by the non-blank ones of the finalise requests."""
+    given = requests.select(
+        "session_id", blank_to_null(F.col("title")).alias("_title"), blank_to_null(F.col("body")).alias("_body")
+    )
+    joined = sessions.join(given, "session_id", "left")
+    return joined.withColumns({c: F.coalesce(f"_{c}", c) for c in ("title", "body")}).drop("_title", "_body")
+
+
 def session_defaults(sessions: DataFrame, file_counts: DataFrame, now_text: str, branch_prefix: str = "upload") -> DataFrame:
     """Add ``base_branch, target_subdirectory, title, body, branch_name, error_type``.
 

@@ -16,13 +16,24 @@ def _explorer(t):
 @query(
     "d_prefilter",
     f"""
-WITH allowed AS (SELECT DISTINCT content->>'$.explorerConfig[0].preFilters.segment[0]' AS v FROM ({_DOCS}) WHERE name LIKE '%4')
-SELECT project_id, segment FROM projects WHERE segment IN (SELECT v FROM allowed)
+WITH first_doc AS (SELECT content FROM ({_DOCS}) ORDER BY name LIMIT 1)
+SELECT project_id, segment FROM projects WHERE segment IN (SELECT content->>'$.explorerConfig[0].preFilters.segment[0]' FROM first_doc)
 """,
 )
 def d_prefilter(t):
-    values = ex.pre_filter_values(_explorer(t).filter("name LIKE '%4'"))
-    return ex.pre_filter(t["projects"].select("project_id", "segment"), values, ["segment"])
+    """The filter of one document (the first by name) on all projects."""
+    one = _explorer(t).orderBy("name").limit(1)
+    return ex.pre_filter(t["projects"].select("project_id", "segment"), ex.pre_filter_values(one), ["segment"])
+
+
+@query(
+    "d_prefilter_values",
+    f"""
+SELECT name, CAST(0 AS BIGINT) AS tab_pos, 'segment' AS field, content->>'$.explorerConfig[0].preFilters.segment[0]' AS value FROM ({_DOCS})
+""",
+)
+def d_prefilter_values(t):
+    return ex.pre_filter_values(_explorer(t))
 
 
 @query(

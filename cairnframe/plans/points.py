@@ -198,7 +198,7 @@ def v_lookup(t):
 @query(
     "v_recommend_errors",
     """
-WITH inputs AS (SELECT seq % 997 AS request_id, CASE WHEN op = 'delete' THEN 'neg' ELSE 'pos' END AS sign, id FROM point_feed
+WITH inputs AS (SELECT CAST(floor(seq / 10) AS BIGINT) AS request_id, CASE WHEN op = 'delete' THEN 'neg' ELSE 'pos' END AS sign, id FROM point_feed
                 UNION ALL SELECT vec_id, 'neg', id FROM raw_points),
 state AS (SELECT request_id, count(*) FILTER (sign = 'pos') AS n_pos, count(*) FILTER (p.id IS NULL) AS n_missing
           FROM inputs i LEFT JOIN (SELECT DISTINCT id FROM points) p ON p.id = i.id GROUP BY request_id)
@@ -208,7 +208,7 @@ FROM state WHERE n_pos = 0 OR n_missing > 0
 )
 def v_recommend_errors(t):
     sign = F.when(F.col("op") == "delete", "neg").otherwise("pos").alias("sign")
-    inputs = t["point_feed"].select((F.col("seq") % 997).alias("request_id"), sign, "id")
+    inputs = t["point_feed"].select(F.floor(F.col("seq") / 10).alias("request_id"), sign, "id")
     inputs = inputs.union(t["raw_points"].select("vec_id", F.lit("neg"), "id"))
     return nn.recommend_errors(t["points"], inputs)
 

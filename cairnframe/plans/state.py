@@ -354,17 +354,22 @@ def p_put_state(t):
     return stored.select("project_id", "repo_owner", "repo_name", "mirror_path", "sync_state", "installation_id")
 
 
-@query(
-    "p_bind",
-    """
-WITH j AS (SELECT r.project_id, r.project_key, trim(r.repository_full_name) AS wanted, p.project_id IS NOT NULL AS known, o.installation_id AS inst, i.full_name,
+_BIND = """
+j AS (SELECT r.project_id, r.project_key, trim(r.repository_full_name) AS wanted, p.project_id IS NOT NULL AS known, o.installation_id AS inst, i.full_name,
   CASE WHEN trim(i.clone_url) <> '' THEN trim(i.clone_url) WHEN trim(i.html_url) <> '' THEN trim(i.html_url) ELSE 'https://github.com/' || i.full_name END AS url
   FROM bind_requests r LEFT JOIN projects p ON p.project_id = r.project_id
   LEFT JOIN orgs o ON o.organization = split_part(r.project_id, '/', 1) AND o.installed
   LEFT JOIN installation_repos i ON i.installation_id = o.installation_id AND lower(i.full_name) = lower(trim(r.repository_full_name))),
 e AS (SELECT *, CASE WHEN wanted = '' THEN 'invalid_request' WHEN NOT known THEN 'not_found' WHEN inst IS NULL OR full_name IS NULL THEN 'conflict' WHEN url = 'nonsense' THEN 'integration_error' END AS error_type FROM j)
+"""
+
+
+@query(
+    "p_bind",
+    f"""
+WITH {_BIND}
 SELECT project_id, project_key, error_type, CASE WHEN error_type IS NULL THEN inst END AS installation_id, CASE WHEN error_type IS NULL THEN 'never_synced' END AS sync_state,
-       CASE WHEN error_type IS NULL THEN regexp_replace(url, '\\.git$', '') END AS src_repo FROM e
+       CASE WHEN error_type IS NULL THEN regexp_replace(url, '[.]git$', '') END AS src_repo FROM e
 """,
 )
 def p_bind(t):
@@ -372,6 +377,22 @@ def p_bind(t):
     return bound.select("project_id", "project_key", "error_type", "installation_id", "sync_state", "src_repo")
 
 
+@query(
+    "p_bind_states",
+    f"""
+WITH {_BIND},
+good AS (SELECT e.project_id, inst, string_split(regexp_replace(url, '[.]git$', ''), '/') AS u, o.installation_target FROM e JOIN org_state o ON o.organization = split_part(e.project_id, '/', 1) WHERE error_type IS NULL)
+SELECT project_id, repo_owner, repo_name, installation_id, installation_target, mirror_path, sync_state, default_branch, last_error FROM project_state WHERE project_id NOT IN (SELECT project_id FROM good)
+UNION ALL SELECT project_id, u[4], u[5], inst, installation_target, '/data/github.com/' || u[4] || '/' || u[5] || '.git', 'never_synced', NULL, NULL FROM good
+""",
+)
+def p_bind_states(t):
+    bound = st.bind_repositories(t["bind_requests"], t["projects"], t["org_state"], t["installation_repos"])
+    return st.apply_bindings(t["project_state"], bound, t["org_state"], "/data").select(
+        "project_id", "repo_owner", "repo_name", "installation_id", "installation_target", "mirror_path", "sync_state", "default_branch", "last_error"
+    )
+
+
 @query(
     "p_repo_ids",
     """

@@ -167,6 +167,20 @@ def u_defaults(t):
     )
 
 
+@query(
+    "u_final_texts",
+    """
+SELECT id AS session_id, CASE WHEN status = 'finalized' THEN 'Release ' || id ELSE project_id END AS title, base_branch AS body FROM upload_sessions
+""",
+)
+def u_final_texts(t):
+    s = t["upload_sessions"]
+    sessions = s.select(F.col("id").alias("session_id"), F.col("project_id").alias("title"), F.col("base_branch").alias("body"))
+    wanted = F.when(F.col("status") == "finalized", F.concat(F.lit(" Release "), F.col("id").cast("string"))).otherwise("  ")
+    asked = s.select(F.col("id").alias("session_id"), wanted.alias("title"), F.lit(None).cast("string").alias("body"))
+    return up.final_texts(sessions, asked)
+
+
 @query(
     "u_replace",
     """
