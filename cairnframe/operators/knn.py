@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import let
 from ..functions.vectors import HIGHER_IS_BETTER, best_first, check_metric, norm, passes_threshold, score_literal
+from ..sources.tables import stored
 
 # A query table (and a table of excluded pairs) up to this size is sent to every task;
 # a larger one is shuffled in blocks.
@@ -105,7 +106,7 @@ class _TopK:
     slack = 1e-11
 
     def __init__(self, queries: np.ndarray, k: int, metric: str, excluded: dict | None = None):
-        self.q, self.k, self.metric = queries, k, metric
+        self.q, self.k, self.metric = queries, max(k, 1), metric
         self.sign = 1.0 if HIGHER_IS_BETTER[metric] else -1.0
         self.excluded = excluded or {}
         self.rows = self.scores = self.ids = None
@@ -230,8 +231,8 @@ def knn_join(
 
     ``points`` has ``id, vector`` and ``queries`` has unique ``query_id`` with
     ``vector``; ``exclude`` lists ``(query_id, id)`` pairs left out before
-    ranking. All vectors have the length of the first point's; queries of
-    another length get no rows.
+    ranking. The first point gives the vector length: a query of another length
+    is an error, a point of another length is not matched.
 
     The size of the query table (and exclusions) decides the plan: up to
     ``broadcast_bytes`` it goes to every task and points are not shuffled;
@@ -240,12 +241,7 @@ def knn_join(
     """
     check_metric(metric)
     wanted = offset + k
-    points = points.select("id", "vector")
-    first = points.filter("vector IS NOT NULL").select(F.size("vector")).first()
-    dim = first[0] if first else 0
-    same_length = F.size("vector") == dim
-    points = points.filter(same_length)
-    queries = queries.select("query_id", "vector").filter(same_length)
+    points, queries, dim = _same_length(points, queries)
     pairs = None if exclude is None else exclude.select("query_id", "id").distinct()
     small_queries = _rows_up_to(queries, broadcast_bytes // (8 * max(dim, 1)))
     small_pairs = None if pairs is None else _rows_up_to(pairs, broadcast_bytes // PAIR_BYTES)
@@ -255,8 +251,8 @@ def knn_join(
         one_cell = F.lit(0)
         partial = _blocked_top(
             points.withColumn("cell", one_cell),
-            queries.withColumn("cell", one_cell),
-            None if pairs is None else pairs.withColumn("cell", one_cell),
+            stored(queries).withColumn("cell", one_cell),
+            None if pairs is None else stored(pairs).withColumn("cell", one_cell),
             wanted,
             metric,
             max(1, block_bytes // (8 * max(dim, 1))),
@@ -266,6 +262,17 @@ def knn_join(
     return rank_per_query(partial, wanted, metric).filter(F.col("rank") > offset)
 
 
+def _same_length(points: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Points and queries with vectors of the first point's length, and that length (0 without points)."""
+    points = points.select("id", "vector").filter("vector IS NOT NULL")
+    first = points.select(F.size("vector")).first()
+    dim = first[0] if first else 0
+    fault = F.raise_error(F.lit(f"query vector does not have the points' length {dim}"))
+    vector = F.when(F.lit(dim == 0) | (F.size("vector") == dim), F.col("vector")).otherwise(fault)
+    queries = queries.filter("vector IS NOT NULL").select("query_id", vector.alias("vector"))
+    return points.filter(F.size("vector") == dim), queries, dim
+
+
 def _rows_up_to(df: DataFrame, limit: int) -> pa.Table | None:
     """The rows when there are at most ``limit``, else None; reads no more than ``limit + 1``."""
     table = df.limit(limit + 1).toArrow()
@@ -492,22 +499,18 @@ def ann_join(
     Both plans score the same pairs and return each block's exact best ``k``.
     """
     check_metric(metric)
-    points, queries = points.select("id", "vector"), queries.select("query_id", "vector")
-    first = points.filter("vector IS NOT NULL").select(F.size("vector")).first()
-    dim = first[0] if first else 1
+    points, queries, dim = _same_length(points, queries)
     planes = np.random.default_rng(seed).standard_normal((bands * bits, dim))
-    same_length = F.size("vector") == dim
-    points, queries = points.filter(same_length), queries.filter(same_length)
-    table = _rows_up_to(queries, broadcast_bytes // (8 * dim))
+    table = _rows_up_to(queries, broadcast_bytes // (8 * max(dim, 1)))
     if table is not None:
         return rank_per_query(_broadcast_ann(points, queries, table, planes, bands, bits, k, metric), k, metric)
     partial = _blocked_top(
         _with_cells(points, planes, bands, bits),
-        _with_cells(queries, planes, bands, bits),
+        _with_cells(stored(queries), planes, bands, bits),
         None,
         k,
         metric,
-        max(1, block_bytes // (8 * dim)),
+        max(1, block_bytes // (8 * max(dim, 1))),
         n_cells=bands << bits,
     )
     distinct = partial.groupBy("query_id", "id").agg(F.max("score").alias("score"))
@@ -524,7 +527,7 @@ def _broadcast_ann(points, queries, table: pa.Table, planes, bands, bits, k, met
     def score(batches):
         ids_of_queries, q, hyperplanes = shared.value
         top = _TopK(q, k, metric)
-        asked = _rows_by_cell(_cells(q, hyperplanes, bands, bits)) if len(q) else {}
+        asked = _rows_by_cell(_cells(q, hyperplanes, bands, bits)) if len(q) and hyperplanes.size else {}
         for batch in batches:
             if not batch.num_rows or not asked:
                 continue

@@ -107,6 +107,8 @@ def test_knn_join_without_points_or_queries(spark):
     assert nn.knn_join(p.filter("false"), q, 2).count() == 0
     assert nn.knn_join(p, q.filter("false"), 2).count() == 0
     assert nn.knn_join(p, q, 0).count() == 0
+    assert nn.ann_join(p.filter("false"), q, 2).count() == 0
+    assert nn.ann_join(p, q.filter("false"), 2).count() == 0
 
 
 def test_vectors_of_another_length_are_not_matched(spark):
@@ -114,6 +116,11 @@ def test_vectors_of_another_length_are_not_matched(spark):
     assert {r[0] for r in rows(nn.knn_join(p, make_queries(spark, np.eye(3)), 9), "id")} == {"p0000", "p0001", "p0002"}
 
 
+def test_query_of_another_length_is_an_error(spark):
+    with pytest.raises(Exception, match="length 3"):
+        nn.knn_join(make_points(spark, np.eye(3)), make_queries(spark, np.eye(2)), 1).collect()
+
+
 def test_self_query_scores_one(spark):
     rng = np.random.default_rng(5)
     points = rng.normal(size=(20, 8))
