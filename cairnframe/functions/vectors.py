@@ -66,6 +66,6 @@ def best_first(score_col: str, metric: str) -> Column:
     return F.col(score_col).desc() if HIGHER_IS_BETTER[check_metric(metric)] else F.col(score_col).asc()
 
 
-def passes_threshold(score_col: Column, threshold: float, metric: str) -> Column:
+def passes_threshold(score_col: Column, threshold: float | Column, metric: str) -> Column:
     """Keep ``>= threshold`` for similarities and ``<= threshold`` for distances."""
     return score_col >= threshold if HIGHER_IS_BETTER[check_metric(metric)] else score_col <= threshold

@@ -184,6 +184,12 @@ def strict_parse_all(documents: DataFrame) -> DataFrame:
     return out
 
 
+def split_accepted(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Accepted documents without the error columns, and the rejected ones with them."""
+    accepted = checked.filter(F.col("error_type").isNull()).drop("problems", "error_type", "error_field", "error_problem")
+    return accepted, checked.filter(F.col("error_type").isNotNull())
+
+
 def decode(documents: DataFrame, config_type: str) -> DataFrame:
     """``name, doc`` with the typed content of one type's documents.
 

@@ -262,6 +262,23 @@ def knn_join(
     return rank_per_query(partial, wanted, metric).filter(F.col("rank") > offset)
 
 
+def search(points: DataFrame, requests: DataFrame, metric: str = "Cosine", exclude: DataFrame | None = None) -> DataFrame:
+    """``knn_join`` with limits of each request's own: ``query_id, id, score, rank``.
+
+    ``requests``: ``query_id, vector, limit, offset, score_threshold``. A missing
+    limit is 0 and gives no rows, a missing offset is 0, a missing threshold
+    keeps all. The widest page sets how many neighbours are ranked per query.
+    """
+    limit, offset = F.coalesce("limit", F.lit(0)), F.coalesce("offset", F.lit(0))
+    pages = requests.filter(limit > 0).withColumn("_from", offset).withColumn("_to", offset + limit)
+    widest = pages.agg(F.max("_to")).first()[0] or 0
+    ranked = knn_join(points, pages, int(widest), metric, exclude=exclude)
+    joined = ranked.join(pages.select("query_id", "_from", "_to", "score_threshold"), "query_id")
+    passes = F.col("score_threshold").isNull() | passes_threshold(F.col("score"), F.col("score_threshold"), metric)
+    on_page = (F.col("rank") > F.col("_from")) & (F.col("rank") <= F.col("_to"))
+    return joined.filter(on_page & passes).select("query_id", "id", "score", "rank")
+
+
 def _same_length(points: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """Points and queries with vectors of the first point's length, and that length (0 without points)."""
     points = points.select("id", "vector").filter("vector IS NOT NULL")

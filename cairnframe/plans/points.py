@@ -136,6 +136,28 @@ def v_page(t):
     return _rounded(ranked, "query_id", "id", "score", "rank")
 
 
+@query(
+    "v_search",
+    f"""
+WITH r AS (SELECT vec_id, CASE WHEN label > 7 THEN NULL ELSE label END AS lim, CASE WHEN label < 2 THEN NULL ELSE label % 4 END AS off,
+                  CASE WHEN label < 5 THEN 0.3 END AS threshold FROM points)
+SELECT query_id, n.id, round(s, 6) AS score, rank FROM ({_neighbours()}) n JOIN r ON r.vec_id = n.query_id
+WHERE rank > coalesce(off, 0) AND rank <= coalesce(off, 0) + coalesce(lim, 0) AND (threshold IS NULL OR s >= threshold)
+""",
+)
+def v_search(t):
+    """Every request brings its own limit, offset and threshold."""
+    label = F.col("label")
+    requests = t["points"].select(
+        F.col("vec_id").alias("query_id"),
+        "vector",
+        F.when(label <= 7, label).alias("limit"),
+        F.when(label >= 2, label % 4).alias("offset"),
+        F.when(label < 5, 0.3).alias("score_threshold"),
+    )
+    return _rounded(nn.search(t["points"], requests, exclude=_self(t)), "query_id", "id", "score", "rank")
+
+
 @query(
     "v_knn_euclid",
     "SELECT query_id, id, round(s, 6) AS score, rank FROM ("

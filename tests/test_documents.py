@@ -107,6 +107,13 @@ def test_strict_parse(spark, config_type, content, expected):
     assert rows(checked, "error_type", "error_field", "error_problem") == [expected]
 
 
+def test_split_accepted(spark):
+    d = docs(spark, ("projects", "a", {"title": "t"}), ("projects", "b", {"title": 7}))
+    accepted, rejected = dc.split_accepted(dc.strict_parse(d, PROJECT))
+    assert rows(accepted) == [("projects", "a", '{"title": "t"}')]
+    assert rows(rejected, "name", "error_field") == [("b", "title")]
+
+
 def test_decode_is_lenient_about_keys_only(spark):
     d = docs(spark, ("projects", "a", {"title": "t", "x": 1}), ("projects", "b", {"title": 7}), ("projects", "c", "{"), ("nav", "d", {}))
     assert rows(dc.decode(d, "projects").select("name", "doc.title")) == [("a", "t"), ("b", None), ("c", None)]

@@ -116,6 +116,18 @@ def test_vectors_of_another_length_are_not_matched(spark):
     assert {r[0] for r in rows(nn.knn_join(p, make_queries(spark, np.eye(3)), 9), "id")} == {"p0000", "p0001", "p0002"}
 
 
+def test_search_with_limits_per_request(spark):
+    rng = np.random.default_rng(10)
+    points, queries = rng.normal(size=(20, 4)), rng.normal(size=(4, 4))
+    whole = {q: [r for r in brute(points, queries, 20, "Euclid") if r[0] == q] for q in range(4)}
+    limits = [(0, 3, 0, None), (1, 2, 5, None), (2, None, None, None), (3, 20, None, 0.0)]
+    asked = [(q, [float(x) for x in queries[q]], *rest) for q, *rest in limits]
+    schema = QUERIES + ", limit long, offset long, score_threshold double"
+    got = rows(nn.search(make_points(spark, points), spark.createDataFrame(asked, schema), "Euclid"), "query_id", "id", "rank")
+    pick = lambda q, lo, hi: [r for r in whole[q] if lo < r[2] <= hi]
+    assert got == sorted(pick(0, 0, 3) + pick(1, 5, 7), key=repr)
+
+
 def test_query_of_another_length_is_an_error(spark):
     with pytest.raises(Exception, match="length 3"):
         nn.knn_join(make_points(spark, np.eye(3)), make_queries(spark, np.eye(2)), 1).collect()
