@@ -56,12 +56,12 @@ _EDGES = ", ".join(f"({i}, CAST({e} AS BIGINT))" for i, e in enumerate(EDGES))
     "d_bins",
     f"""
 WITH bins AS (SELECT i, low, lead(low) OVER (ORDER BY i) AS high FROM (VALUES {_EDGES}) v(i, low)),
-sizes AS (SELECT CAST(l_extendedprice AS BIGINT) * l_partkey * 100 - 1000 AS size FROM lineitem)
+sizes AS (SELECT CAST(floor(l_extendedprice) AS BIGINT) * l_partkey * 100 - 1000 AS size FROM lineitem)
 SELECT CAST(i AS BIGINT) AS bin, low, high, count(size) AS n FROM bins LEFT JOIN sizes ON size >= low AND (high IS NULL OR size < high) GROUP BY ALL
 """,
 )
 def d_bins(t):
-    sizes = t["lineitem"].select((F.col("l_extendedprice").cast("bigint") * F.col("l_partkey") * 100 - 1000).alias("size"))
+    sizes = t["lineitem"].select((F.floor("l_extendedprice") * F.col("l_partkey") * 100 - 1000).alias("size"))
     return ex.size_histogram(sizes, "size", EDGES)
 
 
