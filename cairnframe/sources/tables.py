@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Mapping
 
@@ -68,14 +67,12 @@ def overwrite_partitions(table: DataFrame, path: str, columns: list[str]) -> Non
 def shared_dir(spark: SparkSession) -> str:
     """A new path below the shared folder that the session names in ``spark.checkpoint.dir``.
 
-    Without the setting a local session falls back to a temporary folder; a
-    cluster session must have it, since executors see no common local disk.
+    The folder must be one that the driver and all executors see, so there is no
+    other choice when none is set.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="run-")
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
