@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import mixing, near_dedup, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -88,3 +88,22 @@ FROM q GROUP BY doc_id, size, source_size, target
 )
 def op6_mix(spark, sf_dir):
     return mixing.mix_sizes(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query(
+    "op8_near_dedup",
+    f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {WORD_SQL}) AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+                                        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingles FROM d),
+e AS (SELECT doc_id, unnest(shingles) AS shingle FROM s),
+n AS (SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles FROM s),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * shared >= 85 * (x.n_shingles + y.n_shingles - shared)),
+g AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r AS (SELECT doc_id, doc_id AS other FROM n UNION SELECT r.doc_id, g.v FROM r JOIN g ON g.u = r.other)
+SELECT n.doc_id, n_shingles, min(other) AS component_id, n.doc_id = min(other) AS kept FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n_shingles
+""",
+)
+def op8_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(_documents(spark, sf_dir), width=3, similarity=85)
