@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dedup, sharding
+from . import language_id, mixing, near_dedup, sharding
+from .common import crc32_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -107,3 +108,11 @@ SELECT n.doc_id, n_shingles, min(other) AS component_id, n.doc_id = min(other) A
 )
 def op8_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(_documents(spark, sf_dir), width=3, similarity=85)
+
+
+@query("op9_language")
+def op9_language(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    held_out = crc32_of(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
+    found = language_id.identify(docs.select("doc_id", "text", "lang"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score", "language.distance", "language.rejected")
