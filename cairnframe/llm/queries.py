@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, near_dedup, sharding
+from . import language_id, mixing, near_dedup, sharding, toxicity
 from .common import crc32_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,10 @@ def op9_language(spark, sf_dir):
     held_out = crc32_of(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
     found = language_id.identify(docs.select("doc_id", "text", "lang"), ~held_out)
     return found.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score", "language.distance", "language.rejected")
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet").select("doc_id", "toxic")
+    found = toxicity.classify(_documents(spark, sf_dir).select("doc_id", "text"), labels)
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
