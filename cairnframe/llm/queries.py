@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, near_dedup, sharding, toxicity
+from . import flac, language_id, mixing, near_dedup, sharding, toxicity
 from .common import crc32_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,10 @@ def op5_toxicity(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet").select("doc_id", "toxic")
     found = toxicity.classify(_documents(spark, sf_dir).select("doc_id", "text"), labels)
     return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op10_flac")
+def op10_flac(spark, sf_dir):
+    return flac.digests(flac.encode_documents(_documents(spark, sf_dir))).select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"
+    )
