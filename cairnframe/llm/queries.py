@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flac, language_id, mixing, near_dedup, sharding, toxicity
+from . import flac, language_id, mixing, near_dedup, segmentation, sharding, token_counts, toxicity, unigram
 from .common import crc32_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,33 @@ def op10_flac(spark, sf_dir):
     return flac.digests(flac.encode_documents(_documents(spark, sf_dir))).select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"
     )
+
+
+def vocabulary(path: str | None = None):
+    """The vocabulary at ``path``; by default the public model that is installed beside Python."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("piece_bpe_32k.model")
+    return unigram.load(str(path))
+
+
+@query("op4_token_counts")
+def op4_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(_documents(spark, sf_dir), vocabulary())
+
+
+@query("op7_sentencepiece")
+def op7_sentencepiece(spark, sf_dir):
+    words = vocabulary()
+    found = segmentation.segmented(_documents(spark, sf_dir).select("doc_id", "text"), words, 4)
+    decoded = segmentation.decode(spark, words, F.col("encoded.ids"))
+    return found.select(
+        "doc_id",
+        F.size("encoded.ids").cast("long").alias("n_pieces"),
+        F.col("encoded.score").alias("score"),
+        F.crc32(F.encode(F.array_join("encoded.ids", " "), "utf-8")).alias("ids_crc32"),
+        F.col("encoded.others.score").alias("other_scores"),
+        F.col("encoded.others.n_pieces").alias("other_pieces"),
+        (decoded == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
