@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flac, language_id, mixing, near_dedup, segmentation, sharding, token_counts, toxicity, unigram
+from . import flac, language_id, license_scan, mixing, near_dedup, segmentation, sharding, token_counts, topk, toxicity, unigram
 from .common import crc32_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,27 @@ def op7_sentencepiece(spark, sf_dir):
         F.col("encoded.others.n_pieces").alias("other_pieces"),
         (decoded == F.coalesce("text", F.lit(""))).alias("round_trip"),
     )
+
+
+@query("op1_licenses")
+def op1_licenses(spark, sf_dir):
+    found = license_scan.scan(_documents(spark, sf_dir))
+    return found.select(
+        "doc_id", "license", "start", "length", "reduction", "exact", F.size("differences").alias("n_differences"), crc32_of(F.col("block")).alias("block_crc32")
+    )
+
+
+@query(
+    "op2_top_k",
+    """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+""",
+)
+def op2_top_k(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
+    return topk.top_k(vectors, F.col("vec_id") % 20 == 0, 20)
