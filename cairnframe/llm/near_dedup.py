@@ -17,6 +17,8 @@ FEATURES = "doc_id long, n long, key binary, bands array<long>, sig array<byte>"
 SETS = "doc_id long, key binary, shingles array<long>"
 #: Ids that are sent to every executor at most; beyond it the texts are shuffled instead.
 BROADCAST_IDS = 4_000_000
+#: Of 32 turns that pairs are dealt to, those that each round of late comparisons takes.
+ROUNDS = ((0, 2), (2, 32))
 SEED = 20240117
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -183,6 +185,55 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def _undecided(members: DataFrame, found: DataFrame, signed: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, with their component and the bucket's largest one.
+
+    The bucket's first member has been compared with all others, so it is left out,
+    and so are buckets of two.
+    """
+    placed = members.filter("members > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    counts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n_in"))
+    mixed = counts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n_in", "component")).alias("largest")).filter("parts > 1")
+    rest = placed.filter("node != first").join(mixed, "bucket").join(signed, "node")
+    return rest.select("bucket", "node", "component", "largest", "n", "sig", F.pmod(F.xxhash64("node"), F.lit(ROUNDS[-1][1])).alias("turn"))
+
+
+def _common_shingles(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """For each node, how many of its shingles some other node has: no two nodes share more than the smaller number."""
+    own = sets.select(F.col("doc_id").alias("node"), "shingles").join(nodes, "node", "left_semi")
+    single = own.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1")
+    alone = single.groupBy("node").agg(F.count("*").alias("alone"))
+    return own.select("node", F.size("shingles").alias("size")).join(alone, "node", "left").select("node", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
+
+
+def _late_pairs(rest: DataFrame, begin: int, end: int, percent: int, hashes: int) -> DataFrame:
+    """Pairs of different components that share a bucket, whose turn it is, and that may be linked.
+
+    Shingles that a node shares with nobody bound each of its similarities from above;
+    this spares nearly all pairs of a member that is too far from its group.
+    """
+    columns = F.struct("node", "component", "turn", "common", "n", "sig")
+    outside = rest.filter("component != largest").select("bucket", columns.alias("l")).alias("o")
+    others = rest.select("bucket", columns.alias("r"), (F.col("component") == F.col("largest")).alias("inside")).alias("p")
+    turn = (F.col("l.turn") + F.col("r.turn")) % ROUNDS[-1][1]
+    meet = (F.col("o.bucket") == F.col("p.bucket")) & (turn >= begin) & (turn < end) & (F.col("l.component") != F.col("r.component"))
+    once = F.col("p.inside") | (F.col("l.node") < F.col("r.node"))
+    shared = F.least("l.common", "r.common")
+    enough = shared * 100 >= (F.col("l.n") + F.col("r.n") - shared) * percent
+    pairs = outside.join(others, meet & once & enough & _may_link("l", "r", percent, hashes))
+    return pairs.select(F.least("l.node", "r.node").alias("u"), F.greatest("l.node", "r.node").alias("v")).distinct()
+
+
+def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found`` with the components that further links connect; a node without links before joins with its own."""
+    u, v = (found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")) for c in ("u", "v"))
+    placed = links.join(u, "u", "left").join(v, "v", "left").select(F.coalesce("u_in", "u").alias("u"), F.coalesce("v_in", "v").alias("v"))
+    merged = stored(components(placed))
+    renamed = merged.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    moved = found.join(renamed, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return moved.unionByName(merged.join(found, "node", "left_anti"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, hashes: int = 216, miss: float = 1e-6) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row.
 
@@ -195,9 +246,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, hashe
        bucket, first by signature, then by the full sets (made again from the texts
        of these documents alone). Components of the links follow.
     3. In buckets that still hold several components, the members outside the largest
-       one are compared with the members of the others. So every pair that shares a bucket is
-       compared or already connected, and a group of near copies costs links in
-       proportion to its size. Nothing is capped.
+       one are compared with the members of the others: a small share of these pairs
+       first, then, for what is still apart, the rest (``ROUNDS``). So every pair that
+       shares a bucket is compared or connected by other links, and members of a
+       group of near copies rarely meet more than a few others. Nothing is capped.
 
     A pair at the threshold shares no bucket with a chance of at most ``miss``; more
     similar pairs are safer. The exact check removes all false pairs.
@@ -235,29 +287,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, hashe
     links = stored(_confirmed(passed, sets, similarity))
     found = stored(components(links))
 
-    # Buckets of several components; a pair with a bucket's first member has been compared above.
-    placed = members.filter("members > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    counts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n_in"))
-    mixed = counts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n_in", "component")).alias("largest")).filter("parts > 1")
-    rest = placed.filter("node != first").join(mixed, "bucket").join(signed, "node")
-    rest = stored(rest.select("bucket", "node", "component", "largest", "n", "sig"))
-    outside = rest.filter("component != largest").select("bucket", F.struct("node", "component", "n", "sig").alias("l"))
-    others = rest.select("bucket", F.struct("node", "component", "largest", "n", "sig").alias("r"))
-    once = (F.col("r.component") == F.col("r.largest")) | (F.col("l.node") < F.col("r.node"))
-    meet = (F.col("o.bucket") == F.col("p.bucket")) & (F.col("l.component") != F.col("r.component")) & once & _may_link("l", "r", similarity, signature)
-    late = outside.alias("o").join(others.alias("p"), meet).select(F.least("l.node", "r.node").alias("u"), F.greatest("l.node", "r.node").alias("v")).distinct()
-    late = stored(late)
-    if not late.isEmpty():
-        missing = stored(nodes_of(late).join(sets.select(F.col("doc_id").alias("node")), "node", "left_anti"))
-        more = stored(_sets_of(docs, missing, width))
-        late_links = _confirmed(late, sets.unionByName(more), similarity)
-        of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}c"))
-        joined = late_links.join(of("u"), "u", "left").join(of("v"), "v", "left")
-        merged = components(joined.select(F.coalesce("uc", "u").alias("u"), F.coalesce("vc", "v").alias("v")))
-        # A class that had no link before stands for itself in ``merged``.
-        alone = merged.join(found, "node", "left_anti")
-        renamed = merged.select(F.col("node").alias("component"), F.col("component").alias("to"))
-        found = stored(found.join(renamed, "component", "left").select("node", F.coalesce("to", "component").alias("component")).unionByName(alone))
+    common = None
+    for begin, end in ROUNDS:
+        rest = stored(_undecided(members, found, signed))
+        if rest.isEmpty():
+            break
+        if common is None:
+            nodes = rest.select("node").distinct()
+            missing = reps.select("node", "key").join(nodes, "node", "left_semi").join(sets.select(F.col("doc_id").alias("node")), "node", "left_anti")
+            sets = sets.unionByName(stored(_sets_of(docs, stored(missing), width)))
+            common = stored(_common_shingles(sets, nodes))
+        late = stored(_late_pairs(rest.join(common, "node"), begin, end, similarity, signature))
+        found = stored(_merged(found, _confirmed(late, sets, similarity)))
 
     labels = classes.join(found, "node", "left").select("key", F.coalesce("component", "node").alias("label"))
     out = made.select("doc_id", "n", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(labels, "key", "left")
