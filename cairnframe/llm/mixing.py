@@ -52,7 +52,7 @@ def source_targets(narrow: DataFrame, weights: Sequence[float], repeats: int) ->
         .withColumn("open", F.coalesce(F.sum("weight").over(after), F.lit(0.0)))
         .withColumn("reached", F.col("full") + F.col("level") * F.col("open") >= F.col("budget"))
         .withColumn("candidate", (F.col("budget") - (F.col("full") - F.col("most"))) / (F.col("open") + F.col("weight")))
-        .withColumn("v", F.min(F.when(F.col("reached"), F.col("candidate"))).over(every))
+        .withColumn("v", F.min(F.when(F.col("reached"), F.struct("level", "place", "candidate"))).over(every).getField("candidate"))
     )
     target = F.least(F.col("weight") * F.col("v"), F.col("most"))
     return levels.select("_stratum", "place", "weight", "source_size", "budget", "v", target.alias("target"))

@@ -74,9 +74,9 @@ WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, '')
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
 w AS (SELECT *, CAST(place % 3 + 1 AS DOUBLE) AS weight, source_size * 3.0::DOUBLE AS most FROM s),
 l AS (SELECT *, most / weight AS level, (SELECT sum(source_size) FROM w)::DOUBLE AS budget FROM w),
-c AS (SELECT *, sum(most) OVER (ORDER BY level, place) AS filled,
+c AS (SELECT *, row_number() OVER (ORDER BY level, place) AS step, sum(most) OVER (ORDER BY level, place) AS filled,
              coalesce(sum(weight) OVER (ORDER BY level, place ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS rest FROM l),
-v AS (SELECT min((budget - (filled - most)) / (rest + weight)) FILTER (filled + level * rest >= budget) AS v FROM c),
+v AS (SELECT arg_min((budget - (filled - most)) / (rest + weight), step) FILTER (filled + level * rest >= budget) AS v FROM c),
 t AS (SELECT source, place, weight, source_size, budget, least(weight * v, most) AS target FROM c, v),
 f AS (SELECT d.*, t.place, t.weight, t.source_size, t.budget, t.target,
              sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS words
