@@ -243,7 +243,7 @@ class _Bits:
         padded = np.concatenate([buffer, np.full(16, 0xFF, np.uint8)])
         n = len(padded) - 8
         wide = padded.astype(np.uint64)
-        self.window = sum(wide[j : n + j] << np.uint64(32 - 8 * j) for j in range(5)).astype(np.int64)
+        self.window = sum(wide[j : n + 2 + j] << np.uint64(32 - 8 * j) for j in range(5)).astype(np.int64)
         bits = np.unpackbits(padded[:n])
         self.last = len(bits) - 8
         self.ones = np.flatnonzero(bits).astype(np.int64)
@@ -286,13 +286,14 @@ def _read_subframes(bits: _Bits, at: np.ndarray, n: np.ndarray, width: np.ndarra
     head = bits.read(at, 8)
     kind, ok = (head >> 1) & 63, head < 128
     at = at + 8
-    wasted = np.where(head & 1, bits.next_one(at) - at + 1, 0)
+    wasted = np.where(head & 1, np.minimum(bits.next_one(at) - at + 1, 32), 0)
     at, width = at + wasted, np.maximum(width - wasted, 1)
     is_fixed, is_lpc = (kind >= 8) & (kind <= 12), kind >= 32
     ok &= (kind <= 1) | is_fixed | is_lpc
     order = np.where(is_fixed, kind - 8, np.where(is_lpc, (kind & 31) + 1, 0))
     coded = is_fixed | is_lpc
     ok &= order <= n
+    order = np.where(ok, order, 0)
     out = np.zeros((rows, longest), np.int64)
 
     single = kind == 0
@@ -318,9 +319,9 @@ def _read_subframes(bits: _Bits, at: np.ndarray, n: np.ndarray, width: np.ndarra
             at = at + np.where(here, precision, 0)
 
     method, depth = bits.read(at, 2), bits.read(at + 2, 4)
-    ok &= ~coded | (method <= 1)
-    at = at + np.where(coded, 6, 0)
     size = n >> depth
+    ok &= ~coded | ((method <= 1) & (size >= order) & (size << depth == n))
+    at = at + np.where(coded, 6, 0)
     coded = coded & ok
     parameter_bits = 4 + np.minimum(method, 1)
     flat = out.reshape(-1)
@@ -382,12 +383,12 @@ def read_frames(buffer: np.ndarray, starts: np.ndarray, width: np.ndarray) -> tu
     ``width`` is the sample size where a frame's header leaves it to the stream.
     """
     bits = _Bits(buffer)
+    starts = np.minimum(starts, len(buffer))
     at = starts * 8
     good = (bits.read(at, 15) == 0x7FFC) & (starts + 6 <= len(buffer))
     size_code, rate_code, channel_code, bit_code = (bits.read(at + o, w) for o, w in ((16, 4), (20, 4), (24, 4), (28, 3)))
     lead = bits.read(at + 32, 8)
-    extra = np.where(lead < 0x80, 0, 7 - np.floor(np.log2(np.maximum(255 - lead, 1))).astype(int) - 1)
-    number_bytes = np.where(lead < 0x80, 1, np.clip(extra, 1, 7))
+    number_bytes = np.where(lead < 0x80, 1, 7 - np.floor(np.log2(np.maximum(255 - lead, 1))).astype(int))
     p = at + 32 + 8 * number_bytes
     n = np.select([size_code == 6, size_code == 7], [bits.read(p, 8) + 1, bits.read(p, 16) + 1], _BLOCK_SIZES[size_code])
     p = p + np.select([size_code == 6, size_code == 7], [8, 16], 0) + 8 * _RATE_BYTES[rate_code]
