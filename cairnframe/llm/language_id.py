@@ -129,8 +129,8 @@ def fit(docs: DataFrame, clusters: int = 4, per_lang: int = 400, slack: float =
 
     # Thin out each language by its count before anything is sorted.
     order = F.pmod(F.xxhash64(F.lit("languages"), "doc_id"), F.lit(1 << 30))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    thin = rows.join(sizes, "lang").withColumn("order", order).filter(F.col("order") * F.col("n") <= F.lit((1 << 30) * (2 * per_lang + 100)))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))  # a row for each language, as the model has
+    thin = rows.join(F.broadcast(sizes), "lang").withColumn("order", order).filter(F.col("order") * F.col("n") <= F.lit((1 << 30) * (2 * per_lang + 100)))
     first = Window.partitionBy("lang").orderBy("order", "doc_id", "text")
     sample = thin.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= per_lang).select("lang", "rank", "text")
 
