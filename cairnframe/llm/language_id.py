@@ -59,14 +59,13 @@ def _counts(texts: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarr
     keep = is_letter.copy()
     keep[1:] |= is_letter[:-1]
     codes, owner = np.where(is_letter, codes, 32)[keep].astype(np.uint64), owner[keep]
-    # A text's n-grams start and end with a blank, so none spans two texts.
     base = owner * DIMS
     out = np.zeros(len(texts) * DIMS)
     for n in (1, 2, 3):
         if len(codes) < n:
             break
         h = np.full(len(codes) - n + 1, n, np.uint64)
-        inside = np.ones(len(h), bool)
+        inside = owner[: len(h)] == owner[n - 1 :]  # none spans two texts
         for j in range(n):
             part = codes[j : len(codes) - n + 1 + j]
             h = (h ^ part) * np.uint64(0x9E3779B97F4A7C15)

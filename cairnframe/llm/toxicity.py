@@ -97,44 +97,49 @@ class Model:
     voters: tuple[tuple[str, float, float, float], ...]
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, weight: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, labels: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of toxic for each row, and for each voter its rates on toxic and on clean rows and its share.
 
-    The generative model has one hidden class for a row; a voter fires with a rate of
-    its own in each class or abstains, which says nothing, since a lexicon covers a few
-    of many ways to be toxic. The last voter, the given label, speaks of every row and
-    may be wrong; its share of toxic rows is the class balance, and its rates stay in
-    bounds, so that the hidden class keeps its meaning. EM fits the rates. Voters that still fire together once the class is known are
-    correlated: their evidence is divided by one plus the sum of their squared
-    correlations with the other voters, so that copies of one voter count once.
+    The generative model has a hidden class for each row: clean, toxic in a way that the
+    voters know, or toxic in a way that they don't, where they fire as on clean rows.
+    A voter fires with a rate of its own; the given label, the last voter, may be wrong
+    and tells clean from both kinds of toxic. EM fits rates and sizes, the share of toxic
+    labels is the class balance, and the label's rates stay in bounds, so that the
+    classes keep their meaning. Voters that still fire together once the class is
+    known are correlated: their evidence is divided by one plus the sum of their
+    squared correlations with the other voters, so that copies of one voter count once.
     """
-    x = np.column_stack([votes, labels]).astype(float)
-    always = np.arange(x.shape[1]) == votes.shape[1]
-    prior = np.clip((labels * weight).sum() / weight.sum(), 0.01, 0.5)
-    posterior = np.where(labels == 1, 0.95, 0.05)
-    share = np.ones(x.shape[1])
-    on = off = np.zeros(x.shape[1])
+    x, total = votes.astype(float), weight.sum()
+    prior = float(np.clip((labels * weight).sum() / total, 0.01, 0.5))
+    known = np.where((labels == 1) & votes.any(axis=1), 0.9, 0.02)
+    missed = np.where(labels == 1, 0.98 - known, 0.02)
+    toxic, covered, hit, wrong = known + missed, 0.5, 0.95, 0.02
+    on = off = share = np.ones(x.shape[1])
     for _ in range(rounds):
-        p1, p0 = posterior * weight, (1 - posterior) * weight
-        on = (p1 @ x + 0.1) / (p1.sum() + 1)
-        off = (p0 @ x + 0.01) / (p0.sum() + 1)
-        on[-1], off[-1] = np.clip(on[-1], 0.8, 0.99), np.clip(off[-1], 0.002, 0.02)
-        rest = (x - np.outer(posterior, on) - np.outer(1 - posterior, off)) * np.sqrt(weight)[:, None]
+        w1, w0 = known * weight, (1 - known) * weight
+        on, off = (w1 @ x + 0.1) / (w1.sum() + 1), (w0 @ x + 0.01) / (w0.sum() + 1)
+        covered = float(np.clip(w1.sum() / max((toxic * weight).sum(), 1e-9), 0.02, 0.98))
+        hit = float(np.clip((toxic * weight) @ labels / max((toxic * weight).sum(), 1e-9), 0.8, 0.99))
+        wrong = float(np.clip(((1 - toxic) * weight) @ labels / max(((1 - toxic) * weight).sum(), 1e-9), 0.002, 0.08))
+        rest = (x - np.outer(known, on) - np.outer(1 - known, off)) * np.sqrt(weight)[:, None]
         cov = rest.T @ rest
         scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
         corr = cov / np.outer(scale, scale)
         np.fill_diagonal(corr, 0)
-        share = np.where(always, 1, 1 / (1 + (corr**2).sum(axis=1)))
-        evidence = x * np.log(on / off) + always * (1 - x) * np.log((1 - on) / (1 - off))
-        logit = np.log(prior / (1 - prior)) + evidence @ share
-        fresh = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        if np.abs(fresh - posterior).max() < 1e-6:
+        share = 1 / (1 + (corr**2).sum(axis=1))
+        evidence = (x * np.log(on / off) + (1 - x) * np.log((1 - on) / (1 - off))) @ share
+        told = np.where(labels == 1, np.log(hit / wrong), np.log((1 - hit) / (1 - wrong))) + np.log(prior / (1 - prior))
+        a, b = np.clip(told + np.log(covered) + evidence, -30, 30), np.clip(told + np.log(1 - covered), -30, 30)
+        bottom = 1 + np.exp(a) + np.exp(b)
+        fresh, missed = np.exp(a) / bottom, np.exp(b) / bottom
+        moved = np.abs(fresh + missed - toxic).max()
+        known, toxic = fresh, fresh + missed
+        if moved < 1e-6:
             break
-        posterior = fresh
-    return posterior, on, off, share
+    return toxic, np.append(on, hit), np.append(off, wrong), np.append(share, 1.0)
 
 
-def _linear(rows: np.ndarray, columns: np.ndarray, width: int, target: np.ndarray, weight: np.ndarray, rounds: int = 300, ridge: float = 2e-4) -> tuple[np.ndarray, float]:
+def _linear(rows: np.ndarray, columns: np.ndarray, width: int, target: np.ndarray, weight: np.ndarray, rounds: int = 300, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and constant of a logistic regression on soft targets, by gradient steps with momentum."""
     w, b = np.zeros(width), 0.0
     first, second, count = np.zeros(width + 1), np.zeros(width + 1), weight.sum()
