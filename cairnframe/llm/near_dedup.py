@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from .common import sliced, small_batches, stored
 
 FEATURES = "doc_id long, n long, key binary, bands array<long>, sig array<byte>"
-SETS = "doc_id long, key binary, shingles array<long>"
+SETS = "doc_id long, key binary, shingles array<long>, parity array<long>"
+#: Classes that shingles fall into, to bound from below how many two sets differ by.
+CLASSES = 2048
 #: Ids that are sent to every executor at most; beyond it the texts are shuffled instead.
 BROADCAST_IDS = 4_000_000
 #: Of 32 turns that pairs are dealt to, those that each round of late comparisons takes.
@@ -118,9 +120,11 @@ def _set_maker(width: int):
             flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
             ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
             keys = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), keys, pa.ListArray.from_arrays(ends, pa.array(flat, pa.int64()))], names=["doc_id", "key", "shingles"]
-            )
+            odd = [np.packbits(np.bincount((s & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES) & 1).view(np.int64) for s in sets]
+            at = pa.array(np.arange(len(sets) + 1) * (CLASSES // 64), pa.int32())
+            parity = pa.ListArray.from_arrays(at, pa.array(np.concatenate(odd) if odd else np.empty(0, np.int64), pa.int64()))
+            shingles = pa.ListArray.from_arrays(ends, pa.array(flat, pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), keys, shingles, parity], names=["doc_id", "key", "shingles", "parity"])
 
     return make
 
@@ -185,7 +189,7 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _undecided(members: DataFrame, found: DataFrame, signed: DataFrame) -> DataFrame:
+def _undecided(members: DataFrame, found: DataFrame, sized: DataFrame) -> DataFrame:
     """Members of the buckets that hold several components, with their component and the bucket's largest one.
 
     The bucket's first member has been compared with all others, so it is left out,
@@ -194,33 +198,28 @@ def _undecided(members: DataFrame, found: DataFrame, signed: DataFrame) -> DataF
     placed = members.filter("members > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     counts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n_in"))
     mixed = counts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n_in", "component")).alias("largest")).filter("parts > 1")
-    rest = placed.filter("node != first").join(mixed, "bucket").join(signed, "node")
-    return rest.select("bucket", "node", "component", "largest", "n", "sig", F.pmod(F.xxhash64("node"), F.lit(ROUNDS[-1][1])).alias("turn"))
-
-
-def _common_shingles(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """For each node, how many of its shingles some other node has: no two nodes share more than the smaller number."""
-    own = sets.select(F.col("doc_id").alias("node"), "shingles").join(nodes, "node", "left_semi")
-    single = own.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1")
-    alone = single.groupBy("node").agg(F.count("*").alias("alone"))
-    return own.select("node", F.size("shingles").alias("size")).join(alone, "node", "left").select("node", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
+    rest = placed.filter("node != first").join(mixed, "bucket").join(sized, "node")
+    return rest.select("bucket", "node", "component", "largest", "n", F.pmod(F.xxhash64("node"), F.lit(ROUNDS[-1][1])).alias("turn"))
 
 
-def _late_pairs(rest: DataFrame, begin: int, end: int, percent: int, hashes: int) -> DataFrame:
+def _late_pairs(rest: DataFrame, begin: int, end: int, percent: int) -> DataFrame:
     """Pairs of different components that share a bucket, whose turn it is, and that may be linked.
 
-    Shingles that a node shares with nobody bound each of its similarities from above;
-    this spares nearly all pairs of a member that is too far from its group.
+    A class of shingles that one set has an odd and the other an even number of holds
+    at least one that only one of them has. So the number of such classes is never more
+    than the sets differ by, and pairs beyond what the similarity allows are left out
+    without a loss.
     """
-    columns = F.struct("node", "component", "turn", "common", "n", "sig")
+    columns = F.struct("node", "component", "turn", "n", "parity")
     outside = rest.filter("component != largest").select("bucket", columns.alias("l")).alias("o")
     others = rest.select("bucket", columns.alias("r"), (F.col("component") == F.col("largest")).alias("inside")).alias("p")
     turn = (F.col("l.turn") + F.col("r.turn")) % ROUNDS[-1][1]
     meet = (F.col("o.bucket") == F.col("p.bucket")) & (turn >= begin) & (turn < end) & (F.col("l.component") != F.col("r.component"))
     once = F.col("p.inside") | (F.col("l.node") < F.col("r.node"))
-    shared = F.least("l.common", "r.common")
-    enough = shared * 100 >= (F.col("l.n") + F.col("r.n") - shared) * percent
-    pairs = outside.join(others, meet & once & enough & _may_link("l", "r", percent, hashes))
+    sizes = F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * percent
+    apart = F.aggregate(F.zip_with("l.parity", "r.parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    near = apart * (100 + percent) <= (F.col("l.n") + F.col("r.n")) * (100 - percent)
+    pairs = outside.join(others, meet & once & sizes & near)
     return pairs.select(F.least("l.node", "r.node").alias("u"), F.greatest("l.node", "r.node").alias("v")).distinct()
 
 
@@ -287,17 +286,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, hashe
     links = stored(_confirmed(passed, sets, similarity))
     found = stored(components(links))
 
-    common = None
+    made_all = False
     for begin, end in ROUNDS:
-        rest = stored(_undecided(members, found, signed))
+        rest = stored(_undecided(members, found, reps.select("node", "n")))
         if rest.isEmpty():
             break
-        if common is None:
+        if not made_all:  # later rounds have no further members
             nodes = rest.select("node").distinct()
             missing = reps.select("node", "key").join(nodes, "node", "left_semi").join(sets.select(F.col("doc_id").alias("node")), "node", "left_anti")
             sets = sets.unionByName(stored(_sets_of(docs, stored(missing), width)))
-            common = stored(_common_shingles(sets, nodes))
-        late = stored(_late_pairs(rest.join(common, "node"), begin, end, similarity, signature))
+            made_all = True
+        parity = sets.select(F.col("doc_id").alias("node"), "parity")
+        late = stored(_late_pairs(rest.join(parity, "node"), begin, end, similarity))
         found = stored(_merged(found, _confirmed(late, sets, similarity)))
 
     labels = classes.join(found, "node", "left").select("key", F.coalesce("component", "node").alias("label"))
