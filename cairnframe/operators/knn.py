@@ -11,6 +11,7 @@ smaller id.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,9 @@ from ..sources.tables import stored
 # A query table (and a table of excluded pairs) up to this size is sent to every task;
 # a larger one is shuffled in blocks.
 BROADCAST_BYTES = 64 << 20
-PAIR_BYTES = 64
+PAIR_BYTES = 256
+# What an id takes besides its vector.
+ID_BYTES = 64
 # Points of one shuffled block, and queries of one shuffled block, in bytes of DOUBLE vectors.
 BLOCK_BYTES = 64 << 20
 # A table of block counts up to this many cells (12 bytes each) is broadcast.
@@ -33,6 +36,8 @@ MAX_BROADCAST_CELLS = 1_000_000
 # Bounds on one scoring step inside a task.
 SCORE_CELLS = 2_000_000
 RESCORE_CELLS = 8_000_000
+# Rows of one batch that a task gives back.
+OUT_ROWS = 100_000
 
 SEGMENT = 16  # dimensions averaged per row when vectors are combined
 
@@ -52,13 +57,13 @@ def knn(
     """``points`` columns, ``score`` and ``rank`` of the ``k`` best after ``offset``, best first.
 
     The limit is taken per partition first (``TakeOrderedAndProject``), so the
-    sort never moves more than ``offset + k`` rows per task.
+    sort never moves more than ``offset + k`` rows per task. One task ranks these
+    rows; for pages far down use :func:`knn_join`. A point of another length raises.
     """
     if vector_name is not None:
         points = points.filter(F.col("vector_name") == vector_name)
-    scored = points.filter(F.size("vector") == len(query)).withColumn(
-        "score", score_literal(F.col("vector"), query, metric)
-    )
+    checked = points.filter("vector IS NOT NULL").withColumn("vector", _of_length(F.col("vector"), len(query)))
+    scored = checked.withColumn("score", score_literal(F.col("vector"), query, metric))
     if threshold is not None:
         scored = scored.filter(passes_threshold(F.col("score"), threshold, metric))
     top = scored.orderBy(best_first("score", metric), "id").limit(offset + k)
@@ -69,6 +74,10 @@ def knn(
 # ---------------------------------------------------------------- block scorer
 
 
+def _one_array(column: pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+
+
 def _matrix(vectors) -> np.ndarray:
     """Arrow list column (equal lengths) as a matrix of DOUBLE."""
     if isinstance(vectors, pa.ChunkedArray):
@@ -105,8 +114,9 @@ class _TopK:
 
     slack = 1e-11
 
-    def __init__(self, queries: np.ndarray, k: int, metric: str, excluded: dict | None = None):
-        self.q, self.k, self.metric = queries, max(k, 1), metric
+    def __init__(self, queries: np.ndarray, k: int | np.ndarray, metric: str, excluded: dict | None = None):
+        self.q, self.metric = queries, metric
+        self.k = np.maximum(np.broadcast_to(np.asarray(k, dtype=np.int64), len(queries)), 1)
         self.sign = 1.0 if HIGHER_IS_BETTER[metric] else -1.0
         self.excluded = excluded or {}
         self.rows = self.scores = self.ids = None
@@ -140,9 +150,9 @@ class _TopK:
         rows, ids, scores = rows[fresh], ids[fresh], scores[fresh]
         starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]][: len(rows)])
         place = np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)]))
-        last = place == self.k - 1
+        last = place == self.k[rows] - 1
         self.floor[rows[last]] = self.sign * scores[last]
-        keep = place < self.k
+        keep = place < self.k[rows]
         self.rows, self.ids, self.scores = rows[keep], ids[keep], scores[keep]
 
     def _shortlist(self, among: np.ndarray, p: np.ndarray, hidden: np.ndarray):
@@ -168,9 +178,13 @@ class _TopK:
             place = np.minimum(np.searchsorted(among, hidden[:, 0]), len(among) - 1)
             inside = among[place] == hidden[:, 0]
             approx[place[inside], hidden[inside, 1]] = -np.inf
-        if approx.shape[1] > self.k:
-            kth = np.partition(approx, approx.shape[1] - self.k, axis=1)[:, approx.shape[1] - self.k]
-            floor = np.maximum(floor, kth)
+        # Queries of similar limits together, so that one long page does not lengthen the others.
+        wanted = self.k[among]
+        for size in np.unique(np.ceil(np.log2(wanted))):
+            alike = np.flatnonzero(np.ceil(np.log2(wanted)) == size)
+            place = approx.shape[1] - int(wanted[alike].max())
+            if place > 0:
+                floor[alike] = np.maximum(floor[alike], np.partition(approx[alike], place, axis=1)[:, place])
         rows, cols = np.nonzero((approx >= (floor - margin)[:, None]) & np.isfinite(approx))
         scores = np.empty(len(rows))
         step = max(1, RESCORE_CELLS // p.shape[1])
@@ -196,12 +210,12 @@ def _arrow_schema(result: T.StructType) -> pa.Schema:
     return to_arrow_schema(result)
 
 
-def _as_batch(top: _TopK, query_ids, schema: pa.Schema) -> pa.RecordBatch | None:
-    if top.ids is None or not len(top.ids):
-        return None
-    picked = pa.array([query_ids[r] for r in top.rows], type=schema.field(0).type)
-    ids = pa.array(top.ids.tolist(), type=schema.field(1).type)
-    return pa.record_batch([picked, ids, pa.array(top.scores)], schema=schema)
+def _as_batches(top: _TopK, query_ids: pa.Array, schema: pa.Schema):
+    """What a task found, in batches of bounded size."""
+    for start in range(0, 0 if top.ids is None else len(top.ids), OUT_ROWS):
+        part = slice(start, start + OUT_ROWS)
+        picked = query_ids.take(pa.array(top.rows[part]))
+        yield pa.record_batch([picked, pa.array(top.ids[part].tolist(), type=schema.field(1).type), pa.array(top.scores[part])], schema=schema)
 
 
 def _excluded_rows(pairs, query_ids) -> dict:
@@ -226,113 +240,130 @@ def knn_join(
     exclude: DataFrame | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
     block_bytes: int = BLOCK_BYTES,
+    dim: int | None = None,
 ) -> DataFrame:
     """``query_id, id, score, rank``: the ``k`` best points of every query after ``offset``.
 
     ``points`` has ``id, vector`` and ``queries`` has unique ``query_id`` with
     ``vector``; ``exclude`` lists ``(query_id, id)`` pairs left out before
-    ranking. The first point gives the vector length: a query of another length
-    is an error, a point of another length is not matched.
+    ranking. All vectors have the length ``dim``, or that of the queries when it is
+    not given; a point or query of another length raises.
 
-    The size of the query table (and exclusions) decides the plan: up to
-    ``broadcast_bytes`` it goes to every task and points are not shuffled;
-    beyond that both sides are cut into blocks of at most ``block_bytes`` and
-    every (query block, point block) is one group of bounded size.
+    Points are never shuffled. The number of queries (and exclusions) decides how
+    often they are read: up to ``broadcast_bytes`` the query table goes to every
+    task at once, beyond that in passes of at most ``block_bytes``, whose results are
+    written to the shared folder.
     """
-    check_metric(metric)
-    wanted = offset + k
-    points, queries, dim = _same_length(points, queries)
-    pairs = None if exclude is None else exclude.select("query_id", "id").distinct()
-    small_queries = _rows_up_to(queries, broadcast_bytes // (8 * max(dim, 1)))
-    small_pairs = None if pairs is None else _rows_up_to(pairs, broadcast_bytes // PAIR_BYTES)
-    if small_queries is not None and (pairs is None or small_pairs is not None):
-        partial = _broadcast_top(points, queries, small_queries, small_pairs, wanted, metric)
-    else:
-        one_cell = F.lit(0)
-        partial = _blocked_top(
-            points.withColumn("cell", one_cell),
-            stored(queries).withColumn("cell", one_cell),
-            None if pairs is None else stored(pairs).withColumn("cell", one_cell),
-            wanted,
-            metric,
-            max(1, block_bytes // (8 * max(dim, 1))),
-        )
+    partial = _top_partial(points, queries, offset + k, metric, exclude, broadcast_bytes, block_bytes, dim)
     if threshold is not None:
         partial = partial.filter(passes_threshold(F.col("score"), threshold, metric))
-    return rank_per_query(partial, wanted, metric).filter(F.col("rank") > offset)
+    return rank_per_query(partial, offset + k, metric).filter(F.col("rank") > offset)
 
 
-def search(points: DataFrame, requests: DataFrame, metric: str = "Cosine", exclude: DataFrame | None = None) -> DataFrame:
+def _top_partial(points, queries, k: int | None, metric, exclude, broadcast_bytes, block_bytes, dim) -> DataFrame:
+    """The best ``k`` per query (or as many as its column ``k`` says) of every task."""
+    check_metric(metric)
+    points, queries, dim = _same_length(points, queries, dim)
+    queries = queries.withColumn("k", F.lit(k).cast("long") if k is not None else F.col("k").cast("long"))
+    pairs = None if exclude is None else exclude.select("query_id", "id").distinct()
+    row = 8 * max(dim, 1) + ID_BYTES
+    n_queries, n_pairs = queries.count(), 0 if pairs is None else pairs.count()
+    if n_queries * row <= broadcast_bytes and n_pairs * PAIR_BYTES <= broadcast_bytes:
+        return _broadcast_top(points, queries, queries.toArrow(), None if pairs is None else pairs.toArrow(), metric)
+    passes = max(1, -(-n_queries * row // block_bytes), -(-n_pairs * PAIR_BYTES // max(broadcast_bytes, block_bytes)))
+    at = F.pmod(F.xxhash64("query_id"), F.lit(passes)).alias("_pass")
+    queries = stored(queries.select("*", at))
+    pairs = None if pairs is None else stored(pairs.select("*", at))
+    found = None
+    for n in range(passes):
+        asked, hidden = (None if t is None else t.filter(F.col("_pass") == n).drop("_pass").toArrow() for t in (queries, pairs))
+        part = stored(_broadcast_top(points, queries, asked, hidden, metric))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def search(
+    points: DataFrame,
+    requests: DataFrame,
+    metric: str = "Cosine",
+    exclude: DataFrame | None = None,
+    dim: int | None = None,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
     """``knn_join`` with limits of each request's own: ``query_id, id, score, rank``.
 
     ``requests``: ``query_id, vector, limit, offset, score_threshold``. A missing
     limit is 0 and gives no rows, a missing offset is 0, a missing threshold
-    keeps all. The widest page sets how many neighbours are ranked per query.
+    keeps all. A task keeps as many neighbours of a query as its own page needs.
     """
     limit, offset = F.coalesce("limit", F.lit(0)), F.coalesce("offset", F.lit(0))
-    pages = requests.filter(limit > 0).withColumn("_from", offset).withColumn("_to", offset + limit)
-    widest = pages.agg(F.max("_to")).first()[0] or 0
-    ranked = knn_join(points, pages, int(widest), metric, exclude=exclude)
-    joined = ranked.join(pages.select("query_id", "_from", "_to", "score_threshold"), "query_id")
+    pages = requests.filter(limit > 0).withColumn("_from", offset).withColumn("k", offset + limit)
+    partial = _top_partial(points, pages, None, metric, exclude, broadcast_bytes, block_bytes, dim)
+    ranked = rank_per_query(partial, None, metric)
+    joined = ranked.join(pages.select("query_id", "_from", "k", "score_threshold"), "query_id")
     passes = F.col("score_threshold").isNull() | passes_threshold(F.col("score"), F.col("score_threshold"), metric)
-    on_page = (F.col("rank") > F.col("_from")) & (F.col("rank") <= F.col("_to"))
+    on_page = (F.col("rank") > F.col("_from")) & (F.col("rank") <= F.col("k"))
     return joined.filter(on_page & passes).select("query_id", "id", "score", "rank")
 
 
-def _same_length(points: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Points and queries with vectors of the first point's length, and that length (0 without points)."""
-    points = points.select("id", "vector").filter("vector IS NOT NULL")
-    first = points.select(F.size("vector")).first()
-    dim = first[0] if first else 0
-    fault = F.raise_error(F.lit(f"query vector does not have the points' length {dim}"))
-    vector = F.when(F.lit(dim == 0) | (F.size("vector") == dim), F.col("vector")).otherwise(fault)
-    queries = queries.filter("vector IS NOT NULL").select("query_id", vector.alias("vector"))
-    return points.filter(F.size("vector") == dim), queries, dim
+def _of_length(vector: Column, dim: int) -> Column:
+    fault = F.raise_error(F.concat(F.lit(f"vector does not have length {dim} but "), F.size(vector).cast("string")))
+    return F.when(F.size(vector) == dim, vector).otherwise(fault)
 
 
-def _rows_up_to(df: DataFrame, limit: int) -> pa.Table | None:
-    """The rows when there are at most ``limit``, else None; reads no more than ``limit + 1``."""
-    table = df.limit(limit + 1).toArrow()
-    return table if table.num_rows <= limit else None
+def _same_length(points: DataFrame, queries: DataFrame, dim: int | None) -> tuple[DataFrame, DataFrame, int]:
+    """Points and queries whose vectors are checked to have the length ``dim`` (that of the longest query if not given)."""
+    queries = queries.filter("vector IS NOT NULL")
+    if dim is None:
+        dim = queries.agg(F.max(F.size("vector"))).first()[0] or 0
+        if not dim:  # no queries, or none with components: nothing can be found
+            points = points.filter("false")
+    limit = ["k"] if "k" in queries.columns else []
+    return (
+        points.filter("vector IS NOT NULL").select("id", _of_length(F.col("vector"), dim).alias("vector")),
+        queries.select("query_id", _of_length(F.col("vector"), dim).alias("vector"), *limit),
+        dim,
+    )
 
 
-def rank_per_query(scored: DataFrame, limit: int, metric: str = "Cosine") -> DataFrame:
-    """Add ``rank`` and keep the ``limit`` best per query; limited per task before the shuffle."""
+def rank_per_query(scored: DataFrame, limit: int | None, metric: str = "Cosine") -> DataFrame:
+    """Add ``rank`` and keep the ``limit`` best per query (all without it); limited per task before the shuffle."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(best_first("score", metric), F.col("id")))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= limit).withColumn("rank", F.col("rank").cast("bigint"))
+    ranked = scored.withColumn("rank", rank)
+    ranked = ranked if limit is None else ranked.filter(F.col("rank") <= limit)
+    return ranked.withColumn("rank", F.col("rank").cast("bigint"))
 
 
-def _broadcast_top(points, queries, table: pa.Table, pairs: pa.Table | None, k, metric) -> DataFrame:
-    """Top ``k`` per query and task, with the query table (its rows in ``table``) sent to every task."""
+def _broadcast_top(points, queries, table: pa.Table, pairs: pa.Table | None, metric) -> DataFrame:
+    """The best per query and task, as many as its ``k``, with the query rows in ``table`` sent to every task."""
     result = _result_type(points, queries)
     schema = _arrow_schema(result)
-    query_ids = table.column("query_id").to_pylist()
-    matrix = _matrix(table.column("vector")) if query_ids else np.empty((0, 1))
+    query_ids = _one_array(table.column("query_id"))
+    matrix = _matrix(table.column("vector")) if len(query_ids) else np.empty((0, 1))
+    limits = table.column("k").to_numpy()
     hidden = {}
     if pairs is not None:
-        hidden = _excluded_rows(zip(pairs["query_id"].to_pylist(), pairs["id"].to_pylist()), query_ids)
-    shared = points.sparkSession.sparkContext.broadcast((query_ids, matrix, hidden))
+        hidden = _excluded_rows(zip(pairs["query_id"].to_pylist(), pairs["id"].to_pylist()), query_ids.to_pylist())
+    shared = points.sparkSession.sparkContext.broadcast((query_ids, matrix, limits, hidden))
 
     def score(batches):
-        ids_of_queries, q, excluded = shared.value
+        ids_of_queries, q, k, excluded = shared.value
         top = _TopK(q, k, metric, excluded)
         for batch in batches:
             if batch.num_rows:
                 top.add(_ids(batch.column(0)), _matrix(batch.column(1)))
-        out = _as_batch(top, ids_of_queries, schema)
-        if out is not None:
-            yield out
+        yield from _as_batches(top, ids_of_queries, schema)
 
     return points.mapInArrow(score, result)
 
 
-def _blocked_top(points, queries, exclude, k, metric, rows_per_block, n_cells=1) -> DataFrame:
+def _blocked_top(points, queries, k, metric, rows_per_block, n_cells) -> DataFrame:
     """Top ``k`` per query and block, for points and queries that share a ``cell``.
 
     There are at most ``n_cells`` cells; their row counts fix the number of point
     blocks and query blocks, so a hot cell simply gets more of both. Points are repeated once per query block
-    and queries once per point block. An excluded pair goes only to the one
-    block that holds its point.
+    and queries once per point block.
     """
     result = _result_type(points, queries)
     schema = _arrow_schema(result)
@@ -360,33 +391,15 @@ def _blocked_top(points, queries, exclude, k, metric, rows_per_block, n_cells=1)
         every("n_p").alias("p_block"),
         block_of("query_id", "n_q").alias("q_block"),
         "query_id",
-        F.lit(None).cast(points.schema["id"].dataType).alias("id"),
         "vector",
     )
-    if exclude is not None:
-        right = right.unionByName(
-            exclude.join(blocks, "cell").select(
-                "cell",
-                block_of("id", "n_p").alias("p_block"),
-                block_of("query_id", "n_q").alias("q_block"),
-                "query_id",
-                "id",
-                F.lit(None).cast(queries.schema["vector"].dataType).alias("vector"),
-            )
-        )
-
     def score(p: pa.Table, q: pa.Table) -> pa.Table:
-        is_query = q.column("vector").is_valid()
-        asked, pairs = q.filter(is_query), q.filter(pa.compute.invert(is_query))
-        if not p.num_rows or not asked.num_rows:
+        if not p.num_rows or not q.num_rows:
             return schema.empty_table()
-        query_ids = asked.column("query_id").to_pylist()
-        hidden = _excluded_rows(zip(pairs["query_id"].to_pylist(), pairs["id"].to_pylist()), query_ids)
-        top = _TopK(_matrix(asked.column("vector")), k, metric, hidden)
+        top = _TopK(_matrix(q.column("vector")), k, metric)
         for batch in p.to_batches(max_chunksize=8192):
             top.add(_ids(batch.column("id")), _matrix(batch.column("vector")))
-        out = _as_batch(top, query_ids, schema)
-        return schema.empty_table() if out is None else pa.Table.from_batches([out])
+        return pa.Table.from_batches(list(_as_batches(top, _one_array(q.column("query_id")), schema)), schema=schema)
 
     key = ["cell", "p_block", "q_block"]
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(score, result)
@@ -447,7 +460,7 @@ def recommend_targets(points: DataFrame, inputs: DataFrame, metric: str = "Cosin
 
 def recommend(points: DataFrame, inputs: DataFrame, k: int, metric: str = "Cosine", **options) -> DataFrame:
     """``query_id, id, score, rank``; input ids are left out, faulty requests give no rows."""
-    targets = recommend_targets(points, inputs, metric).filter("n_pos > 0 AND n_missing = 0")
+    targets = stored(recommend_targets(points, inputs, metric).filter("n_pos > 0 AND n_missing = 0"))
     pairs = inputs.select(F.col("request_id").alias("query_id"), "id")
     return knn_join(points, targets, k, metric, exclude=pairs, **options)
 
@@ -467,10 +480,50 @@ def recommend_errors(points: DataFrame, inputs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- approximate search
 
 
-def _cells(vectors: np.ndarray, planes: np.ndarray, bands: int, bits: int) -> np.ndarray:
-    """One cell number per vector and band: the band, then the signs against its planes."""
-    above = (vectors @ planes.T > 0).reshape(len(vectors), bands, bits)
-    return above @ (1 << np.arange(bits, dtype=np.int64)) + (np.arange(bands, dtype=np.int64) << bits)
+@dataclass(frozen=True)
+class _Family:
+    """Random hash functions under which near vectors of a metric often agree."""
+
+    metric: str
+    planes: np.ndarray
+    shifts: np.ndarray
+    bands: int
+    bits: int
+    width: float
+    longest: float
+
+    def cells(self, vectors: np.ndarray, are_queries: bool) -> np.ndarray:
+        """One cell number per vector and band, made of ``bits`` hashes."""
+        if self.metric == "Euclid":  # equal steps along random directions
+            steps = np.floor((vectors @ self.planes.T + self.shifts) / self.width).astype(np.int64).reshape(len(vectors), self.bands, self.bits)
+            cell = np.tile(np.arange(self.bands, dtype=np.int64), (len(vectors), 1))
+            for j in range(self.bits):
+                cell = cell * np.int64(6364136223846793005) + steps[:, :, j] * np.int64(1442695040888963407) + j
+            return cell
+        if self.metric == "Dot":  # one more dimension makes all points equally long, so that only the angle counts
+            norms = np.sqrt((vectors * vectors).sum(axis=1))
+            if are_queries:
+                vectors, more = vectors / np.maximum(norms, 1e-300)[:, None], np.zeros(len(vectors))
+            else:
+                more = np.sqrt(np.maximum(self.longest**2 - norms**2, 0))
+            vectors = np.column_stack([vectors, more])
+        above = (vectors @ self.planes.T > 0).reshape(len(vectors), self.bands, self.bits)
+        return above @ (1 << np.arange(self.bits, dtype=np.int64)) + (np.arange(self.bands, dtype=np.int64) << self.bits)
+
+
+def hyperplanes(count: int, dim: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((count, dim))
+
+
+def _family(points: DataFrame, metric: str, dim: int, bands: int, bits: int, width: float | None, seed: int) -> _Family:
+    if metric == "Manhattan":
+        raise ValueError("approximate search has no signatures for Manhattan")
+    if metric == "Euclid" and not width:
+        raise ValueError("approximate search by Euclid needs the width of a step")
+    longest = float(points.agg(F.max(norm(F.col("vector").cast("array<double>")))).first()[0] or 0.0) if metric == "Dot" else 0.0
+    planes = hyperplanes(bands * bits, dim + (metric == "Dot"), seed)
+    shifts = np.random.default_rng(seed + 1).uniform(0, width or 1.0, bands * bits)
+    return _Family(metric, planes, shifts, bands, bits, width or 1.0, longest)
 
 
 def _rows_by_cell(cells: np.ndarray) -> dict[int, np.ndarray]:
@@ -480,7 +533,7 @@ def _rows_by_cell(cells: np.ndarray) -> dict[int, np.ndarray]:
     return {int(n): np.sort(part // cells.shape[1]) for n, part in zip(numbers, np.split(order, starts[1:]))}
 
 
-def _with_cells(df: DataFrame, planes: np.ndarray, bands: int, bits: int) -> DataFrame:
+def _with_cells(df: DataFrame, family: _Family, are_queries: bool) -> DataFrame:
     """Repeat each row once per band with its ``cell``."""
     schema = T.StructType([*df.schema.fields, T.StructField("cells", T.ArrayType(T.LongType()))])
     arrow = _arrow_schema(schema)
@@ -489,7 +542,7 @@ def _with_cells(df: DataFrame, planes: np.ndarray, bands: int, bits: int) -> Dat
     def sign(batches):
         for batch in batches:
             if batch.num_rows:
-                cells = _cells(_matrix(batch.column(at)), planes, bands, bits)
+                cells = family.cells(_matrix(batch.column(at)), are_queries)
                 yield pa.record_batch([*batch.columns, pa.array(list(cells), type=arrow.field("cells").type)], schema=arrow)
 
     return df.mapInArrow(sign, schema).withColumn("cell", F.explode("cells")).drop("cells")
@@ -500,60 +553,63 @@ def ann_join(
     queries: DataFrame,
     k: int,
     metric: str = "Cosine",
+    *,
+    bits: int,
     bands: int = 12,
-    bits: int = 4,
+    width: float | None = None,
     seed: int = 7,
     broadcast_bytes: int = BROADCAST_BYTES,
     block_bytes: int = BLOCK_BYTES,
+    dim: int | None = None,
 ) -> DataFrame:
-    """Approximate ``knn_join``: only points that share a hyperplane signature with the query are scored.
-
-    Each of ``bands`` signatures has ``bits`` random hyperplanes; more bands
-    raise recall, more bits cut the work (``bits`` should grow with the
-    logarithm of the points). A small query table is broadcast and points are
-    not shuffled: a task scores each cell's points against that cell's queries.
-    Otherwise points and queries meet on equal cells, in blocks of bounded size.
-    Both plans score the same pairs and return each block's exact best ``k``.
+    """Approximate ``knn_join``: only points that share a signature with the query are scored.
+
+    A signature is ``bits`` hashes of the metric's own family: sides of random
+    hyperplanes for Cosine, the same with one more dimension for Dot, steps of
+    ``width`` along random directions for Euclid. Manhattan has none and raises. More
+    of the ``bands`` signatures raise recall, more ``bits`` cut the work; ``bits`` has to grow
+    with the logarithm of the points. A query may find fewer than ``k``.
+
+    A small query table is broadcast and points are not shuffled: a task scores each
+    cell's points against that cell's queries. Otherwise points and queries meet on
+    equal cells, in blocks of bounded size; a point's vector then travels once for
+    each band. Both plans score the same pairs and return each block's exact best ``k``.
     """
     check_metric(metric)
-    points, queries, dim = _same_length(points, queries)
-    planes = np.random.default_rng(seed).standard_normal((bands * bits, dim))
-    table = _rows_up_to(queries, broadcast_bytes // (8 * max(dim, 1)))
-    if table is not None:
-        return rank_per_query(_broadcast_ann(points, queries, table, planes, bands, bits, k, metric), k, metric)
+    points, queries, dim = _same_length(points, queries, dim)
+    family = _family(points, metric, dim, bands, bits, width, seed)
+    if queries.count() * (8 * max(dim, 1) + ID_BYTES) <= broadcast_bytes:
+        return rank_per_query(_broadcast_ann(points, queries, queries.toArrow(), family, k, metric), k, metric)
     partial = _blocked_top(
-        _with_cells(points, planes, bands, bits),
-        _with_cells(stored(queries), planes, bands, bits),
-        None,
+        _with_cells(points, family, False),
+        _with_cells(stored(queries), family, True),
         k,
         metric,
         max(1, block_bytes // (8 * max(dim, 1))),
-        n_cells=bands << bits,
+        n_cells=bands << bits if metric != "Euclid" else MAX_BROADCAST_CELLS + 1,
     )
     distinct = partial.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     return rank_per_query(distinct, k, metric)
 
 
-def _broadcast_ann(points, queries, table: pa.Table, planes, bands, bits, k, metric) -> DataFrame:
+def _broadcast_ann(points, queries, table: pa.Table, family: _Family, k, metric) -> DataFrame:
     result = _result_type(points, queries)
     schema = _arrow_schema(result)
-    query_ids = table.column("query_id").to_pylist()
-    matrix = _matrix(table.column("vector")) if query_ids else np.empty((0, planes.shape[1]))
-    shared = points.sparkSession.sparkContext.broadcast((query_ids, matrix, planes))
+    query_ids = _one_array(table.column("query_id"))
+    matrix = _matrix(table.column("vector")) if len(query_ids) else np.empty((0, 1))
+    shared = points.sparkSession.sparkContext.broadcast((query_ids, matrix, family))
 
     def score(batches):
-        ids_of_queries, q, hyperplanes = shared.value
+        ids_of_queries, q, hashes = shared.value
         top = _TopK(q, k, metric)
-        asked = _rows_by_cell(_cells(q, hyperplanes, bands, bits)) if len(q) and hyperplanes.size else {}
+        asked = _rows_by_cell(hashes.cells(q, True)) if len(q) else {}
         for batch in batches:
             if not batch.num_rows or not asked:
                 continue
             ids, p = _ids(batch.column(0)), _matrix(batch.column(1))
-            held = _rows_by_cell(_cells(p, hyperplanes, bands, bits))
+            held = _rows_by_cell(hashes.cells(p, False))
             top.merge([top.find(ids[rows], p[rows], asked[cell]) for cell, rows in held.items() if cell in asked])
-        out = _as_batch(top, ids_of_queries, schema)
-        if out is not None:
-            yield out
+        yield from _as_batches(top, ids_of_queries, schema)
 
     return points.mapInArrow(score, result)
 

@@ -337,7 +337,23 @@ def v_requests(t):
     return pt.validate_requests(t["raw_requests"]).select("request_id", "error")
 
 
-@query("v_ann")
+# The signatures of the approximate search, from the same planes written out.
+_BANDS, _BITS = 12, 8
+_PLANES = ", ".join(f"({i}, {row.tolist()}::DOUBLE[])" for i, row in enumerate(nn.hyperplanes(_BANDS * _BITS, 64, 7)))
+
+
+@query(
+    "v_ann",
+    f"""
+WITH planes(n, plane) AS (VALUES {_PLANES}),
+cells AS (SELECT id, n // {_BITS} AS band, sum(CASE WHEN list_dot_product(CAST(vector AS DOUBLE[]), plane) > 0 THEN 1 << (n % {_BITS}) ELSE 0 END) AS cell
+          FROM points, planes GROUP BY id, band),
+near AS (SELECT DISTINCT q.query_id, c.id FROM knn_queries q JOIN cells d ON d.id = q.id JOIN cells c ON c.band = d.band AND c.cell = d.cell),
+scored AS (SELECT n.query_id, n.id, {COSINE} AS s FROM near n JOIN knn_queries q ON q.query_id = n.query_id JOIN points p ON p.id = n.id)
+SELECT query_id, id, round(s, 6) AS score, rank FROM
+  (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM scored) WHERE rank <= 10
+""",
+)
 def v_ann(t):
-    ranked = nn.ann_join(t["points"], t["knn_queries"], 10)
+    ranked = nn.ann_join(t["points"], t["knn_queries"], 10, bands=_BANDS, bits=_BITS)
     return _rounded(ranked, "query_id", "id", "score", "rank")

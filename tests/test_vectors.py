@@ -61,7 +61,7 @@ def test_knn_join_equals_brute_force(spark, metric, broadcast_bytes):
     rng = np.random.default_rng(1)
     points, queries = rng.normal(size=(90, 6)), rng.normal(size=(11, 6))
     got = nn.knn_join(
-        make_points(spark, points), make_queries(spark, queries), 7, metric, broadcast_bytes=broadcast_bytes, block_bytes=6 * 8 * 20
+        make_points(spark, points), make_queries(spark, queries), 7, metric, broadcast_bytes=broadcast_bytes, block_bytes=400
     )
     assert rows(got, "query_id", "id", "rank") == brute(points, queries, 7, metric)
 
@@ -87,7 +87,7 @@ def test_knn_join_leaves_out_excluded_pairs(spark, broadcast_bytes):
     hidden = {(q, p) for q in range(6) for p in range(40) if (q + p) % 3 == 0}
     pairs = spark.createDataFrame([(q, f"p{p:04d}") for q, p in hidden], "query_id long, id string")
     got = nn.knn_join(
-        make_points(spark, points), make_queries(spark, queries), 30, exclude=pairs, broadcast_bytes=broadcast_bytes, block_bytes=4 * 8 * 9
+        make_points(spark, points), make_queries(spark, queries), 30, exclude=pairs, broadcast_bytes=broadcast_bytes, block_bytes=3 * 256 * 9
     )
     assert rows(got, "query_id", "id", "rank") == brute(points, queries, 30, "Cosine", hidden)
 
@@ -107,13 +107,25 @@ def test_knn_join_without_points_or_queries(spark):
     assert nn.knn_join(p.filter("false"), q, 2).count() == 0
     assert nn.knn_join(p, q.filter("false"), 2).count() == 0
     assert nn.knn_join(p, q, 0).count() == 0
-    assert nn.ann_join(p.filter("false"), q, 2).count() == 0
-    assert nn.ann_join(p, q.filter("false"), 2).count() == 0
-
-
-def test_vectors_of_another_length_are_not_matched(spark):
-    p = make_points(spark, np.eye(3)).unionByName(spark.createDataFrame([("short", [1.0, 0.0]), ("none", None)], POINTS))
-    assert {r[0] for r in rows(nn.knn_join(p, make_queries(spark, np.eye(3)), 9), "id")} == {"p0000", "p0001", "p0002"}
+    assert nn.ann_join(p.filter("false"), q, 2, bits=2).count() == 0
+    assert nn.ann_join(p, q.filter("false"), 2, bits=2).count() == 0
+
+
+@pytest.mark.parametrize("first", ["short", "long"])
+def test_points_of_another_length_raise_in_any_order(spark, first):
+    odd = spark.createDataFrame([("short", [1.0, 0.0])], POINTS)
+    even = make_points(spark, np.eye(3), 1)
+    p = odd.unionByName(even) if first == "short" else even.unionByName(odd)
+    searches = [
+        lambda: nn.knn_join(p, make_queries(spark, np.eye(3)), 9),
+        lambda: nn.knn(p, [1.0, 0.0, 0.0], 2),
+        lambda: nn.knn_join(p, make_queries(spark, np.eye(2)), 9, dim=3),
+    ]
+    for search in searches:
+        with pytest.raises(Exception, match="does not have length 3"):
+            search().collect()
+    nulls = even.unionByName(spark.createDataFrame([("none", None)], POINTS))
+    assert {r[0] for r in rows(nn.knn_join(nulls, make_queries(spark, np.eye(3)), 9), "id")} == {"p0000", "p0001", "p0002"}
 
 
 def test_search_with_limits_per_request(spark):
@@ -129,8 +141,9 @@ def test_search_with_limits_per_request(spark):
 
 
 def test_query_of_another_length_is_an_error(spark):
+    mixed = make_queries(spark, np.eye(3)).unionByName(spark.createDataFrame([(9, [1.0])], QUERIES))
     with pytest.raises(Exception, match="length 3"):
-        nn.knn_join(make_points(spark, np.eye(3)), make_queries(spark, np.eye(2)), 1).collect()
+        nn.knn_join(make_points(spark, np.eye(3)), mixed, 1).collect()
 
 
 def test_self_query_scores_one(spark):
@@ -183,27 +196,58 @@ def test_recommend_averages_and_leaves_inputs_out(spark):
     assert rows(nn.recommend_errors(p, inputs)) == [(3, "invalid_vector_request"), (4, "point_not_found")]
 
 
-def test_ann_recall(spark, inputs):
-    points, queries = inputs["points"], inputs["knn_queries"]
-    exact = nn.knn_join(points, queries, 10)
-    found = nn.ann_join(points, queries, 10, bands=24, bits=3)
+def _clustered(rng, clusters, each, dim, spread=0.15):
+    centres = rng.normal(size=(clusters, dim))
+    return np.repeat(centres, each, axis=0) + spread * rng.normal(size=(clusters * each, dim))
+
+
+@pytest.mark.parametrize("metric, options", [("Cosine", {"bits": 8}), ("Dot", {"bits": 10, "bands": 60}), ("Euclid", {"bits": 5, "width": 4.0})])
+def test_ann_finds_most_and_scores_few(spark, metric, options):
+    """Recall, and the share of all pairs that share a signature, on clustered vectors."""
+    rng = np.random.default_rng(11)
+    vectors = _clustered(rng, 60, 20, 16)
+    p, q = make_points(spark, vectors), make_queries(spark, vectors[::40])
+    found, exact = nn.ann_join(p, q, 10, metric, **options), nn.knn_join(p, q, 10, metric)
     assert nn.recall(found, exact).first()[0] > 0.9
+    family = nn._family(p, metric, 16, options.get("bands", 12), options["bits"], options.get("width"), 7)
+    a, b = family.cells(as_float(vectors[::40]), True), family.cells(as_float(vectors), False)
+    assert (a[:, None, :] == b[None, :, :]).any(axis=2).mean() < 0.1
+
+
+def test_ann_needs_a_family(spark):
+    p, q = make_points(spark, np.eye(3)), make_queries(spark, np.eye(3))
+    with pytest.raises(ValueError, match="Manhattan"):
+        nn.ann_join(p, q, 1, "Manhattan", bits=2)
+    with pytest.raises(ValueError, match="width"):
+        nn.ann_join(p, q, 1, "Euclid", bits=2)
+
+
+def test_a_long_page_does_not_lengthen_the_others(spark):
+    rng = np.random.default_rng(12)
+    p = make_points(spark, rng.normal(size=(4000, 4)), 2)
+    asked = [(q, [float(x) for x in rng.normal(size=4)], 5, 3000 if q == 0 else 0, None) for q in range(30)]
+    requests = spark.createDataFrame(asked, QUERIES + ", limit long, offset long, score_threshold double")
+    kept = nn._top_partial(p, requests.withColumn("k", F.col("limit") + F.col("offset")), None, "Cosine", None, 1 << 20, 1 << 20, None)
+    counts = {r["query_id"]: r["count"] for r in kept.groupBy("query_id").count().collect()}
+    assert all(n <= 10 for q, n in counts.items() if q) and counts[0] >= 3005
+    got = rows(nn.search(p, requests), "query_id", "rank")
+    assert got == sorted([(0, r) for r in range(3001, 3006)] + [(q, r) for q in range(1, 30) for r in range(1, 6)], key=repr)
 
 
 @pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
 def test_ann_with_all_points_in_one_bucket(spark, broadcast_bytes):
     rng = np.random.default_rng(8)
     copies = np.repeat(rng.normal(size=(1, 4)), 40, axis=0)
-    got = nn.ann_join(make_points(spark, copies), make_queries(spark, copies[:2]), 30, broadcast_bytes=broadcast_bytes, block_bytes=4 * 8 * 6)
+    got = nn.ann_join(make_points(spark, copies), make_queries(spark, copies[:2]), 30, bits=4, broadcast_bytes=broadcast_bytes, block_bytes=4 * 8 * 6)
     assert rows(got, "query_id", "id", "rank") == brute(copies, copies[:2], 30, "Cosine")
 
 
-@pytest.mark.parametrize("metric", ["Cosine", "Euclid"])
+@pytest.mark.parametrize("metric", ["Cosine", "Dot", "Euclid"])
 def test_both_ann_plans_agree(spark, metric):
     rng = np.random.default_rng(9)
     p, q = make_points(spark, rng.normal(size=(120, 6))), make_queries(spark, rng.normal(size=(17, 6)))
-    small = nn.ann_join(p, q, 9, metric, bands=4, bits=3)
-    large = nn.ann_join(p, q, 9, metric, bands=4, bits=3, broadcast_bytes=0, block_bytes=6 * 8 * 11)
+    small = nn.ann_join(p, q, 9, metric, bands=4, bits=3, width=3.0)
+    large = nn.ann_join(p, q, 9, metric, bands=4, bits=3, width=3.0, broadcast_bytes=0, block_bytes=6 * 8 * 11)
     assert rows(small, "query_id", "id", "rank") == rows(large, "query_id", "id", "rank")
     assert small.count() > 0
 
