@@ -60,8 +60,7 @@ def out_or_null(frontier: DataFrame, kids: DataFrame, key: str = "id") -> DataFr
     children is on the right, where a left join could not be split.
     """
     linked = frontier.join(kids, frontier[key] == kids["src"]).drop("src")
-    sources = kids.select(F.col("src").alias(key)).distinct()
-    alone = frontier.join(sources, key, "left_anti")
+    alone = frontier.join(linked.select(key).distinct(), key, "left_anti")
     return linked.unionByName(alone, allowMissingColumns=True)
 
 
@@ -83,6 +82,18 @@ def roots(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return studies.join(root_edges, "src").select("project", "id")
 
 
+def _below(frontier: DataFrame, vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """``frontier`` rows with each child of their ``id``."""
+    reached = frontier.join(edges.select(F.col("src").alias("id"), F.col("dst").alias("child_id")), "id")
+    target = vertices.select(
+        F.col("id").alias("child_id"),
+        F.col("label").alias("child_label"),
+        F.col("name").alias("child_name"),
+        F.col("auth_resource_path").alias("child_auth"),
+    )
+    return reached.join(target, "child_id")
+
+
 _CHILD = ("child_id", "child_label", "child_name", "child_auth")
 
 
@@ -104,9 +115,10 @@ def resolve_paths(vertices: DataFrame, edges: DataFrame, requests: DataFrame) ->
     One row per listed entry with ``matched`` true (its vertex is all NULL for an
     empty directory); one row with ``matched`` false for a directory that does
     not exist, and with ``error_type`` for a path that is not valid. Equal
-    (project, path) pairs are resolved once. There is one equality join per
-    path level, on (directory, name, project), so a level never produces the
-    whole content of a directory it only passes through.
+    (project, path) pairs are resolved once. At each path level the paths that are still
+    on their way, a small table, meet the edges by source and then the vertices by
+    target, so vertices are joined to reached ids only and no step reads the graph
+    into a shuffle where the paths are few.
 
     The walk runs here, level by level, until no path goes deeper. Each level is
     written to the shared folder: it is computed once, its size is known to the
@@ -117,23 +129,21 @@ def resolve_paths(vertices: DataFrame, edges: DataFrame, requests: DataFrame) ->
     )
     pairs = checked.filter("error_type IS NULL").select("project", "path").distinct()
     pairs = pairs.withColumn("_parts", F.when(F.col("path") == "/", F.array()).otherwise(segments(F.col("path"))))
-    kids = stored(children(vertices, edges))
     at_root = stored(pairs.join(roots(vertices, edges), "project"))
 
-    in_root = (F.col("id") == F.col("src")) & (F.col("child_auth") == F.col("project"))
-    finished = [at_root.filter(F.size("_parts") == 0).join(kids, in_root).select("project", "path", *_CHILD)]
+    listed_roots = _below(at_root.filter(F.size("_parts") == 0), vertices, edges).filter(F.col("child_auth") == F.col("project"))
+    finished = [listed_roots.select("project", "path", *_CHILD)]
     frontier = at_root.filter(F.size("_parts") > 0).select("project", "path", "_parts", "id")
-    step = kids.select(
-        F.col("src").alias("id"), F.col("child_name").alias("_name"), F.col("child_auth").alias("project"), "child_id"
-    )
     depth = 0
     while not frontier.isEmpty():
-        named = frontier.withColumn("_name", F.get("_parts", F.lit(depth)))
-        reached = stored(
-            named.join(step, ["id", "_name", "project"]).select("project", "path", "_parts", F.col("child_id").alias("id"))
-        )
+        own = (F.col("child_name") == F.get("_parts", F.lit(depth))) & (F.col("child_auth") == F.col("project"))
+        reached = _below(frontier, vertices, edges).filter(own)
+        reached = stored(reached.select("project", "path", "_parts", F.col("child_id").alias("id")))
         depth += 1
-        finished.append(out_or_null(reached.filter(F.size("_parts") == depth), kids).select("project", "path", *_CHILD))
+        ended = reached.filter(F.size("_parts") == depth)
+        entries = stored(_below(ended, vertices, edges).select("project", "path", "id", *_CHILD))
+        empty = ended.join(entries.select("id").distinct(), "id", "left_anti")
+        finished.append(entries.unionByName(empty.drop("_parts"), allowMissingColumns=True).select("project", "path", *_CHILD))
         frontier = reached.filter(F.size("_parts") > depth)
 
     entries = stored(reduce(DataFrame.unionByName, finished))
