@@ -13,7 +13,7 @@ MAIN_HOST = "github.com"
 REPO_REQUIRED = "src_repo is required"
 REPO_HOST_REQUIRED = "src_repo host is required"
 REPO_BAD_PATH = "src_repo must point to a GitHub-style owner/repo path"
-REPO_BAD_URL = "invalid src_repo URL"
+REPO_BAD_URL = "invalid src_repo URL: "
 
 _URL = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)"
 
@@ -48,11 +48,12 @@ def _host_and_path(text: Column) -> Column:
         .when(is_scp, F.regexp_replace(after_at, "^[^:]*:", ""))
         .when(is_bare, F.regexp_replace(bare, "^[^/]*/", ""))
     )
+    bad_url = F.concat(F.lit(REPO_BAD_URL), text)
     error = (
         F.when(F.coalesce(text, F.lit("")) == "", F.lit(REPO_REQUIRED))
-        .when(is_url & ~text.rlike(_URL), F.lit(REPO_BAD_URL))
+        .when(is_url & ~text.rlike(_URL), bad_url)
         .when(is_url & (authority == ""), F.lit(REPO_HOST_REQUIRED))
-        .when(~is_url & ~is_scp & ~is_bare, F.lit(REPO_BAD_URL))
+        .when(~is_url & ~is_scp & ~is_bare, bad_url)
     )
     return F.struct(F.lower(strip(host)).alias("host"), path.alias("path"), error.alias("error"))
 

@@ -19,6 +19,7 @@ from ..schemas import (
     FOOTER_ROW_SCHEMAS,
     PROJECT,
 )
+from ..sources.tables import stored
 from . import mutations
 
 KEY = ["config_type", "name"]
@@ -312,11 +313,11 @@ def footer_rows(documents: DataFrame) -> DataFrame:
     """Rows of all footer columns, those inside nested sections included.
 
     ``name, side, path, kind, error, body``: ``path`` counts column and row at
-    each nesting level. A nested section repeats the word ``"Section"``, so its
-    largest count per document bounds the nesting that has to be unrolled.
+    each nesting level. Levels are unrolled one after the other until none holds a
+    section, each written to the shared folder, so that it is parsed once and the
+    plan grows with the nesting alone.
     """
     text = documents.filter(F.col("config_type") == "nav")
-    depth = text.agg(F.max(F.size(F.regexp_extract_all("content", F.lit('"Section"'), F.lit(0))))).first()[0] or 0
     parsed = text.select("name", F.try_parse_json("content").alias("v"))
     sides = [
         F.struct(
@@ -329,14 +330,14 @@ def footer_rows(documents: DataFrame) -> DataFrame:
         "name", "s.side", F.lit("").alias("path"), "s.columns"
     )
     out = None
-    for _ in range(depth + 1):
+    while out is None or not level.isEmpty():
         columns = level.select("name", "side", "path", F.posexplode("columns").alias("c", "column"))
         rows = columns.select(
             "name", "side", "path", "c", F.posexplode(F.try_variant_get("column", "$.rows", "array<variant>")).alias("r", "row")
         )
         path = F.concat("path", F.lit("/"), F.col("c").cast("string"), F.lit("."), F.col("r").cast("string"))
         rows = rows.select("name", "side", path.alias("path"), union_row(F.col("row")).alias("u"))
-        rows = rows.select("name", "side", "path", "u.kind", "u.error", "u.body")
+        rows = stored(rows.select("name", "side", "path", "u.kind", "u.error", "u.body"))
         out = rows if out is None else out.unionByName(rows)
         level = rows.filter(F.col("kind") == "Section").select(
             "name", "side", "path", F.try_variant_get("body", "$.columns", "array<variant>").alias("columns")

@@ -206,7 +206,7 @@ WITH p AS ({_PROJECT_ROWS})
 SELECT project_id, title, contact_email, description, project_title,
   CASE WHEN title = '' THEN 'title is required' WHEN description = '' THEN 'description is required' {repo_check}
        WHEN NOT regexp_matches(contact_email, '^[a-z.]+@[a-z.]+$|^[A-Za-z ]+<[a-z.]+@[a-z.]+>$') THEN 'contact_email must be a valid email address'
-       WHEN src_repo <> '' AND NOT regexp_matches(src_repo, '{_REPO}') THEN 'invalid src_repo URL' END AS error,
+       WHEN src_repo <> '' AND NOT regexp_matches(src_repo, '{_REPO}') THEN 'invalid src_repo URL: ' || src_repo END AS error,
   CASE WHEN error IS NULL THEN regexp_replace(src_repo, '{_REPO}', 'github.com/\1/\2') ELSE src_repo END AS src_repo
 FROM p
 """
@@ -234,7 +234,7 @@ _REPO_URL = f"'github.com/' || {_OWNER} || '/r' || project_key"
     "c_repo_url",
     f"""
 SELECT project_id, CASE WHEN {_VALID_REPO} THEN {_REPO_URL} END AS url,
-       CASE project_key % 7 WHEN 0 THEN 'src_repo is required' WHEN 6 THEN 'invalid src_repo URL' END AS error FROM projects
+       CASE project_key % 7 WHEN 0 THEN 'src_repo is required' WHEN 6 THEN 'invalid src_repo URL: ' || trim(src_repo) END AS error FROM projects
 """,
 )
 def c_repo_url(t):

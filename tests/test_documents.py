@@ -165,7 +165,7 @@ def projects(spark, *changes):
         ({"description": "", "project_title": ""}, True, "description is required"),
         ({"src_repo": ""}, True, "src_repo is required"),
         ({"src_repo": ""}, False, None),
-        ({"src_repo": "nope"}, False, "invalid src_repo URL"),
+        ({"src_repo": "nope"}, False, "invalid src_repo URL: nope"),
         ({"src_repo": "https://github.com/only"}, True, "src_repo must point to a GitHub-style owner/repo path"),
     ],
 )
@@ -189,7 +189,7 @@ def test_validate_projects(spark, change, require, error):
         ("git@other.org:443/o/r", None, "src_repo must point to a GitHub-style owner/repo path"),
         ("github.com/o/r/", "github.com/o/r", None),
         ("github.com/o/r/extra", None, "src_repo must point to a GitHub-style owner/repo path"),
-        ("o/r", None, "invalid src_repo URL"),
+        ("o/r", None, "invalid src_repo URL: o/r"),
         ("https:///o/r", None, "src_repo host is required"),
         ("", None, "src_repo is required"),
         (None, None, "src_repo is required"),
@@ -252,6 +252,16 @@ def test_union_rows(spark):
     ]
 
 
+def test_many_sections_side_by_side_are_two_levels(spark):
+    section = {"Section": {"columns": [{"rows": [{"Text": {"text": '"Section" "Section"'}}]}]}}
+    nav = {"footerProps": {"leftSection": {"columns": [{"rows": [section] * 1000}]}}}
+    got = dc.footer_rows(docs(spark, ("nav", "n", nav)))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate ") == 0 and plan.count("Relation ") <= 3
+    counts = {(r["side"], r["kind"]): r["count"] for r in got.groupBy("side", "kind").count().collect()}
+    assert counts == {("leftSection", "Section"): 1000, ("leftSection", "Text"): 1000}
+
+
 # ---------------------------------------------------------------- settings
 
 
