@@ -60,13 +60,8 @@ def with_last_modified(listing: DataFrame, commits: DataFrame) -> DataFrame:
     return listing.join(last_modified(commits), ["repo", "path"], "left")
 
 
-def parse_pointer(content: Column, limit_bytes: int | None = None) -> Column:
-    """STRUCT(version, oid, size) of a pointer file's text, NULL for any other text.
-
-    ``limit_bytes`` reads only the start of the file, as a listing does.
-    """
-    if limit_bytes is not None:
-        content = F.substring(content.cast("binary"), 1, limit_bytes).cast("string")
+def parse_pointer(content: Column) -> Column:
+    """STRUCT(version, oid, size) of a pointer file's text, NULL for any other text; the first three lines decide."""
 
     def read(lines: Column) -> Column:
         line = [strip(F.get(lines, F.lit(i))) for i in range(3)]

@@ -69,11 +69,11 @@ def _attachments(attachments: DataFrame, order: str | None) -> DataFrame:
     return cleaned if order is None else mutations.latest_per_key(cleaned, ["session_id", "target_path"], order)
 
 
-def attach(files: DataFrame, attachments: DataFrame, order: str | None = None) -> DataFrame:
+def attach(files: DataFrame, attachments: DataFrame, order: str) -> DataFrame:
     """Files with size, checksum and object id of their attachment; non-collisions become uploaded.
 
-    ``attachments``: ``session_id, target_path, size, checksum, drs_object_id``;
-    with ``order`` the last one per target counts.
+    ``attachments``: ``session_id, target_path, size, checksum, drs_object_id``; the
+    last one per target by ``order`` counts, so no file is ever repeated.
     """
     given = _attachments(attachments, order).select(
         "session_id",

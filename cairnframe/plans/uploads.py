@@ -42,11 +42,14 @@ def u_exists(t):
     return _planned(t).select("session_id", "ordinal", "target_path", "status", "error")
 
 
-# Every file is attached with its own data; half of the sessions also name a file they do not hold.
+# Every target is attached with the data of its first file; half of the sessions also name a file they do not hold.
+# Files with a faulty name never enter a session; a repeated target does, as a collision.
+_OF_FIRST = "OVER (PARTITION BY session_id, target_path ORDER BY ordinal)"
 _ATTACHED = f"""
-SELECT session_id, ordinal, target_path, file_name, size, lower(nullif(trim(checksum), '')) AS checksum, nullif(trim(drs_object_id), '') AS drs_object_id,
+SELECT session_id, ordinal, target_path, file_name, first_value(size) {_OF_FIRST} AS size,
+  first_value(lower(nullif(trim(checksum), ''))) {_OF_FIRST} AS checksum, first_value(nullif(trim(drs_object_id), '')) {_OF_FIRST} AS drs_object_id,
   CASE WHEN status = 'pending_upload' THEN 'uploaded' ELSE status END AS status, CASE WHEN status <> 'pending_upload' THEN error END AS error
-FROM ({_PLANNED}) WHERE name_error IS NULL AND NOT duplicate
+FROM ({_PLANNED}) WHERE name_error IS NULL
 """
 
 
@@ -63,8 +66,8 @@ def _attachments(t):
 
 
 def _attached(t):
-    """Distinct targets, each with the data of its first row (the largest negated ordinal)."""
-    files = _planned(t).filter("name_error IS NULL AND coalesce(error, '') <> 'duplicate target path in upload batch'")
+    """Files of good names, each with the data of the target's first row (the largest negated ordinal)."""
+    files = _planned(t).filter("name_error IS NULL")
     return up.attach(files, _attachments(t), order="ordinal")
 
 
@@ -96,7 +99,7 @@ def u_status(t):
     "u_finalize",
     f"""
 WITH files AS ({_ATTACHED}),
-firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY target_path) AS rn FROM files WHERE status = 'collision' OR checksum IS NULL OR drs_object_id IS NULL) WHERE rn = 1)
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY target_path, ordinal) AS rn FROM files WHERE status = 'collision' OR checksum IS NULL OR drs_object_id IS NULL) WHERE rn = 1)
 SELECT o_orderkey AS session_id, CASE WHEN f.status = 'collision' THEN 'upload session contains target path conflicts'
   WHEN f.status IS NOT NULL THEN 'upload session file ' || f.target_path || ' is not fully attached' END AS error
 FROM orders LEFT JOIN firsts f ON f.session_id = o_orderkey

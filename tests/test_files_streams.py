@@ -51,6 +51,13 @@ def test_plan_uploads(spark):
     )
 
 
+def test_two_attachments_for_one_target_add_no_file(spark):
+    columns = "session_id string, ordinal long, target_path string, size long, checksum string, drs_object_id string, status string, error string"
+    files = spark.createDataFrame([("s", 1, "a", None, None, None, "pending_upload", None), ("s", 2, "b", None, None, None, "pending_upload", None)], columns)
+    given = spark.createDataFrame([("s", "a", 1, "X", "d1", 1), ("s", "/a", 2, "Y", "d2", 2)], "session_id string, target_path string, size long, checksum string, drs_object_id string, seq long")
+    assert rows(up.attach(files, given, "seq"), "ordinal", "size", "checksum", "status") == [(1, 2, "y", "uploaded"), (2, None, None, "pending_upload")]
+
+
 def test_attach_status_finalize_and_view(spark):
     planned = up.plan_uploads(files(spark), base_tree(spark)).filter("name_error IS NULL AND ordinal <> 2")
     planned = planned.withColumns({c: F.lit(None).cast("string") for c in ("checksum", "drs_object_id")})
@@ -151,7 +158,7 @@ def test_parse_pointer(spark, text, expected):
 
 def test_pointer_text_reads_back(spark):
     df = spark.createDataFrame([(f" {OID.upper()} ", 12)], "c string, s long")
-    p = df.select(tr.parse_pointer(up.pointer_text(F.col("c"), F.col("s")), limit_bytes=2048).alias("p")).first()["p"]
+    p = df.select(tr.parse_pointer(up.pointer_text(F.col("c"), F.col("s"))).alias("p")).first()["p"]
     assert (p["oid"], p["size"]) == (OID, 12)
 
 
