@@ -14,6 +14,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import variants
 from ..functions.text import is_uuid, let
@@ -116,20 +117,37 @@ def _condition(payload: Column, key: str, value) -> Column:
     )
 
 
+def _column_condition(points: DataFrame, column: str, value) -> Column:
+    kind = points.schema[column].dataType
+    element = kind.elementType if isinstance(kind, T.ArrayType) else kind
+    if isinstance(value, bool):
+        alike = isinstance(element, T.BooleanType)
+    elif isinstance(value, int):
+        alike = isinstance(element, T.IntegralType)
+    elif isinstance(value, str):
+        alike = isinstance(element, T.StringType)
+    else:
+        raise TypeError(f"match value for {column!r} must be a string, an integer or a boolean")
+    if not alike:
+        return F.lit(False)
+    return F.array_contains(column, value) if isinstance(kind, T.ArrayType) else F.col(column) == F.lit(value)
+
+
 def payload_filter(points: DataFrame, must: Mapping[str, object] | None, promoted: Mapping[str, str] | None = None) -> DataFrame:
     """Rows whose payload equals every ``key: value``; no conditions keep all rows.
 
     Values match with their type (``2`` is not ``"2"``); an array matches when
     any element does (store rule). A predicate on JSON cannot reach the file
     scan, so ``promoted`` names keys that are also plain columns: those
-    conditions become column comparisons, which are pushed down.
+    conditions become column comparisons, which are pushed down. A value of
+    another type than the column's matches no row, as in the JSON form.
     """
     promoted = promoted or {}
     must = must or {}
     json_keys = [k for k in must if k not in promoted]
     for key in must:
         if key in promoted:
-            points = points.filter(F.col(promoted[key]) == F.lit(must[key]))
+            points = points.filter(_column_condition(points, promoted[key], must[key]))
     if not json_keys:
         return points
 
