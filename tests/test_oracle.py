@@ -3,11 +3,13 @@
 import pytest
 
 import __spark_entry__ as entry_points
+from cairnframe.plans.catalog import QUERIES as CATALOG
 from check import compare, connect
 
 from .conftest import SF_DIR
 
-QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
+QUERIES = {key: run for key, run in entry_points.queries().items() if key in CATALOG}
+SQL = {key: text for key, text in entry_points.oracle_sql().items() if key in CATALOG}
 
 
 @pytest.fixture(scope="module")
