@@ -110,7 +110,7 @@ def _rice(z: np.ndarray, order: np.ndarray, parts: int) -> tuple[np.ndarray, np.
     size = z.shape[1] // parts
     count = np.full((len(z), parts), size) - np.where(np.arange(parts) == 0, order[:, None], 0)
     blocks = z.reshape(len(z), parts, size)
-    cost = np.array([(blocks >> k).sum(axis=2) + count * (k + 1) for k in range(15)][:12])
+    cost = np.array([(blocks >> k).sum(axis=2) + count * (k + 1) for k in range(10)])
     return cost.argmin(axis=0), cost.min(axis=0).sum(axis=1) + 4 * parts
 
 

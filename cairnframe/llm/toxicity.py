@@ -154,6 +154,10 @@ def _linear(rows: np.ndarray, columns: np.ndarray, width: int, target: np.ndarra
     return w, b
 
 
+def _constant(toxic: bool) -> Model:
+    return Model({}, np.zeros(len(PATTERNS)), 6.0 if toxic else -6.0, ())
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, n_features: int = 2048, n_voters: int = 96, min_z: float = 5.0, lexicon: tuple[str, ...] = LEXICON) -> Model:
     """Learn from the texts of labelled documents.
 
@@ -181,16 +185,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, n_features: in
             part = part.filter(F.col("order") * count <= (1 << 30) * (2 * half)).orderBy("order", "doc_id").limit(half)
         picked.append(part.select(F.col("doc_id").alias("_id"), "toxic"))
     if len(picked) < 2:
-        return Model({}, np.zeros(len(PATTERNS)), 6.0 if 1 in counts else -6.0, ())
+        return _constant(1 in counts)
     ids = stored(picked[0].unionByName(picked[1]))
     texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text"))
     # An id that stands for several rows gives one of them; ids are at most ``sample``.
     texts = texts.join(F.broadcast(ids), "_id").groupBy("_id", "toxic").agg(F.min("text").alias("text"))
     texts = stored(texts.select("_id", "toxic", "text"))
 
-    seen = texts.select("text", "toxic").mapInArrow(_label_counts, "bucket int, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     of = dict(texts.groupBy("toxic").count().collect())
-    n_pos, n_neg = max(of.get(1, 0), 1), max(of.get(0, 0), 1)
+    if len(of) < 2:
+        return _constant(1 in of)
+    seen = texts.select("text", "toxic").mapInArrow(_label_counts, "bucket int, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    n_pos, n_neg = of[1], of[0]
     gap = F.col("pos") / n_pos - F.col("neg") / n_neg
     spread = F.sqrt((F.col("pos") + F.col("neg") + 1.0) / (n_pos + n_neg)) / (1.0 / n_pos + 1.0 / n_neg) ** -0.5
     best = seen.filter("pos >= 3").withColumn("z", gap / spread).filter(F.col("z") >= min_z).orderBy(F.desc("z"), "bucket").limit(n_features).collect()
