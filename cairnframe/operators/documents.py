@@ -159,7 +159,11 @@ def strict_parse(documents: DataFrame, schema: T.StructType, column: str = "cont
     them sorted by field; the other columns show the first. Keys are compared
     with exact case.
     """
-    found = f"CASE WHEN doc IS NOT NULL THEN array_sort(array_distinct({_problems('doc', schema, '')})) END"
+    return _checked(documents, _problems("doc", schema, ""), column)
+
+
+def _checked(documents: DataFrame, problems: str, column: str = "content") -> DataFrame:
+    found = f"CASE WHEN doc IS NOT NULL THEN array_sort(array_distinct({problems})) END"
     checked = barrier(documents, "problems", F.expr(_let(f"try_parse_json(`{column}`)", "doc", found)))
     first = F.get("problems", F.lit(0))
     error = (
@@ -175,14 +179,10 @@ def strict_parse(documents: DataFrame, schema: T.StructType, column: str = "cont
 
 
 def strict_parse_all(documents: DataFrame) -> DataFrame:
-    """``strict_parse`` with each document's own schema."""
-    parts = []
-    for config_type, schema in DOCUMENT_SCHEMAS.items():
-        parts.append(strict_parse(documents.filter(F.col("config_type") == config_type), schema))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """``strict_parse`` with each document's own schema, in one scan; documents of unknown types are left out."""
+    known = documents.filter(F.col("config_type").isin(*DOCUMENT_SCHEMAS))
+    cases = " ".join(f"WHEN '{config_type}' THEN {_problems('doc', schema, '')}" for config_type, schema in DOCUMENT_SCHEMAS.items())
+    return _checked(known, f"CASE config_type {cases} END")
 
 
 def split_accepted(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -240,11 +240,11 @@ def v_recommend_errors(t):
     """
 SELECT id, vec_id FROM points
 WHERE (payload->>'color') = 'color_2' AND json_type(payload, '$.code') = 'UBIGINT' AND (payload->>'code') = '7'
-  AND (payload->>'$.n.k') = '1' AND list_contains(CAST(payload->'tags' AS VARCHAR[]), 'all')
+  AND (payload->>'$.n.k') = '1' AND list_contains(CAST(payload->'tags' AS VARCHAR[]), 't7')
 """,
 )
 def v_filter(t):
-    must = {"color": "color_2", "code": 7, "n.k": 1, "tags": "all"}
+    must = {"color": "color_2", "code": 7, "n.k": 1, "tags": "t7"}
     return pt.payload_filter(t["points"], must).select("id", "vec_id")
 
 

@@ -113,12 +113,12 @@ def u_finalize(t):
     "u_pointer",
     """
 SELECT session_id, ordinal, 'version https://git-lfs.github.com/spec/v1' || chr(10) || 'oid sha256:' || lower(trim(checksum)) || chr(10) || 'size ' || size || chr(10) AS pointer
-FROM upload_files WHERE checksum IS NOT NULL
+FROM upload_files
 """,
 )
 def u_pointer(t):
-    files = t["upload_files"].filter("checksum IS NOT NULL")
-    return files.select("session_id", "ordinal", up.pointer_text(F.col("checksum"), F.col("size")).alias("pointer"))
+    """A file without checksum has no pointer."""
+    return t["upload_files"].select("session_id", "ordinal", up.pointer_text(F.col("checksum"), F.col("size")).alias("pointer"))
 
 
 @query(

@@ -341,7 +341,7 @@ view(
     "base_tree",
     """
 SELECT DISTINCT concat('r', CAST(p_size % 5 AS STRING)) AS repo,
-       concat(CASE WHEN p_type = 'ECONOMY' THEN 'data/' ELSE '' END, 'part-', CAST(p_partkey % 20 AS STRING), '.tsv', CASE WHEN p_size > 40 THEN '/inner' ELSE '' END) AS path
-FROM part WHERE p_brand = 'Brand#2'
+       concat(CASE WHEN p_brand <> 'Brand#2' THEN 'other/' WHEN p_type = 'ECONOMY' THEN 'data/' ELSE '' END, 'part-', CAST(p_partkey % 20 AS STRING), '.tsv', CASE WHEN p_size > 40 THEN '/inner' ELSE '' END) AS path
+FROM part
 """,
 )
