@@ -12,7 +12,7 @@ from .common import sliced, small_batches
 from .unigram import Lattice, Vocabulary, marked, splitter
 
 #: Parts up to this length are remembered, up to so many of them.
-KEPT_LENGTH, KEPT = 48, 400_000
+KEPT_LENGTH, KEPT = 48, 250_000
 
 
 class _Counts(dict):
