@@ -83,7 +83,7 @@ def _time(pass_no: Column | int) -> Column:
     return (passes * F.col("source_size") + F.col("_words")) / F.col("weight")
 
 
-def plan_mix(narrow: DataFrame, weights: Sequence[float] = (1, 2, 3), repeats: int = 3, bucket_rows: int = 5000, max_buckets: int = 100_000) -> Plan:
+def plan_mix(narrow: DataFrame, weights: Sequence[float] = (1, 2, 3), repeats: int = 3, bucket_rows: int = 1000, max_buckets: int = 100_000) -> Plan:
     """Targets, bucket sums and the queue's end for rows ``doc_id, _stratum, _key, _size``.
 
     The queue holds each document once for every pass. Its end is the first entry,
@@ -121,7 +121,7 @@ def _copies(plan: Plan) -> Column:
     return sum((t.cast("int") for t in taken), F.lit(0))
 
 
-def mix_sizes(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), repeats: int = 3, seed: str = SEED, bucket_rows: int = 5000) -> DataFrame:
+def mix_sizes(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), repeats: int = 3, seed: str = SEED, bucket_rows: int = 1000) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies, taken``: how often the mix takes each document.
 
     Rules as in :func:`mix`; only narrow rows are shuffled.
@@ -134,7 +134,7 @@ def mix_sizes(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), repeats: in
     )
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), repeats: int = 3, seed: str = SEED, bucket_rows: int = 5000) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), repeats: int = 3, seed: str = SEED, bucket_rows: int = 1000) -> DataFrame:
     """The rows that the mix takes, each as often as it takes it (0 to ``repeats`` times).
 
     Sources, sorted by code point with null last, have the ``weights`` in turn and

@@ -12,7 +12,7 @@ from .common import crc32_of, offsets_of, running, spread, stored, stratum
 SEED = "shards-1"
 
 
-def shard(docs: DataFrame, shards: int = 24, seed: str = SEED, bucket_rows: int = 5000, max_buckets: int = 100_000) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, seed: str = SEED, bucket_rows: int = 1000, max_buckets: int = 100_000) -> DataFrame:
     """``doc_id, source, size, text_crc32, shard, slot``: every row in one of ``shards`` shards that hold the sources alike.
 
     Rows of a source are ranked in a seeded shuffled order (MD5 of seed and
