@@ -15,7 +15,7 @@ from .common import ROWS, sliced, small_batches
 #: Buckets that the 1-, 2- and 3-grams of letters are hashed to.
 DIMS = 8192
 #: Characters whose vectors are made at once.
-CHARS = 1 << 20
+CHARS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -193,7 +193,9 @@ def predict(spark, model: Model, text: Column) -> Column:
                 out += [("und", 0.0, 1.0, True) if z else (m.langs[m.of[b]], s, d, r) for z, b, s, d, r in zip(none, best, score.tolist(), away.tolist(), reject.tolist())]
             yield pa.array([dict(zip(("lang", "score", "distance", "rejected"), row)) for row in out], kind)
 
-    return F.arrow_udf(nearest, "lang string, score double, distance double, rejected boolean")(text.cast("string"))
+    # Not to be repeated where a filter on one of its fields is moved below it.
+    once = F.arrow_udf(nearest, "lang string, score double, distance double, rejected boolean").asNondeterministic()
+    return once(text.cast("string"))
 
 
 def identify(docs: DataFrame, learn: Column, **options) -> DataFrame:
