@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ROWS, small_batches
-from .token_counts import KEPT, KEPT_LENGTH
+from .token_counts import KEPT_LENGTH
 from .unigram import Lattice, Vocabulary, marked, splitter
 
+#: Parts of texts whose best segmentation is remembered, and those whose N-best list is.
+KEPT_BEST, KEPT_LISTS = 120_000, 20_000
+
 ENCODED = "struct<ids: array<int>, score: double, others: array<struct<score: double, n_pieces: int, edits: array<struct<at: int, drop: int, ids: array<int>>>>>>"
 _EDIT = pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("ids", pa.list_(pa.int32()))])
 _OTHER = pa.struct([("score", pa.float64()), ("n_pieces", pa.int32()), ("edits", pa.list_(_EDIT))])
@@ -22,13 +25,13 @@ _OTHER = pa.struct([("score", pa.float64()), ("n_pieces", pa.int32()), ("edits",
 class _Kept(dict):
     """Results for the parts met so far; emptied when there are too many."""
 
-    def __init__(self, make):
-        self.make = make
+    def __init__(self, make, most: int):
+        self.make, self.most = make, most
 
     def __missing__(self, part: str):
         found = self.make(part)
         if len(part) <= KEPT_LENGTH:
-            if len(self) >= KEPT:
+            if len(self) >= self.most:
                 self.clear()
             self[part] = found
         return found
@@ -69,8 +72,8 @@ def encode(spark, vocabulary: Vocabulary, text: Column, n: int = 4) -> Column:
 
     def segment(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         lattice, parts_of = Lattice(shared.value), splitter(shared.value)
-        best = _Kept(lattice.best)
-        lists = _Kept(lambda part: lattice.nbest(part, n))
+        best = _Kept(lattice.best, KEPT_BEST)
+        lists = _Kept(lambda part: lattice.nbest(part, n), KEPT_LISTS)
         for array in arrays:
             pieces = []
             for start in range(0, len(array), ROWS):
