@@ -23,17 +23,24 @@ def content_type(content: Column) -> Column:
     return F.when(head == PNG_SIGNATURE, "image/png").when(head.startswith(JPEG_SIGNATURE), "image/jpeg")
 
 
+# The bit depths that each PNG colour type allows, and the component counts of a JPEG frame.
+PNG_DEPTHS = {0: (1, 2, 4, 8, 16), 2: (8, 16), 3: (1, 2, 4, 8), 4: (8, 16), 6: (8, 16)}
+JPEG_COMPONENTS = (1, 3, 4)
+
+
 def _number(content: Column, start: int, length: int) -> Column:
     return F.conv(F.hex(F.substring(content, start, length)), 16, 10).cast("bigint")
 
 
 def png_size(content: Column) -> Column:
-    """STRUCT(width, height) from a PNG's header; NULL when the header chunk is damaged."""
+    """STRUCT(width, height) from a PNG's header; NULL when the header chunk is damaged or names no valid format."""
     header = F.substring(content, 13, 17)
+    formats = [f"{depth:02X}{colour:02X}0000{interlace:02X}" for colour, depths in PNG_DEPTHS.items() for depth in depths for interlace in (0, 1)]
     good = (
         (F.length(header) == 17)
         & (F.hex(F.substring(content, 9, 8)) == "0000000D49484452")
         & (F.crc32(header) == _number(content, 30, 4))
+        & F.hex(F.substring(content, 25, 5)).isin(formats)
         & (_number(content, 17, 4) > 0)
         & (_number(content, 21, 4) > 0)
     )
@@ -41,7 +48,7 @@ def png_size(content: Column) -> Column:
 
 
 def jpeg_header_size(data: bytes) -> tuple[int, int] | None:
-    """Width and height from the first frame header of a JPEG, None without a readable one."""
+    """Width and height from the first frame header of a JPEG, None without a readable one of 8 bits."""
     at = 2
     while at + 4 <= len(data):
         if data[at] != 0xFF:
@@ -57,9 +64,11 @@ def jpeg_header_size(data: bytes) -> tuple[int, int] | None:
             return None
         (length,) = struct.unpack_from(">H", data, at + 2)
         if marker in (0xC0, 0xC1, 0xC2):
-            if length < 8 or at + 9 > len(data):
+            if length < 8 or at + 2 + length > len(data):
+                return None
+            precision, height, width, components = struct.unpack_from(">BHHB", data, at + 4)
+            if precision != 8 or components not in JPEG_COMPONENTS or length != 8 + 3 * components:
                 return None
-            height, width = struct.unpack_from(">HH", data, at + 5)
             return width, height
         at += 2 + length
     return None

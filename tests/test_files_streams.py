@@ -209,13 +209,13 @@ def test_file_records(spark):
 # ---------------------------------------------------------------- images
 
 
-def png(width, height, crc=None):
-    header = b"IHDR" + struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)
+def png(width, height, crc=None, depth=8, colour=2):
+    header = b"IHDR" + struct.pack(">IIBBBBB", width, height, depth, colour, 0, 0, 0)
     return b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 13) + header + struct.pack(">I", zlib.crc32(header) if crc is None else crc)
 
 
-def jpeg(width, height, before=b"", marker=0xC0):
-    frame = bytes([0xFF, marker]) + struct.pack(">HBHHB", 17, 8, height, width, 3) + bytes(9)
+def jpeg(width, height, before=b"", marker=0xC0, precision=8, length=17):
+    frame = bytes([0xFF, marker]) + struct.pack(">HBHHB", length, precision, height, width, 3) + bytes(9)
     return b"\xff\xd8\xff\xe0" + struct.pack(">H", 6) + b"JFIF" + before + frame
 
 
@@ -237,6 +237,12 @@ def jpeg(width, height, before=b"", marker=0xC0):
         (png(150, 150)[:20], (None, "invalid_data")),
         (b"\xff\xd8\xff\xda\x00\x02", (None, "invalid_data")),
         (jpeg(150, 150)[:16], (None, "invalid_data")),
+        (jpeg(150, 150)[:-1], (None, "invalid_data")),
+        (jpeg(150, 150, precision=12), (None, "invalid_data")),
+        (jpeg(150, 150, length=14), (None, "invalid_data")),
+        (png(150, 150, colour=5), (None, "invalid_data")),
+        (png(150, 150, depth=3), (None, "invalid_data")),
+        (png(150, 150, depth=1, colour=3), (".png", None)),
         (png(150, 150) + bytes(1 << 20), (None, "limit_exceeded")),
     ],
 )
