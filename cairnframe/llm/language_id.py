@@ -16,11 +16,15 @@ from .common import ROWS, sliced, small_batches
 DIMS = 8192
 #: Characters whose vectors are made at once.
 CHARS = 1 << 18
+#: The largest distance that is near enough for any text; beyond it no language is named.
+FURTHEST = 0.95
+#: Texts of fewer letters say too little to be rejected.
+FEW_LETTERS = 8
 
 
 @dataclass(frozen=True)
 class Model:
-    """Centroids of all languages; ``reach`` is the largest distance that a centroid accepts."""
+    """Centroids of all languages; ``reach`` is the largest distance that a centroid accepts of texts of ``min_letters`` or more."""
 
     langs: tuple[str, ...]
     of: np.ndarray
@@ -109,15 +113,23 @@ def _cluster(vectors: np.ndarray, clusters: int, rounds: int = 12) -> tuple[np.n
     return centroids, (vectors @ centroids.T).argmax(axis=1)
 
 
-def fit(docs: DataFrame, clusters: int = 4, per_lang: int = 400, slack: float = 1.5, widest: float = 0.6, min_letters: int = 200) -> Model:
+def reaches(model: Model, best: np.ndarray, n_letters: np.ndarray) -> np.ndarray:
+    """The largest distance that is accepted of each text: its centroid's, wider for fewer letters than ``min_letters``, up to ``FURTHEST``."""
+    share = np.minimum(n_letters / max(model.min_letters, 1), 1) ** 2
+    return np.where(n_letters < FEW_LETTERS, 1.0, FURTHEST - (FURTHEST - model.reach[best]) * share)
+
+
+def fit(
+    docs: DataFrame, clusters: int = 4, per_lang: int = 400, slack: float = 1.5, widest: float = 0.6, min_letters: int = 200, quantile: float = 0.95
+) -> Model:
     """Centroids learned from the ``text`` and ``lang`` of ``docs`` (rows with null ``lang`` or text are left out).
 
     Document frequencies cover all rows. The clusters of a language are made from at most
     ``per_lang`` of its documents (those with the smallest hash of ``doc_id``); that
     bound, and one task for a language, keep the fit small. A centroid accepts
-    distances up to ``slack`` times the largest one met among its own documents of at
-    least ``min_letters`` letters, and any up to ``widest``; shorter texts say too little
-    to be rejected.
+    distances up to ``slack`` times the ``quantile`` of those among its own documents of at
+    least ``min_letters`` letters, so that a few odd ones don't widen it, and any up to
+    ``widest``, but none beyond ``FURTHEST``. Of shorter texts it accepts more (:func:`reaches`).
     """
     small_batches(docs.sparkSession)
     rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
@@ -146,7 +158,8 @@ def fit(docs: DataFrame, clusters: int = 4, per_lang: int = 400, slack: float =
         centroids, member = _cluster(vectors, clusters)
         distance = 1 - (vectors * centroids[member]).sum(axis=1)
         long = many >= min_letters
-        reach = [max([widest, *(slack * distance[long & (member == c)])]) for c in range(len(centroids))]
+        own = [distance[long & (member == c)] for c in range(len(centroids))]
+        reach = [min(FURTHEST, max(widest, slack * np.quantile(d, quantile)) if len(d) else widest) for d in own]
         lang = table.column("lang")[0].as_py()
         return pa.table({"lang": pa.array([lang] * len(centroids), pa.string()), "reach": pa.array(reach, pa.float64()), "centroid": pa.array(list(centroids), pa.list_(pa.float32()))})
 
@@ -167,8 +180,10 @@ def predict(spark, model: Model, text: Column) -> Column:
     """``struct<lang, score, distance, rejected>`` of a text: the language of the nearest centroid.
 
     ``score`` is the cosine (0 to 1), ``distance`` one minus the cosine. Rejected are
-    texts of at least ``min_letters`` letters that lie beyond the reach of their
-    nearest centroid, and texts without letters, whose language is ``und``.
+    texts that lie beyond the reach of their nearest centroid, which is wider for fewer
+    than ``min_letters`` letters, and texts without letters, whose language is ``und``.
+    Texts of fewer than ``FEW_LETTERS`` letters are not rejected. ``lang`` is null
+    where the distance is beyond ``FURTHEST``, so also where the cosine is 0.
     """
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -189,8 +204,8 @@ def predict(spark, model: Model, text: Column) -> Column:
                 score = np.clip(np.round(cosine[np.arange(len(part)), best], 9), 0, 1)
                 away = 1 - score
                 none = n_letters == 0
-                reject = none | ((away > m.reach[best]) & (n_letters >= m.min_letters))
-                out += [("und", 0.0, 1.0, True) if z else (m.langs[m.of[b]], s, d, r) for z, b, s, d, r in zip(none, best, score.tolist(), away.tolist(), reject.tolist())]
+                reject = none | (away > reaches(m, best, n_letters))
+                out += [("und", 0.0, 1.0, True) if z else (m.langs[m.of[b]] if d <= FURTHEST else None, s, d, r) for z, b, s, d, r in zip(none, best, score.tolist(), away.tolist(), reject.tolist())]
             yield pa.array([dict(zip(("lang", "score", "distance", "rejected"), row)) for row in out], kind)
 
     # Not to be repeated where a filter on one of its fields is moved below it.

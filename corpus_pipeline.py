@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a learned language accepts; a language that is missing is filled in."""
+    """Documents that a learned language accepts; a language that is missing is filled in, if any is near."""
     found = language_id.identify(docs, F.col("lang").isNotNull()).filter("NOT language.rejected")
     return found.withColumn("lang", F.coalesce("lang", "language.lang")).select(*docs.columns)
 

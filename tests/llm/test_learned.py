@@ -41,6 +41,27 @@ def test_far_texts_are_rejected(spark):
     assert [g["lang"] for g in got][2:] == ["und", "aa"]
 
 
+def test_short_texts_have_a_finite_reach(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame(_texts(), "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    strange = ["жук летит " * k for k in (1, 5, 15, 20)] + [_language(random.Random(9), KINDS["bb"], n) for n in (4, 10, 20)] + ["жук"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in strange], "text string").coalesce(1).select(language_id.predict(spark, model, F.col("text"))).collect()]
+    assert [g["rejected"] for g in got] == [True] * 4 + [False] * 4
+    assert [g["lang"] for g in got] == [None] * 4 + ["bb"] * 3 + [None]
+    rows = docs.unionByName(spark.createDataFrame([(900, "жук летит " * 15, None), (901, "жук", None), (902, strange[5], None)], docs.schema))
+    kept = corpus_pipeline.keep_known_languages(spark, rows, "").filter("doc_id >= 900").collect()
+    assert sorted((r["doc_id"], r["lang"]) for r in kept) == [(901, None), (902, "bb")]
+
+
+def test_an_odd_document_does_not_widen_the_reach(spark):
+    rows = _texts() + [(1000 + i, " ".join(f"{chr(1072 + i)}{chr(1073 + j % 25)}" for j in range(200)) + _language(random.Random(i), KINDS["aa"], 60), "aa") for i in range(3)]
+    one = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), clusters=1)
+    assert one.reach.max() < 0.95
+    assert max(language_id.reaches(one, np.zeros(5, int), np.array([8, 50, 150, 200, 9000]))) <= 0.95
+
+
 def _plain_counts(text):
     """The n-grams of one text, made character by character."""
     kept = "".join(c if c.isalpha() else " " for c in text.lower())
