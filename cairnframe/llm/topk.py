@@ -19,14 +19,14 @@ QUERY_BLOCK = 4096
 CANDIDATES = 2048
 #: Bins of a histogram.
 BINS = 64
-#: Larger components can't be scored exactly in 64 bits; such vectors take no part.
-LARGEST = 1 << 26
+#: Scores of this size or more, and the ranges around them, don't fit 64 bits.
+LARGEST = 1 << 62
 
 
 def quantised(vector: Column, scale: int = 64) -> Column:
-    """floor(scale * x) of each component, in double precision; null where a component is null or not finite, or too large."""
+    """floor(scale * x) of each component, in double precision; null where a component is null or not finite."""
     whole = F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
-    usable = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * scale < LARGEST))
+    usable = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     return F.when(F.coalesce(usable, F.lit(False)), whole)
 
 
@@ -149,8 +149,10 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, blo
     size bounds what is broadcast and what the driver holds (a range for each query of the
     block, never a candidate); each block's winners are written to the shared folder.
 
-    * Vectors null or with null or non-finite components take no part, neither do null
-      ids, nor components beyond 2**26 after scaling (their products exceed 64 bits).
+    * Vectors null or with null or non-finite components take no part, neither do null ids.
+    * Components may be of any size while the product of the largest norms of queries and
+      candidates of one length is below 2**62; else scores may not fit 64 bits, and
+      ValueError is raised.
     * Vectors of different lengths aren't scored against each other.
     * Several rows with a query's id: the smallest vector asks, none of them answers.
       Other repeated rows each answer. Fewer than k candidates: all. No rows: no rows.
@@ -164,7 +166,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, blo
     asked = stored(asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20))))
     many = asked.count()
     blocks = max(1, math.ceil(many / block_rows))
-    largest = math.sqrt(whole.agg(F.max(norm)).first()[0] or 0.0)
+    largest = {r["size"]: math.sqrt(r["norm"]) for r in whole.groupBy(F.size("v").alias("size")).agg(F.max(norm).alias("norm")).collect()}
     candidates = whole.select("vec_id", "v")
     found = []
     for b in range(blocks if many else 0):
@@ -178,8 +180,10 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, blo
         for size in np.unique(sizes).tolist():
             places = np.flatnonzero(sizes == size)
             by_size[size] = (places, lists.take(pa.array(places)).flatten().to_numpy(zero_copy_only=False).reshape(len(places), size))
-        longest = max(math.sqrt((q.astype(float) ** 2).sum(axis=1).max(initial=0)) for _, q in by_size.values())
-        reach = int(longest * largest * (1 + 1e-9)) + 1
+        longest = {size: math.sqrt((q.astype(float) ** 2).sum(axis=1).max(initial=0)) for size, (_, q) in by_size.items()}
+        reach = int(max(longest[size] * largest[size] for size in by_size) * (1 + 1e-9)) + 1
+        if reach >= LARGEST:
+            raise ValueError("vectors too large: their scores may not fit 64 bits")
         block = Block(ids, by_size, np.full(len(ids), -reach, np.int64), 2 * reach + 1, np.zeros(len(ids), np.int64))
         while block.width > 1:
             shared = spark.sparkContext.broadcast(block)

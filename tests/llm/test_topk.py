@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cairnframe.llm import topk
@@ -49,3 +50,17 @@ def test_fewer_candidates_than_k_and_no_rows(spark):
 def test_extra_columns_do_not_clash(spark):
     df = spark.createDataFrame([(0, [0.5], 1, "x", 2), (1, [0.25], 1, "x", 2)], "vec_id long, embedding array<float>, v int, asks string, score int")
     assert [tuple(r) for r in topk.top_k(df, F.col("vec_id") == 0, 1).collect()] == [(0, 1, 1, 512)]
+
+
+def test_large_components_take_part(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.uniform(-1, 1) * 2.0 ** rng.choice((3, 20, 23)) for _ in range(4)]) for i in range(60)] + [(60, [2.0**20, 0.0, 0.0, 0.0]), (61, [-(2.0**22)] * 4), (62, [2.0**60])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, 7).collect()}
+    assert got == _plain(rows, 7) and {60, 61} & {i for _, _, i, _ in got}
+
+
+def test_scores_beyond_64_bits_are_refused(spark):
+    df = spark.createDataFrame([(0, [2.0**26, 1.0]), (1, [2.0**26, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError):
+        topk.top_k(df, F.col("vec_id") == 0, 1)
