@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flac, language_id, license_scan, mixing, near_dedup, segmentation, sharding, token_counts, topk, toxicity, unigram
+from . import decontamination, flac, hard_negatives, language_id, license_scan, mixing, near_dedup, segmentation, sharding, spelling, token_counts, topk, toxicity, unigram
 from .common import crc32_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,12 +42,16 @@ def _crc_nibbles() -> str:
     return f"{table}::BIGINT[]"
 
 
-#: CRC-32 of a text's UTF-8 bytes, half a byte at a time, low half first.
-CRC_SQL = rf"""xor(4294967295, list_reduce(
-  list_transform(regexp_extract_all(regexp_replace(hex(encode(coalesce(text, ''))), '(.)(.)', '\2\1', 'g'), '.'), lambda p: ('0x' || p)::BIGINT),
+def crc_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, half a byte at a time, low half first."""
+    return rf"""xor(4294967295, list_reduce(
+  list_transform(regexp_extract_all(regexp_replace(hex(encode({text})), '(.)(.)', '\2\1', 'g'), '.'), lambda p: ('0x' || p)::BIGINT),
   lambda c, x: xor(c >> 4, ({_crc_nibbles()})[(xor(c, x) & 15) + 1]), 4294967295::BIGINT))"""
 
 
+CRC_SQL = crc_sql("coalesce(text, '')")
+
+
 @query(
     "op3_shards",
     f"""
@@ -184,3 +188,66 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 def op2_top_k(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
     return topk.top_k(vectors, F.col("vec_id") % 20 == 0, 20)
+
+
+@query(
+    "op11_spelling_variants",
+    f"""
+WITH RECURSIVE r AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '{spelling.RUN}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+c AS (SELECT run, n, {crc_sql("concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', run)")} AS h FROM (SELECT doc_id, run, count(*) AS n FROM r GROUP BY ALL)),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1),
+v AS (SELECT * FROM w WHERE length(word) >= 6 AND n >= 5),
+d AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+p AS (SELECT a.word, b.word AS near FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+      UNION SELECT d.word, v.word FROM d JOIN v ON d.rest = v.word
+      UNION SELECT v.word, d.word FROM d JOIN v ON d.rest = v.word),
+s AS (SELECT p.word, p.near, v.n AS near_n, row_number() OVER (PARTITION BY p.word ORDER BY v.n DESC, p.near) AS place, count(*) OVER (PARTITION BY p.word) AS n_near FROM p JOIN v ON v.word = p.near),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n
+      FROM v LEFT JOIN s ON s.word = v.word AND place = 1),
+t AS (SELECT word, word AS root FROM f UNION ALL SELECT t.word, f.form FROM t JOIN f ON f.word = t.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, t.root, f.n, f.n_near, f.form_n FROM f JOIN t ON t.word = f.word JOIN f g ON g.word = t.root WHERE g.form IS NULL
+""",
+)
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.variants(_documents(spark, sf_dir))
+
+
+@query(
+    "op12_hard_negatives",
+    """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+             CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+      FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+""",
+)
+def op12_hard_negatives(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0, label)
+
+
+@query(
+    "op13_decontamination",
+    r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+x AS (SELECT DISTINCT item, m, array_to_string(w[s:s + m - 1], ' ') AS g
+      FROM (SELECT item, w, least(len(w), 10) AS m, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS s FROM i WHERE len(w) > 0)),
+y AS (SELECT k, m, s, array_to_string(w[s:s + m - 1], ' ') AS g FROM (SELECT k, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM d, (SELECT DISTINCT m FROM x) WHERE len(w) >= m)),
+h AS (SELECT DISTINCT y.k, y.s, y.m, x.item FROM y JOIN x ON x.m = y.m AND x.g = y.g),
+c AS (SELECT k, count(DISTINCT place) AS n_hit FROM (SELECT k, unnest(range(s, s + m)) AS place FROM h) GROUP BY k),
+o AS (SELECT k, count(*) AS n_items, array_to_string(list(item ORDER BY item), ',') AS ids FROM (SELECT DISTINCT k, item FROM h) GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN c USING (k) LEFT JOIN o USING (k)
+""",
+)
+def op13_decontamination(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    return decontamination.contamination(_documents(spark, sf_dir), items).drop("items")
