@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cairnframe.sources.tables import stored
 
-__all__ = ["ROWS", "WORD", "crc32_of", "has_rows", "running", "sliced", "small_batches", "spread", "stored", "stratum"]
+__all__ = ["ROWS", "WORD", "crc32_of", "running", "sized", "sliced", "small_batches", "spread", "stored", "stratum"]
 
 #: A word: a longest run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,8 +33,18 @@ def sliced(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.R
             yield batch.slice(start, rows)
 
 
-def has_rows(df: DataFrame) -> bool:
-    return not df.isEmpty()
+def sized(texts: Iterable[str | None], chars: int, rows: int = ROWS) -> Iterator[list[str]]:
+    """The texts in order, '' for null, in lists of at most ``rows`` that hold about ``chars`` characters; a longer text is alone."""
+    part, size = [], 0
+    for text in texts:
+        text = text or ""
+        if part and (size + len(text) > chars or len(part) == rows):
+            yield part
+            part, size = [], 0
+        part.append(text)
+        size += len(text)
+    if part:
+        yield part
 
 
 def crc32_of(column: Column) -> Column:

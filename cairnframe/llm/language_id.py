@@ -16,7 +16,7 @@ from .common import ROWS, sliced, small_batches
 DIMS = 8192
 #: Characters whose vectors are made at once.
 CHARS = 1 << 18
-#: The largest distance that is near enough for any text; beyond it no language is named.
+#: The largest distance that is accepted of any text.
 FURTHEST = 0.95
 #: Texts of fewer letters say too little to be rejected.
 FEW_LETTERS = 8
@@ -182,8 +182,8 @@ def predict(spark, model: Model, text: Column) -> Column:
     ``score`` is the cosine (0 to 1), ``distance`` one minus the cosine. Rejected are
     texts that lie beyond the reach of their nearest centroid, which is wider for fewer
     than ``min_letters`` letters, and texts without letters, whose language is ``und``.
-    Texts of fewer than ``FEW_LETTERS`` letters are not rejected. ``lang`` is null
-    where the distance is beyond ``FURTHEST``, so also where the cosine is 0.
+    Texts of fewer than ``FEW_LETTERS`` letters are not rejected. Every text with letters
+    gets a learned language, however far: ``distance`` and ``rejected`` say what it is worth.
     """
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -205,7 +205,7 @@ def predict(spark, model: Model, text: Column) -> Column:
                 away = 1 - score
                 none = n_letters == 0
                 reject = none | (away > reaches(m, best, n_letters))
-                out += [("und", 0.0, 1.0, True) if z else (m.langs[m.of[b]] if d <= FURTHEST else None, s, d, r) for z, b, s, d, r in zip(none, best, score.tolist(), away.tolist(), reject.tolist())]
+                out += [("und", 0.0, 1.0, True) if z else (m.langs[m.of[b]], s, d, r) for z, b, s, d, r in zip(none, best, score.tolist(), away.tolist(), reject.tolist())]
             yield pa.array([dict(zip(("lang", "score", "distance", "rejected"), row)) for row in out], kind)
 
     # Not to be repeated where a filter on one of its fields is moved below it.

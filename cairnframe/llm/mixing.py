@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, offsets_of, running, spread, stored, stratum
+from .common import WORD, crc32_of, offsets_of, running, spread, stored, stratum
 
 SEED = "mix-1"
 ORDER = ("key", "doc_id", "size")
@@ -24,7 +24,8 @@ def _sized(docs: DataFrame, seed: str) -> DataFrame:
     return docs.withColumns(
         {
             "_size": word_count(F.col("text")),
-            "_key": F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))),
+            # The text's checksum spreads rows without an id, or with one id, over the buckets.
+            "_key": F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), crc32_of(F.coalesce("text", F.lit(""))).cast("string"))),
             "_stratum": stratum(F.col("source")),
         }
     )
@@ -143,22 +144,24 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), repeats: int = 3,
     words of its source up to and with it, divided by the weight. The queue is cut
     where the total budget would be passed.
 
+    Only ids and sizes are shuffled: what a source gives in a pass is all of its order up to one
+    row, so texts meet a table of the sources, each with its last row of every pass.
+
     * Null or empty text: size 0, taken as often as its place in the queue says.
-    * Null source: a source of its own. Null ``doc_id``: shuffled like an id of its own.
-    * Repeated rows each stand in the queue. Equal finish times go by the source's place.
+    * Null source: a source of its own. Null ``doc_id``: shuffled by the text.
+    * Repeated rows each stand in the queue. Rows with one id and one text are taken alike,
+      with the last of them. Equal finish times go by the source's place.
     * No words at all: every row is taken once. No rows: no rows.
-    * Extra columns are kept; names that start with ``_`` and equal an internal one
-      (``_size``, ``_key`` and the like) are refused.
+    * Extra columns are kept, whatever their names.
     """
-    clash = {"_size", "_key", "_stratum", "_bucket", "_words", "_before", "_row"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"reserved column names: {sorted(clash)}")
-    own = docs.columns
-    packed = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"))
+    packed = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     sized = _sized(packed, seed)
     narrow = stored(sized.select("doc_id", "source", "_size", "_key", "_stratum"))
     plan = plan_mix(narrow, weights, repeats, bucket_rows)
-    # The text is read from the packed row, so that it is shuffled once.
-    rows = _finish(sized.select("doc_id", "_size", "_key", "_stratum", "_row"), plan)
-    many = rows.select("_row", F.explode(F.array_repeat(F.lit(1), _copies(plan))).alias("_copy"))
+    place = F.struct("_key", "doc_id", "_size")
+    decided = _finish(narrow, plan).select("_stratum", _copies(plan).alias("copies"), place.alias("at"))
+    last = [F.max(F.when(F.col("copies") > n, F.col("at"))).alias(f"_last{n}") for n in range(repeats)]
+    ends = stored(decided.groupBy("_stratum").agg(*last))
+    taken = sum((F.coalesce(place <= F.col(f"_last{n}"), F.lit(False)).cast("int") for n in range(repeats)), F.lit(0))
+    many = sized.join(ends, "_stratum").select("_row", F.explode(F.array_repeat(F.lit(1), taken)).alias("_copy"))
     return many.select("_row.*")

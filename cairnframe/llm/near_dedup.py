@@ -317,9 +317,10 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80)
     twice = stored(found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    left = docs.join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    # Rows are packed, so that no name of theirs can clash.
+    packed = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    left = packed.join(gone, "doc_id", "left_anti")
     if twice.isEmpty():
-        return left
-    again = twice.withColumnRenamed("doc_id", "_twice")
-    single = left.join(again, F.col("doc_id") == F.col("_twice"), "left_anti")
-    return single.unionByName(left.join(again, F.col("doc_id") == F.col("_twice"), "left_semi").dropDuplicates(["doc_id"]))
+        return left.select("_row.*")
+    single = left.join(twice, "doc_id", "left_anti")
+    return single.unionByName(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select("_row.*")

@@ -74,7 +74,7 @@ def op3_shards(spark, sf_dir):
     "op6_mix",
     f"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {WORD_SQL})) AS BIGINT) AS size,
-                  md5(concat('{mixing.SEED}:', coalesce(CAST(doc_id AS VARCHAR), ''))) AS key FROM documents),
+                  md5(concat('{mixing.SEED}:', coalesce(CAST(doc_id AS VARCHAR), ''), ':', {CRC_SQL})) AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
 w AS (SELECT *, CAST(place % 3 + 1 AS DOUBLE) AS weight, source_size * 3.0::DOUBLE AS most FROM s),
 l AS (SELECT *, most / weight AS level, (SELECT sum(source_size) FROM w)::DOUBLE AS budget FROM w),

@@ -2,60 +2,157 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROWS, small_batches
-from .token_counts import KEPT_LENGTH
+from .common import ROWS, sized, small_batches
 from .unigram import Lattice, Vocabulary, marked, splitter
 
-#: Parts of texts whose best segmentation is remembered, and those whose N-best list is.
-KEPT_BEST, KEPT_LISTS = 120_000, 20_000
+#: Characters whose segmentations are put together at once.
+CHARS = 1 << 18
+#: Bytes of parts and their segmentations that a worker remembers, by estimate, and parts whose N-best list is.
+KEPT_BYTES, KEPT_LISTS = 64 << 20, 4_000
+#: Estimated bytes of a remembered part besides its characters and ids.
+EACH = 200
 
 ENCODED = "struct<ids: array<int>, score: double, others: array<struct<score: double, n_pieces: int, edits: array<struct<at: int, drop: int, ids: array<int>>>>>>"
 _EDIT = pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("ids", pa.list_(pa.int32()))])
 _OTHER = pa.struct([("score", pa.float64()), ("n_pieces", pa.int32()), ("edits", pa.list_(_EDIT))])
 
 
-class _Kept(dict):
-    """Results for the parts met so far; emptied when there are too many."""
+class _Parts(dict):
+    """Numbers of parts of texts, and for each number score, ids and gap of the best segmentation.
 
-    def __init__(self, make, most: int):
-        self.make, self.most = make, most
+    When it has grown to ``most`` bytes, only the parts used most stay, a quarter of them (:meth:`shrink`).
+    """
+
+    def __init__(self, vocabulary: Vocabulary, most: int):
+        self.lattice, self.parts_of, self.most = Lattice(vocabulary), splitter(vocabulary), most
+        self.lists: dict[tuple[str, int], list] = {}
+        self.scores, self.gaps, self.ends, self.ids = np.zeros(0), np.zeros(0), np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.uses, self.size = np.zeros(0, np.int64), 0
+
+    def numbers(self, parts: list[str]) -> np.ndarray:
+        new = [p for p in set(parts) if p not in self]
+        if new:
+            scores, gaps, ends, ids = self.lattice.best_of_all(new)
+            self.update(zip(new, range(len(self.scores), len(self.scores) + len(new))))
+            self.scores, self.gaps = np.concatenate([self.scores, scores]), np.concatenate([self.gaps, gaps])
+            self.ends, self.ids = np.concatenate([self.ends, ends[1:] + len(self.ids)]), np.concatenate([self.ids, ids])
+            self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+            self.size += EACH * len(new) + sum(map(len, new)) + 4 * len(ids)
+        found = np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))
+        self.uses += np.bincount(found, minlength=len(self.uses))
+        return found
 
-    def __missing__(self, part: str):
-        found = self.make(part)
-        if len(part) <= KEPT_LENGTH:
-            if len(self) >= self.most:
-                self.clear()
-            self[part] = found
+    def shrink(self) -> None:
+        """To be called between texts: numbers change."""
+        if self.size <= self.most:
+            return
+        stay = np.sort(np.argsort(-self.uses, kind="stable")[: len(self.uses) // 4])
+        names = list(self)
+        lengths = self.ends[stay + 1] - self.ends[stay]
+        self.ids = gathered(self.ids, self.ends[stay], lengths)
+        self.scores, self.gaps, self.uses = self.scores[stay], self.gaps[stay], np.zeros(len(stay), np.int64)
+        self.ends = np.concatenate([[0], np.cumsum(lengths)])
+        self.clear()
+        self.update((names[old], new) for new, old in enumerate(stay.tolist()))
+        self.size = sum(EACH + len(p) for p in self) + 4 * len(self.ids)
+
+    def nbest(self, part: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        found = self.lists.get((part, n))
+        if found is None:
+            if len(self.lists) >= KEPT_LISTS:
+                self.lists.clear()
+            found = self.lists[part, n] = self.lattice.nbest(part, n)
         return found
 
 
-def combine(gaps: list[float], alternatives, n: int) -> list[tuple[float, tuple[tuple[int, int], ...]]]:
+def gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Runs of ``values``, one after the other."""
+    ends = np.cumsum(lengths)
+    return values[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+#: What a worker has learned, by the token of its last query: later tasks of a reused worker go on with it.
+_WORKER: dict[str, object] = {}
+
+
+def _learned(token: str, make):
+    if token not in _WORKER:
+        _WORKER.clear()
+        _WORKER[token] = make()
+    return _WORKER[token]
+
+
+def _parts(token: str, vocabulary: Vocabulary) -> _Parts:
+    return _learned(token, lambda: _Parts(vocabulary, KEPT_BYTES))
+
+
+def candidates(gaps: np.ndarray, n: int) -> np.ndarray:
+    """Places of the parts that can differ in one of the ``n`` best: the ``n`` - 1 with the largest gaps, the first of equal ones.
+
+    A choice that changes any other part comes after the best and after each of these single changes:
+    its loss is no smaller, and where it is equal more parts are changed or a later one is.
+    """
+    if n < 2 or not len(gaps):
+        return np.zeros(0, np.int64)
+    if len(gaps) >= n:
+        least = np.partition(gaps, len(gaps) - (n - 1))[len(gaps) - (n - 1)]
+        some = np.flatnonzero(gaps >= least)
+        some = np.sort(some[np.argsort(-gaps[some], kind="stable")[: n - 1]])
+    else:
+        some = np.arange(len(gaps))
+    return some[gaps[some] > float("-inf")]
+
+
+def combine(gaps: np.ndarray, alternatives, n: int) -> list[tuple[float, tuple[tuple[int, int], ...]]]:
     """The ``n`` best choices of one alternative for each part: loss against the best, and the (part, rank) that differ.
 
     ``gaps`` has each part's loss of its second alternative, ``alternatives(i)`` the
-    losses of all of them, best first. Only parts whose second can still be among the
-    best are asked for more. Equal losses go to the smaller choice.
+    losses of all of them, best first. Only parts whose second can be among the best are
+    asked for more. Of equal losses the choice that changes fewer parts comes first, then the smaller one.
     """
+    gaps = np.asarray(gaps, float)
     kept: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
-    worst = float("-inf") if n > 1 else 0.5
-    for i, gap in enumerate(gaps):
-        if gap < worst or gap == float("-inf"):
-            continue
+    for i in candidates(gaps, n).tolist():
         more = [(loss + own, (*choice, (i, rank))) for rank, own in enumerate(alternatives(i)) if rank for loss, choice in kept]
-        kept = sorted(kept + more, key=lambda k: (-k[0], k[1]))[:n]
-        if len(kept) == n:
-            worst = kept[-1][0]
+        kept = sorted(kept + more, key=lambda k: (-k[0], len(k[1]), k[1]))[:n]
     return kept
 
 
+def _segmented(texts: list[str], known: _Parts, n: int) -> pa.Array:
+    """What :func:`encode` returns for some texts."""
+    split = [known.parts_of(marked(t)) for t in texts]
+    numbers = known.numbers([p for parts in split for p in parts])
+    lengths = known.ends[numbers + 1] - known.ends[numbers]
+    ids = gathered(known.ids, known.ends[numbers], lengths)
+    first = np.cumsum([0, *map(len, split)])
+    # Ids before each part, over all texts.
+    before = np.concatenate([[0], np.cumsum(lengths)])
+    all_scores, all_gaps = known.scores[numbers], known.gaps[numbers]
+    scores, others = [], []
+    for t, parts in enumerate(split):
+        own = slice(first[t], first[t + 1])
+        score = all_scores[own].tolist()
+        total = float(sum(score))
+        scores.append(total)
+        chosen = combine(all_gaps[own], lambda i: [s - score[i] for s, _ in known.nbest(parts[i], n)], n)
+        told = []
+        for loss, choice in chosen[1:]:
+            edits = [{"at": int(before[first[t] + i] - before[first[t]]), "drop": int(lengths[first[t] + i]), "ids": known.nbest(parts[i], n)[rank][1]} for i, rank in choice]
+            told.append({"score": total + loss, "n_pieces": int(before[first[t + 1]] - before[first[t]]) + sum(len(e["ids"]) - e["drop"] for e in edits), "edits": edits})
+        others.append(told)
+    known.shrink()
+    lists = pa.ListArray.from_arrays(pa.array(before[first], pa.int32()), pa.array(ids, pa.int32()))
+    return pa.StructArray.from_arrays([lists, pa.array(scores, pa.float64()), pa.array(others, pa.list_(_OTHER))], ["ids", "score", "others"])
+
+
 def encode(spark, vocabulary: Vocabulary, text: Column, n: int = 4) -> Column:
     """The ``n`` best segmentations of each whole text: ids and score of the best, and the others as edits of it.
 
@@ -68,35 +165,13 @@ def encode(spark, vocabulary: Vocabulary, text: Column, n: int = 4) -> Column:
     * Equal texts get equal results. Equal scores: the tokenizer's choice is first.
     """
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(vocabulary)
+    shared, token = spark.sparkContext.broadcast(vocabulary), uuid.uuid4().hex
 
     def segment(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        lattice, parts_of = Lattice(shared.value), splitter(shared.value)
-        best = _Kept(lattice.best, KEPT_BEST)
-        lists = _Kept(lambda part: lattice.nbest(part, n), KEPT_LISTS)
+        known = _parts(token, shared.value)
         for array in arrays:
-            pieces = []
-            for start in range(0, len(array), ROWS):
-                ids, lengths, scores, others = [], [], [], []
-                for text in array.slice(start, ROWS).to_pylist():
-                    parts = parts_of(marked(text))
-                    found = [best[p] for p in parts]
-                    own = np.fromiter(chain.from_iterable([f[1] for f in found]), np.int32)
-                    total = float(sum(f[0] for f in found))
-                    ids.append(own)
-                    lengths.append(len(own))
-                    scores.append(total)
-                    chosen = combine([f[2] for f in found], lambda i: [score - found[i][0] for score, _ in lists[parts[i]]], n) if parts else []
-                    starts = [0, *accumulate(len(f[1]) for f in found)] if len(chosen) > 1 else []
-                    told = []
-                    for loss, choice in chosen[1:]:
-                        edits = [{"at": starts[i], "drop": len(found[i][1]), "ids": lists[parts[i]][rank][1]} for i, rank in choice]
-                        told.append({"score": total + loss, "n_pieces": len(own) + sum(len(e["ids"]) - e["drop"] for e in edits), "edits": edits})
-                    others.append(told)
-                ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
-                flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())
-                pieces.append(pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, flat), pa.array(scores, pa.float64()), pa.array(others, pa.list_(_OTHER))], ["ids", "score", "others"]))
-            yield pa.concat_arrays(pieces) if pieces else pa.array([], pa.struct([("ids", pa.list_(pa.int32())), ("score", pa.float64()), ("others", pa.list_(_OTHER))]))
+            made = [_segmented(texts, known, n) for texts in sized((t.as_py() for t in array), CHARS)]
+            yield pa.concat_arrays(made) if made else pa.array([], pa.struct([("ids", pa.list_(pa.int32())), ("score", pa.float64()), ("others", pa.list_(_OTHER))]))
 
     return F.arrow_udf(segment, ENCODED)(text.cast("string"))
 
@@ -111,18 +186,21 @@ def decode(spark, vocabulary: Vocabulary, ids: Column) -> Column:
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def join(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        written = shared.value.written
-        known = dict(enumerate(written))
+        # One more entry for ids outside the vocabulary.
+        written = pa.array([*shared.value.written, b""], pa.binary())
+        none = len(written) - 1
         for array in arrays:
             out = []
             for start in range(0, len(array), ROWS):
-                for row in array.slice(start, ROWS):
-                    if not row.is_valid:
-                        out.append(None)
-                        continue
-                    own = row.values.to_numpy(zero_copy_only=False).tolist() if len(row.values) else []
-                    data = b"".join([known.get(i, b"") for i in own])
-                    out.append((data[1:] if data[:1] == b" " else data).decode("utf-8", "replace"))
+                rows = array.slice(start, ROWS)
+                own = rows.flatten().fill_null(none).to_numpy(zero_copy_only=False)
+                pieces = written.take(pa.array(np.where((own < 0) | (own > none), none, own)))
+                lengths = rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                ends = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1][np.concatenate([[0], np.cumsum(lengths)])].tolist()
+                data = memoryview(pieces.buffers()[2] or b"")
+                for valid, begin, end in zip(rows.is_valid().to_pylist(), ends, ends[1:]):
+                    text = bytes(data[begin:end])
+                    out.append((text[1:] if text[:1] == b" " else text).decode("utf-8", "replace") if valid else None)
             yield pa.array(out, pa.string())
 
     return F.arrow_udf(join, "string")(ids)

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -49,7 +50,8 @@ def test_short_texts_have_a_finite_reach(spark):
     strange = ["жук летит " * k for k in (1, 5, 15, 20)] + [_language(random.Random(9), KINDS["bb"], n) for n in (4, 10, 20)] + ["жук"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in strange], "text string").coalesce(1).select(language_id.predict(spark, model, F.col("text"))).collect()]
     assert [g["rejected"] for g in got] == [True] * 4 + [False] * 4
-    assert [g["lang"] for g in got] == [None] * 4 + ["bb"] * 3 + [None]
+    # However far, a text with letters is named.
+    assert all(g["lang"] in KINDS for g in got) and [g["lang"] for g in got][4:7] == ["bb"] * 3
     rows = docs.unionByName(spark.createDataFrame([(900, "жук летит " * 15, None), (901, "жук", None), (902, strange[5], None)], docs.schema))
     kept = corpus_pipeline.keep_known_languages(spark, rows, "").filter("doc_id >= 900").collect()
     assert sorted((r["doc_id"], r["lang"]) for r in kept) == [(901, None), (902, "bb")]
@@ -166,3 +168,23 @@ def test_held_out_accuracy(spark, name, column, least):
     rows = got.filter("held_out").join(truth, "doc_id").collect()
     right = [(r["lang_pred"] == r["lang"]) if column == "lang" else (r["predicted"] == r["toxic"]) for r in rows]
     assert len(rows) > 700 and sum(right) / len(right) >= least
+
+
+def test_language_is_the_nearest_centroid(spark):
+    """The model's own vectors, compared one by one; a far text is named too."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.fit(docs)
+    texts = [r["text"] for r in docs.limit(60).collect()] + ["\u4f60\u597d\u4e16\u754c" * 23, "", None, "12 34"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    letters = language_id._letters()
+    for r in table.select("text", language_id.predict(spark, model, F.col("text")).alias("l")).collect():
+        counts, n_letters = language_id._counts([r["text"] or ""], letters)
+        if not n_letters[0]:
+            assert tuple(r["l"]) == ("und", 0.0, 1.0, True)
+            continue
+        x = [math.log1p(c) * w for c, w in zip(counts[0].tolist(), model.idf.tolist())]
+        norm = math.sqrt(sum(v * v for v in x))
+        cosines = [sum(a * b for a, b in zip(x, c.tolist())) / norm for c in model.centroids]
+        best = max(cosines)
+        assert r["l"]["lang"] in {model.langs[model.of[k]] for k, c in enumerate(cosines) if c > best - 1e-5}
+        assert abs(r["l"]["score"] - min(max(best, 0), 1)) < 1e-5

@@ -1,7 +1,10 @@
 import hashlib
+import zlib
 import random
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from cairnframe.llm import mixing, sharding
 from cairnframe.llm.common import running, offsets_of
 
@@ -68,7 +71,7 @@ def _plain_mix(rows, weights=(1, 2, 3), repeats=3):
     target = {s: min(weight[s] * high, repeats * total[s]) for s in sources}
     queue = []
     for k, s in enumerate(sources):
-        own = sorted((hashlib.md5(f"{mixing.SEED}:{'' if i is None else i}".encode()).hexdigest(), i) for i, _, z in rows if z == s)
+        own = sorted((hashlib.md5(f"{mixing.SEED}:{'' if i is None else i}:{zlib.crc32((t or '').encode())}".encode()).hexdigest(), i) for i, t, z in rows if z == s)
         for turn in range(repeats):
             words = 0
             for _, i in own:
@@ -94,6 +97,21 @@ def test_mix_against_a_plain_queue(spark):
         assert r["taken"] == r["size"] * r["copies"]
 
 
+def test_mix_takes_what_its_sizes_say_under_any_names(spark):
+    rows, docs = _docs(spark, 300)
+    named = docs.withColumns({c: F.lit(7) for c in ("_size", "_key", "_row", "_last0", "_stratum", "copies")})
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix_sizes(docs).collect()}
+    got = mixing.mix(named)
+    assert got.columns == named.columns
+    assert Counter(r["doc_id"] for r in got.collect()) == Counter({i: n for i, n in copies.items() if n})
+
+
+def test_rows_without_ids_are_spread(spark):
+    docs = spark.createDataFrame([(None, f"word {i}", "a") for i in range(200)], "doc_id long, text string, source string")
+    assert mixing._sized(docs, "s").select("_key").distinct().count() == 200
+    assert mixing.mix(docs).count() == 200
+
+
 def test_mix_comes_near_its_targets(spark):
     _, docs = _docs(spark, 600)
     got = mixing.mix_sizes(docs).collect()

@@ -1,5 +1,6 @@
 import itertools
 import random
+from collections import Counter
 
 import pytest
 import sentencepiece
@@ -66,7 +67,10 @@ def _all_segmentations(text, vocabulary):
             for s, rest in go(end):
                 yield edge + s, own + rest
 
-    return sorted(go(0), key=lambda x: -x[0])
+    def merged(found):
+        return tuple(i for k, i in enumerate(found) if i != vocabulary.unknown or not k or found[k - 1] != vocabulary.unknown)
+
+    return sorted(((s, merged(found)) for s, found in go(0)), key=lambda x: -x[0])
 
 
 def _small(pieces):
@@ -86,12 +90,54 @@ def test_nbest_against_all_segmentations(seed):
         every = _all_segmentations(text, words)
         got = lattice.nbest(text, 6)
         assert [s for s, _ in got] == [s for s, _ in every[:6]]
-        assert len({ids for _, ids in got}) == len(got) and {g for g in got} <= {e for e in every}
+        assert not Counter(got) - Counter(every)
         score, ids, gap = lattice.best(text)
         assert (score, ids) == got[0] and lattice.count(text) == (len(ids), score)
         assert gap == (every[1][0] - score if len(every) > 1 else float("-inf"))
 
 
+def test_unknown_runs_are_one_piece_as_in_the_library():
+    pieces = [("<unk>", 0.0), ("▁", -2.0), ("a", -1.0), ("b", -1.5), ("ab", -1.2), ("жa", -3.0), ("▁b", -1.1), ("\n", -4.0)]
+    words = unigram.Vocabulary(tuple(p for p, _ in pieces[1:]), tuple(s for _, s in pieces[1:]), tuple(range(1, len(pieces))), (), 0, ())
+    library = tokenizers.Tokenizer(tokenizers.models.Unigram([(p, s if i else -14.0) for i, (p, s) in enumerate(pieces)], 0, False))
+    lattice, parts_of = unigram.Lattice(words), unigram.splitter(words)
+    rng = random.Random(3)
+    for text in ["abжжжb", "жжж", "a жж bж\nжa", "ж"] + ["".join(rng.choice("abж \nя") for _ in range(rng.randint(1, 30))) for _ in range(200)]:
+        parts = parts_of(unigram.marked(text))
+        expected = library.encode(unigram.marked(text)).ids
+        assert [i for p in parts for i in lattice.best(p)[1]] == expected
+        assert sum(lattice.count(p)[0] for p in parts) == len(expected)
+        assert [i for p in parts for i in lattice.nbest(p, 2)[0][1]] == expected
+
+
+def test_parts_together_equal_parts_alone(words):
+    lattice, parts_of = unigram.Lattice(words), unigram.splitter(words)
+    parts = [p for t in [*TEXTS, LONG] for p in parts_of(unigram.marked(t))] + ["", "aaaa", "▁" * 70, "x" * 63]
+    for some in (parts, parts[:1], [""], []):
+        scores, gaps, ends, ids = lattice.best_of_all(some)
+        got = [(scores[k], tuple(ids[ends[k] : ends[k + 1]].tolist()), gaps[k]) for k in range(len(some))]
+        assert got == [lattice.best(p) for p in some] and len(ends) == len(some) + 1
+    ties = unigram.Lattice(_small([("a", -1.0), ("aa", -2.0), ("aaa", -3.0), ("b", 0.0), ("ab", -1.0)]))
+    some = ["".join(c) for n in range(1, 6) for c in itertools.product("ab", repeat=n)]
+    scores, gaps, ends, ids = ties.best_of_all(some)
+    assert [(scores[k], tuple(ids[ends[k] : ends[k + 1]].tolist()), gaps[k]) for k in range(len(some))] == [ties.best(p) for p in some]
+
+
+def test_equal_losses_take_fewer_changes_then_earlier_ones():
+    lists = [[0.0, 0.0, -1.0], [0.0, 0.0], [0.0, -0.5], [0.0, 0.0, 0.0]]
+    got = segmentation.combine([x[1] for x in lists], lambda i: lists[i], 4)
+    every = sorted(((sum(lists[i][r] for i, r in enumerate(pick)), tuple((i, r) for i, r in enumerate(pick) if r)) for pick in itertools.product(*[range(len(x)) for x in lists])), key=lambda k: (-k[0], len(k[1]), k[1]))
+    assert got == every[:4]
+
+
+def test_few_remembered_parts_change_nothing(words, monkeypatch):
+    texts = [t for t in TEXTS for _ in range(2)]
+    whole = segmentation._segmented(texts, segmentation._Parts(words, 1 << 30), 4)
+    known = segmentation._Parts(words, 500)
+    assert [segmentation._segmented([t], known, 4).to_pylist()[0] for t in texts] == whole.to_pylist()
+    assert known.size < 100_000 and len(known) == len(known.scores) == len(known.ends) - 1 == len(known.uses)
+
+
 def test_ties_take_the_longest_last_piece():
     lattice = unigram.Lattice(_small([("a", -1.0), ("aa", -2.0), ("aaa", -3.0)]))
     assert lattice.best("aaaa")[1] == (1, 3)
