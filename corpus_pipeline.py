@@ -17,13 +17,17 @@ from cairnframe.llm.queries import vocabulary
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below one half, by a classifier that is learned from the labelled ones."""
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet").select("doc_id", "toxic")
-    return toxicity.classify(docs, labels).filter("toxicity < 0.5").select(*docs.columns)
+    packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    return toxicity.classify(packed, labels).filter("toxicity < 0.5").select("_row.*")
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a learned language accepts; a language that is missing is filled in, if any is near."""
-    found = language_id.identify(docs, F.col("lang").isNotNull()).filter("NOT language.rejected")
-    return found.withColumn("lang", F.coalesce("lang", "language.lang")).select(*docs.columns)
+    packed = docs.select("text", "lang", "doc_id", F.struct(*docs.columns).alias("_row"))
+    found = language_id.identify(packed, F.col("lang").isNotNull()).filter("NOT language.rejected")
+    near = F.when(F.col("language.distance") <= language_id.FURTHEST, F.col("language.lang"))
+    filled = F.coalesce("_row.lang", near).alias("lang")
+    return found.select(*[filled if c == "lang" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
