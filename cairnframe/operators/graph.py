@@ -103,10 +103,27 @@ def list_directory(vertices: DataFrame, edges: DataFrame, project: str, path: st
     ``/`` lists the root's children that belong to the project. Deeper, each
     segment must match a child's name within the project, and the last hop is
     not filtered: a directory without children gives one all-NULL row.
+
+    The path is known here, so all its steps are one query that runs when its rows are asked
+    for: a join with the edges and one with the vertices for a step, each on what the step
+    before reached. Vertices of other projects and names are filtered in the scan.
     """
-    request = vertices.sparkSession.createDataFrame([(project, path)], "project string, path string")
-    found = resolve_paths(vertices, edges, request.withColumn("request_id", F.lit(0)))
-    return found.filter("matched").select("id", "label", "name", "auth_resource_path")
+    own = vertices.filter(F.col("auth_resource_path") == F.lit(project).cast("string"))
+    studies = has_label(own, STUDY_LABEL).select(F.col("id").alias("src"))
+    at = edges.filter(F.col("label") == ROOT_EDGE).join(studies, "src").select(F.col("dst").alias("id"))
+    if path == "/":
+        entries = _below(at, own, edges).select(*_CHILD)
+    else:
+        for segment in (path or "").strip("/").split("/"):
+            reached = at.join(edges.select(F.col("src").alias("id"), "dst"), "id").select(F.col("dst").alias("id"))
+            at = reached.join(has_value(own, "name", segment).select("id"), "id")
+        below = _below(at, vertices, edges).select("id", *_CHILD)
+        empty = at.join(below.select("id").distinct(), "id", "left_anti")
+        entries = below.unionByName(empty, allowMissingColumns=True).select(*_CHILD)
+    valid = F.coalesce(valid_path(F.lit(path).cast("string")), F.lit(False))
+    return entries.filter(valid).select(
+        F.col("child_id").alias("id"), F.col("child_label").alias("label"), F.col("child_name").alias("name"), F.col("child_auth").alias("auth_resource_path")
+    )
 
 
 def resolve_paths(vertices: DataFrame, edges: DataFrame, requests: DataFrame) -> DataFrame:

@@ -123,17 +123,17 @@ class _TopK:
         self.floor = np.full(len(queries), -np.inf)  # signed k-th best so far
         self.q_norm = np.sqrt((queries * queries).sum(axis=1))
 
-    def add(self, ids: np.ndarray, p: np.ndarray) -> None:
-        """Take in a batch of points for all queries."""
+    def add(self, ids: np.ndarray, p: np.ndarray, allowed=None) -> None:
+        """Take in a batch of points for all queries; ``allowed(query rows)`` says which pairs count."""
         if len(ids) and len(self.q):
-            self.merge([self.find(ids, p, np.arange(len(self.q)))])
+            self.merge([self.find(ids, p, np.arange(len(self.q)), allowed)])
 
-    def find(self, ids: np.ndarray, p: np.ndarray, among: np.ndarray):
+    def find(self, ids: np.ndarray, p: np.ndarray, among: np.ndarray, allowed=None):
         """(query rows, ids, scores) of the points that may be among the best of the listed (sorted) query rows."""
         pairs = [(row, col) for col, i in enumerate(ids.tolist()) for row in self.excluded.get(i, ())] if self.excluded else []
         hidden = np.array(pairs, dtype=np.int64).reshape(-1, 2)
         step = max(1, SCORE_CELLS // len(ids))
-        found = [self._shortlist(among[lo : lo + step], p, hidden) for lo in range(0, len(among), step)]
+        found = [self._shortlist(among[lo : lo + step], p, hidden, allowed) for lo in range(0, len(among), step)]
         rows, cols, scores = (np.concatenate(part) for part in zip(*found))
         return rows, ids[cols], scores
 
@@ -155,7 +155,7 @@ class _TopK:
         keep = place < self.k[rows]
         self.rows, self.ids, self.scores = rows[keep], ids[keep], scores[keep]
 
-    def _shortlist(self, among: np.ndarray, p: np.ndarray, hidden: np.ndarray):
+    def _shortlist(self, among: np.ndarray, p: np.ndarray, hidden: np.ndarray, allowed=None):
         q, floor, q_norm = self.q[among], self.floor[among], self.q_norm[among]
         p_norm = np.sqrt((p * p).sum(axis=1))
         if self.metric == "Manhattan":
@@ -178,6 +178,8 @@ class _TopK:
             place = np.minimum(np.searchsorted(among, hidden[:, 0]), len(among) - 1)
             inside = among[place] == hidden[:, 0]
             approx[place[inside], hidden[inside, 1]] = -np.inf
+        if allowed is not None:
+            approx = np.where(allowed(among), approx, -np.inf)
         # Queries of similar limits together, so that one long page does not lengthen the others.
         wanted = self.k[among]
         for size in np.unique(np.ceil(np.log2(wanted))):
@@ -194,6 +196,46 @@ class _TopK:
         return among[rows], cols, scores
 
 
+class _Filters:
+    """An inverted index of the queries' conditions: each distinct one is looked up once for a point, not once for a query.
+
+    A query lists the numbers of its conditions; for a batch of points every condition has a
+    bitmap of the points that meet it, and a query's bitmap is the AND of its conditions'.
+    """
+
+    def __init__(self, musts: list[list[str] | None]):
+        wanted = [sorted(set(m or ())) for m in musts]
+        names = sorted({c for m in wanted for c in m})
+        number = {c: i for i, c in enumerate(names)}
+        self.names = pa.array(names, pa.string())
+        # Padded with the number of a condition that all points meet.
+        self.of = np.full((len(wanted), max(map(len, wanted), default=0)), len(names))
+        for row, conditions in enumerate(wanted):
+            self.of[row, : len(conditions)] = [number[c] for c in conditions]
+
+    @property
+    def points_at_once(self) -> int:
+        return max(1, SCORE_CELLS * 8 // (len(self.names) + 1))
+
+    def allowed(self, tokens: pa.Array):
+        """For a batch of points with their ``tokens``: a function from query rows to the pairs that count."""
+        import pyarrow.compute as pc
+
+        met = np.zeros((len(self.names) + 1, len(tokens)), bool)
+        met[-1] = True
+        owner = np.repeat(np.arange(len(tokens)), tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        found = pc.index_in(tokens.flatten(), self.names).fill_null(-1).to_numpy(zero_copy_only=False)
+        met[found[found >= 0], owner[found >= 0]] = True
+
+        def pairs(rows: np.ndarray) -> np.ndarray:
+            every = np.ones((len(rows), len(tokens)), bool)
+            for column in range(self.of.shape[1]):
+                every &= met[self.of[rows, column]]
+            return every
+
+        return pairs
+
+
 def _result_type(points: DataFrame, queries: DataFrame) -> T.StructType:
     return T.StructType(
         [
@@ -319,10 +361,11 @@ def _same_length(points: DataFrame, queries: DataFrame, dim: int | None) -> tupl
         dim = queries.agg(F.max(F.size("vector"))).first()[0] or 0
         if not dim:  # no queries, or none with components: nothing can be found
             points = points.filter("false")
-    limit = ["k"] if "k" in queries.columns else []
+    more = [c for c in ("k", "must") if c in queries.columns]
+    tokens = ["tokens"] if "must" in more else []
     return (
-        points.filter("vector IS NOT NULL").select("id", _of_length(F.col("vector"), dim).alias("vector")),
-        queries.select("query_id", _of_length(F.col("vector"), dim).alias("vector"), *limit),
+        points.filter("vector IS NOT NULL").select("id", _of_length(F.col("vector"), dim).alias("vector"), *tokens),
+        queries.select("query_id", _of_length(F.col("vector"), dim).alias("vector"), *more),
         dim,
     )
 
@@ -345,14 +388,17 @@ def _broadcast_top(points, queries, table: pa.Table, pairs: pa.Table | None, met
     hidden = {}
     if pairs is not None:
         hidden = _excluded_rows(zip(pairs["query_id"].to_pylist(), pairs["id"].to_pylist()), query_ids.to_pylist())
-    shared = points.sparkSession.sparkContext.broadcast((query_ids, matrix, limits, hidden))
+    filters = _Filters(table.column("must").to_pylist()) if "must" in table.column_names else None
+    shared = points.sparkSession.sparkContext.broadcast((query_ids, matrix, limits, hidden, filters))
 
     def score(batches):
-        ids_of_queries, q, k, excluded = shared.value
+        ids_of_queries, q, k, excluded, filters = shared.value
         top = _TopK(q, k, metric, excluded)
-        for batch in batches:
-            if batch.num_rows:
-                top.add(_ids(batch.column(0)), _matrix(batch.column(1)))
+        for whole in batches:
+            step = whole.num_rows if filters is None else filters.points_at_once
+            for start in range(0, whole.num_rows, max(step, 1)):
+                batch = whole.slice(start, step)
+                top.add(_ids(batch.column(0)), _matrix(batch.column(1)), None if filters is None else filters.allowed(batch.column(2)))
         yield from _as_batches(top, ids_of_queries, schema)
 
     return points.mapInArrow(score, result)

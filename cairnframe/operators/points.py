@@ -157,6 +157,33 @@ def payload_filter(points: DataFrame, must: Mapping[str, object] | None, promote
     return points.filter(let(F.try_parse_json("payload"), all_match))
 
 
+def condition_token(key: Column, value: Column) -> Column:
+    """A text for a key with a string, integer or boolean VARIANT, equal for equal values of one type; NULL for others."""
+    shape = F.schema_of_variant(value)
+    tags = (("STRING", "s", "string"), ("BIGINT", "i", "bigint"), ("BOOLEAN", "b", "boolean"))
+    texts = [F.when(shape == kind, F.concat(key, F.lit(f"={tag}:"), F.try_variant_get(value, "$", sql_type).cast("string"))) for kind, tag, sql_type in tags]
+    return F.coalesce(*texts)
+
+
+def payload_tokens(payload: Column, keys: list[str]) -> Column:
+    """:func:`condition_token` of all values that a JSON payload has at the ``keys``; an array gives one for each element."""
+
+    def tokens(parsed: Column) -> Column:
+        found = []
+        for key in keys:
+            node = variants.member(parsed, f"$.{key}")
+            elements = F.coalesce(variants.as_array(node), F.array(node))
+            found.append(F.transform(elements, _tokens_of(key)))
+        return F.array_compact(F.concat(*found))
+
+    none = F.array().cast("array<string>")
+    return F.coalesce(let(F.try_parse_json(payload), tokens), none) if keys else none
+
+
+def _tokens_of(key: str):
+    return lambda value: condition_token(F.lit(key), value)
+
+
 def decode_payload(points: DataFrame) -> DataFrame:
     """Top-level payload entries as rows ``id, key, kind, value`` (value as JSON text, NULL for null)."""
     entries = F.explode(variants.as_map(F.try_parse_json("payload"))).alias("key", "node")

@@ -6,6 +6,7 @@ from ..functions.vectors import score
 from ..operators import knn as nn
 from ..operators import mutations
 from ..operators import points as pt
+from ..operators.requests import query_points
 from .registry import query
 
 SPEC = {"emb": (64, "Cosine")}
@@ -206,6 +207,53 @@ SELECT query_id, id, round(s, 6) AS score, rank FROM ranked WHERE rank <= {k}
 """
 
 
+@query(
+    "v_query_points",
+    f"""
+WITH checked AS (SELECT *, CASE
+    WHEN vector IS NOT NULL AND (lookup_id IS NOT NULL OR positive IS NOT NULL OR negative IS NOT NULL) THEN 'cannot use both ''query'' vector and recommend inputs (positives/negatives/lookup_id) simultaneously'
+    WHEN negative IS NOT NULL AND lookup_id IS NULL AND positive IS NULL THEN 'must provide at least one positive for recommend query'
+    WHEN vector IS NULL AND lookup_id IS NULL AND positive IS NULL AND negative IS NULL THEN 'must specify either ''query'' vector or recommend inputs (positives/negatives/lookup_id)' END AS error FROM whole_requests),
+inputs AS (SELECT query_id AS request_id, 'pos' AS sign, lookup_id AS id FROM checked WHERE error IS NULL AND lookup_id IS NOT NULL
+           UNION ALL SELECT query_id, 'pos', positive FROM checked WHERE error IS NULL AND positive IS NOT NULL
+           UNION ALL SELECT query_id, 'neg', negative FROM checked WHERE error IS NULL AND negative IS NOT NULL),
+lost AS (SELECT DISTINCT request_id FROM inputs WHERE id NOT IN (SELECT id FROM points)),
+unit AS (SELECT id, {_UNIT} AS u FROM points),
+cut AS (SELECT request_id, sign, i, u[i] AS x FROM inputs JOIN unit USING (id), range(1, 65) r(i)),
+means AS (SELECT request_id, i, avg(x) FILTER (sign = 'pos') AS pos, avg(x) FILTER (sign = 'neg') AS neg FROM cut GROUP BY ALL),
+targets AS (SELECT request_id, list(pos + coalesce(pos - neg, 0) ORDER BY i) AS vector FROM means GROUP BY request_id),
+q AS (SELECT query_id, CAST(vector AS DOUBLE[]) AS vector FROM checked WHERE error IS NULL AND vector IS NOT NULL
+      UNION ALL SELECT request_id, vector FROM targets WHERE request_id NOT IN (SELECT request_id FROM lost)),
+fields AS (SELECT id, vector, payload, payload->>'color' AS color, CASE WHEN json_type(payload, '$.code') = 'UBIGINT' THEN CAST(payload->>'code' AS BIGINT) END AS code,
+                  (payload->>'even') = 'true' AS even, CAST(payload->'tags' AS VARCHAR[]) AS tags FROM points),
+scored AS (SELECT q.query_id, p.id, p.payload, p.vector, {COSINE} AS s FROM q JOIN checked r USING (query_id)
+           JOIN fields p ON coalesce(p.color = r.color, r.color IS NULL) AND (r.code IS NULL OR coalesce(p.code = r.code, false))
+                         AND (r.even IS NULL OR p.even = r.even) AND (r.tag IS NULL OR list_contains(p.tags, r.tag))
+           WHERE NOT EXISTS (SELECT 1 FROM inputs x WHERE x.request_id = q.query_id AND x.id = p.id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM scored)
+SELECT query_id, id, round(s, 6) AS score, rank, CASE WHEN with_payload THEN n.payload END AS payload, CASE WHEN with_vector THEN len(n.vector) END AS n_dims, NULL AS error
+FROM ranked n JOIN checked r USING (query_id)
+WHERE rank > coalesce(off, 0) AND rank <= coalesce(off, 0) + coalesce(lim, 0) AND (threshold IS NULL OR s >= threshold)
+UNION ALL SELECT query_id, NULL, NULL, NULL, NULL, NULL, error FROM checked WHERE error IS NOT NULL
+UNION ALL SELECT request_id, NULL, NULL, NULL, NULL, NULL, 'point not found' FROM lost
+""",
+)
+def v_query_points(t):
+    """Every request brings its own form, ids, filter, page, threshold and flags."""
+
+    def one(column):
+        return F.when(F.col(column).isNotNull(), F.array(column))
+
+    texts = {"color": F.concat(F.lit('"'), F.col("color"), F.lit('"')), "tags": F.concat(F.lit('"'), F.col("tag"), F.lit('"')), "code": F.col("code").cast("string"), "even": F.col("even").cast("string")}
+    must = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in texts.items()]), lambda c: c["value"].isNotNull())
+    requests = t["whole_requests"].select(
+        "query_id", "vector_name", "vector", "lookup_id", one("positive").alias("positives"), one("negative").alias("negatives"),
+        F.col("lim").alias("limit"), F.col("off").alias("offset"), F.col("threshold").alias("score_threshold"), must.alias("must"), "with_payload", "with_vector",
+    )
+    found = query_points(t["points"], requests)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank", "payload", F.size("vector").cast("bigint").alias("n_dims"), "error")
+
+
 @query("v_recommend", _recommended("SELECT request_id, sign, id FROM request_inputs", 7))
 def v_recommend(t):
     return _rounded(nn.recommend(t["points"], t["request_inputs"], 7), "query_id", "id", "score", "rank")

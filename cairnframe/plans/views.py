@@ -35,6 +35,21 @@ SELECT event_id AS request_id, event_type <> 'view' AS has_vector, CAST(event_id
        CAST(user_id % 5 AS BIGINT) AS n_neg FROM events
 """,
 )
+# Requests of every form: a vector, a lookup id, both, positives and negatives, negatives alone, nothing; some name an unknown id.
+view(
+    "whole_requests",
+    """
+SELECT p.vec_id AS query_id, 'emb' AS vector_name, CASE WHEN p.vec_id % 8 IN (0, 2, 6) THEN p.vector END AS vector,
+       CASE WHEN p.vec_id % 8 IN (1, 4, 6) THEN p.id END AS lookup_id,
+       CASE WHEN p.vec_id % 40 = 3 THEN 'no-such-id' WHEN p.vec_id % 8 = 3 THEN p.id WHEN p.vec_id % 8 = 4 THEN n.id END AS positive,
+       CASE WHEN p.vec_id % 8 IN (3, 5) THEN n.id END AS negative,
+       CASE WHEN p.label < 9 THEN p.label + 2 END AS lim, CASE WHEN p.label < 4 THEN p.label END AS off, CASE WHEN p.label % 2 = 0 THEN 0.2 END AS threshold,
+       CASE WHEN p.vec_id % 3 = 1 THEN 'color_2' END AS color, CASE WHEN p.vec_id % 5 = 1 THEN 7 END AS code, CASE WHEN p.vec_id % 7 = 1 THEN true END AS even,
+       CASE WHEN p.vec_id % 9 = 1 THEN concat('t', CAST(p.label AS STRING)) END AS tag,
+       p.vec_id % 2 = 0 AS with_payload, p.vec_id % 4 = 3 AS with_vector
+FROM points p JOIN points n ON n.vec_id = CASE WHEN p.vec_id % 2 = 0 THEN p.vec_id + 1 ELSE p.vec_id - 1 END
+""",
+)
 view(
     "raw_points",
     """

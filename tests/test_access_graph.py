@@ -234,3 +234,12 @@ def test_project_ids(spark):
         (None, "invalid_project_id"),
         (None, "invalid_project_id"),
     ]
+
+
+def test_a_directory_is_listed_by_one_query(spark, graph):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("listing", "")
+    found = gr.list_directory(*graph, P1, "/a/b/c")
+    assert not tracker.getJobIdsForGroup("listing")
+    spark.sparkContext.setJobGroup("", "")
+    assert found.columns == ["id", "label", "name", "auth_resource_path"]
