@@ -341,3 +341,10 @@ def test_vectors_map_names_the_unnamed(spark):
 def test_projection_does_not_read_dropped_columns(spark, inputs):
     plan = pt.project_points(inputs["points"])._jdf.queryExecution().executedPlan().toString()
     assert "embedding" not in plan.split("ReadSchema")[1]
+
+
+def test_approximate_search_finds_nine_of_ten_on_the_given_vectors(inputs):
+    from cairnframe.plans.catalog import QUERIES
+
+    (row,) = QUERIES["v_ann_recall"].run(inputs).collect()
+    assert row["wanted"] == 10 * inputs["points"].count() and row["recall"] >= 0.9
