@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import variants
@@ -32,6 +32,44 @@ def pre_filter(table: DataFrame, values: DataFrame, fields: Sequence[str]) -> Da
     return table
 
 
+def filter_classes(values: DataFrame) -> DataFrame:
+    """``name, tab_pos, filter_class``: tabs whose pre-filters are equal, in any order, have one class.
+
+    ``values`` as from :func:`pre_filter_values`. Tabs without pre-filters keep every row and are not listed.
+    """
+    listed = F.sort_array(F.collect_set(F.struct("field", "value")))
+    return values.groupBy("name", "tab_pos").agg(listed.alias("filters")).select("name", "tab_pos", F.md5(F.to_json("filters")).alias("filter_class"))
+
+
+def pre_filter_classes(table: DataFrame, values: DataFrame) -> DataFrame:
+    """The rows of ``table`` with ``filter_class``: once for every class of pre-filters (:func:`filter_classes`) that keeps them.
+
+    The table is read once for any number of documents. Each (field, value) has the list of the classes that
+    allow it; a row looks up its values, field by field, and a class keeps it that
+    is found as often as it has fields. A filter on a field that the table lacks keeps no row.
+
+    The driver reads the distinct fields, which are like column names.
+    """
+    classes = filter_classes(values)
+    conditions = values.join(classes, ["name", "tab_pos"]).select("filter_class", "field", "value").distinct()
+    needs = conditions.groupBy("filter_class").agg(F.count_distinct("field").alias("need"))
+    entry = F.struct("filter_class", "need")
+    allowed = conditions.join(needs, "filter_class").groupBy("field", "value").agg(F.collect_list(entry).alias("classes"))
+    fields = sorted({r[0] for r in values.select("field").distinct().collect()} & set(table.columns))
+    none = F.array().cast("array<struct<filter_class:string,need:bigint>>")
+    own = F.struct(*[F.col(f"`{c}`") for c in table.columns]).alias("_row")
+    rows = table.select(own)
+    for n, field in enumerate(fields):
+        lookup = allowed.filter(F.col("field") == field).select(F.col("value").alias(f"_value{n}"), F.col("classes").alias(f"_classes{n}"))
+        rows = rows.join(lookup, F.col("_row")[field].cast("string") == F.col(f"_value{n}"), "left")
+    found = F.concat(none, *[F.coalesce(f"_classes{n}", none) for n in range(len(fields))])
+
+    def kept(every: Column) -> Column:
+        return F.filter(F.array_distinct(every), lambda c: F.size(F.filter(every, lambda x: x["filter_class"] == c["filter_class"])) == c["need"])
+
+    return rows.select("_row", F.explode(let(found, kept)).alias("_kept")).select("_row.*", "_kept.filter_class")
+
+
 def facet_counts(table: DataFrame, fields: Sequence[str]) -> DataFrame:
     """``field, value, n`` for all listed fields in one pass over the table."""
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields]))
@@ -55,6 +93,44 @@ def size_histogram(table: DataFrame, column: str, edges: Sequence[int]) -> DataF
     return bins.join(counts, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def _edges_upto(edges: Sequence[int], value: Column) -> Column:
+    """How many of the sorted edges are not above the value: a binary search; NULL for NULL."""
+    listed = F.array(*[F.lit(int(e)).cast("long") for e in edges])
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, len(edges).bit_length())))])
+
+    def step(at: Column, by: Column) -> Column:
+        return F.when(F.coalesce(F.try_element_at(listed, at + by) <= value, F.lit(False)), at + by).otherwise(at)
+
+    return F.when(value.isNotNull(), F.aggregate(steps, F.lit(0), step))
+
+
+def document_histograms(sizes: DataFrame, column: str, edges: DataFrame) -> DataFrame:
+    """``name, bin, low, high, n`` of every document's own bins, empty ones included; the last bin is open.
+
+    ``edges``: ``name, edge`` in any order, as from :func:`bin_edges`. Sizes below the first edge are in no bin.
+
+    One read of the sizes serves all documents: sizes are counted between the distinct edges of all documents
+    (a binary search and a partial count each), and sums of these counts give how many sizes lie below an
+    edge. A bin holds the difference at its two edges, so documents meet edges by equality, never sizes.
+
+    The driver reads the distinct edges, which are settings, few.
+    """
+    bounds = sorted(r[0] for r in edges.filter("edge IS NOT NULL").select("edge").distinct().collect())
+    counts = sizes.select(_edges_upto(bounds, F.col(column)).alias("upto")).filter("upto IS NOT NULL").groupBy("upto").agg(F.count(F.lit(1)).alias("n"))
+    listed = sizes.sparkSession.createDataFrame([(i, e) for i, e in enumerate(bounds)], "place int, low long")
+    # Sizes that reach exactly ``place`` edges lie below the edge at ``place``.
+    inside = listed.join(counts.withColumn("place", F.col("upto")).drop("upto"), "place", "full")
+    upto = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    below = inside.withColumn("below", F.sum(F.coalesce("n", F.lit(0))).over(upto)).filter("low IS NOT NULL").select("low", "below")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    of_name = Window.partitionBy("name").orderBy("low")
+    bins = edges.filter("edge IS NOT NULL").select("name", F.col("edge").cast("long").alias("low")).distinct()
+    bins = bins.withColumn("bin", (F.row_number().over(of_name) - 1).cast("long")).withColumn("high", F.lead("low").over(of_name))
+    at_high = below.select(F.col("low").alias("high"), F.col("below").alias("below_high")).unionByName(total.select(F.lit(None).cast("long").alias("high"), F.col("total").alias("below_high")))
+    joined = bins.join(below, "low").join(at_high, bins["high"].eqNullSafe(at_high["high"])).drop(at_high["high"])
+    return joined.select("name", "bin", "low", "high", (F.col("below_high") - F.col("below")).cast("long").alias("n"))
+
+
 def bin_edges(decoded: DataFrame) -> DataFrame:
     """``name, position, edge`` of the documents' size bins (LONG, exact beyond 2^53)."""
     points = decoded.select("name", F.posexplode("doc.binslicePoints").alias("position", "edge"))

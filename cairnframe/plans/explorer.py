@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import documents as dc
 from ..operators import explorer as ex
+from ..sources.tables import stored
 from .registry import query, view
 
 _DOCS = "SELECT name, segment, content FROM docs WHERE config_type = 'explorer' AND json_valid(content) AND doc_key % 13 <> 0"
@@ -16,14 +17,16 @@ def _explorer(t):
 @query(
     "d_prefilter",
     f"""
-WITH first_doc AS (SELECT content FROM ({_DOCS}) ORDER BY name LIMIT 1)
-SELECT project_id, segment FROM projects WHERE segment IN (SELECT content->>'$.explorerConfig[0].preFilters.segment[0]' FROM first_doc)
+WITH wanted AS (SELECT content->>'$.explorerConfig[0].preFilters.segment[0]' AS value, count(*) AS n_documents FROM ({_DOCS}) GROUP BY 1)
+SELECT project_id, segment, n_documents FROM projects JOIN wanted ON value = segment
 """,
 )
 def d_prefilter(t):
-    """The filter of one document (the first by name) on all projects."""
-    one = _explorer(t).orderBy("name").limit(1)
-    return ex.pre_filter(t["projects"].select("project_id", "segment"), ex.pre_filter_values(one), ["segment"])
+    """All projects that some document keeps, and how many documents do."""
+    values = stored(ex.pre_filter_values(_explorer(t)))  # parsed once
+    kept = ex.pre_filter_classes(t["projects"].select("project_id", "segment"), values)
+    documents = ex.filter_classes(values).groupBy("filter_class").agg(F.count("*").alias("n"))
+    return kept.join(documents, "filter_class").groupBy("project_id", "segment").agg(F.sum("n").alias("n_documents"))
 
 
 @query(
@@ -65,6 +68,25 @@ def d_bins(t):
     return ex.size_histogram(sizes, "size", EDGES)
 
 
+@query(
+    "d_document_bins",
+    """
+WITH lows AS (SELECT name, CAST(content->>('$.binslicePoints[' || i || ']') AS BIGINT) + CASE WHEN i IN (1, 2) THEN length(name) * (ascii(right(name, 1)) % 7) * 1000 ELSE 0 END AS low
+               FROM docs, range(6) r(i) WHERE config_type = 'file_summary' AND json_valid(content) AND doc_key % 13 <> 0),
+bins AS (SELECT name, low, lead(low) OVER (PARTITION BY name ORDER BY low) AS high, row_number() OVER (PARTITION BY name ORDER BY low) - 1 AS bin FROM lows),
+sizes AS (SELECT CAST(floor(l_extendedprice) AS BIGINT) * l_partkey * 100 - 1000 AS size FROM lineitem),
+counts AS (SELECT low, high, count(size) AS n FROM (SELECT DISTINCT low, high FROM bins) LEFT JOIN sizes ON size >= low AND (high IS NULL OR size < high) GROUP BY ALL)
+SELECT name, bin, b.low, b.high, n FROM bins b JOIN counts c ON c.low = b.low AND c.high IS NOT DISTINCT FROM b.high
+""",
+)
+def d_document_bins(t):
+    """The histogram of every document; two edges are moved by the document's name, so that documents differ."""
+    moved = F.when(F.col("position").isin(1, 2), F.length("name") * (F.ascii(F.right("name", F.lit(1))) % 7) * 1000).otherwise(0)
+    edges = stored(ex.bin_edges(dc.decode(t["docs"], "file_summary").filter("doc IS NOT NULL")).select("name", (F.col("edge") + moved).alias("edge")))
+    sizes = t["lineitem"].select((F.floor("l_extendedprice") * F.col("l_partkey") * 100 - 1000).alias("size"))
+    return ex.document_histograms(sizes, "size", edges)
+
+
 @query(
     "d_bin_edges",
     """

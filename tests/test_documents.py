@@ -317,3 +317,34 @@ def test_table_view_casts(spark):
     assert (row.N, row.b, row.d.day, row.l, row.x, row.k) == (1.5, True, 2, ["a"], "in", "3")
     with pytest.raises(ValueError):
         ex.table_view(df, [{"field": "n", "type": "odd"}])
+
+
+def test_pre_filters_of_all_documents(spark):
+    values = spark.createDataFrame(
+        [("a", 0, "x", "1"), ("a", 0, "x", "2"), ("a", 0, "y", "q"), ("b", 0, "x", "1"), ("c", 1, "x", "1"), ("d", 0, "gone", "1"), ("e", 0, "y", "q"), ("e", 0, "x", "2"), ("e", 0, "x", "1")],
+        "name string, tab_pos long, field string, value string",
+    )
+    table = spark.createDataFrame([(1, "q", 5), (2, "q", 6), (1, "r", 7), (3, "q", 8), (None, "q", 9), (1, "q", 5)], "x int, y string, filter_no int")
+    classes = {(r["name"], r["tab_pos"]): r["filter_class"] for r in ex.filter_classes(values).collect()}
+    assert classes["a", 0] == classes["e", 0] and classes["b", 0] == classes["c", 1] and len(set(classes.values())) == 3
+    got = ex.pre_filter_classes(table, values)
+    own = got.filter(F.col("filter_class") == classes["a", 0]).drop("filter_class")
+    assert rows(own) == rows(table.filter("x IN (1, 2) AND y = 'q'")) and got.columns == [*table.columns, "filter_class"]
+    assert rows(got.filter(F.col("filter_class") == classes["b", 0]).drop("filter_class")) == rows(table.filter("x = 1"))
+    assert got.filter(F.col("filter_class") == classes["d", 0]).count() == 0
+    assert ex.pre_filter_classes(table, values.filter("false")).count() == 0
+
+
+def test_histograms_of_all_documents(spark):
+    sizes = [(v,) for v in (-5, 0, 1, 9, 10, 10, 11, 99, 100, 2**53 - 1, 2**60, None)]
+    edges = [("a", 0), ("a", 10), ("a", 100), ("b", 10), ("b", 9), ("b", 9), ("c", 2**53 - 1), ("d", None), ("e", -(2**60)), ("e", 2**61)]
+    got = ex.document_histograms(spark.createDataFrame(sizes, "s long"), "s", spark.createDataFrame(edges, "name string, edge long"))
+    expected = []
+    for name in "abce":
+        own = sorted({e for n, e in edges if n == name})
+        for i, (low, high) in enumerate(zip(own, [*own[1:], None])):
+            expected.append((name, i, low, high, sum(1 for (v,) in sizes if v is not None and v >= low and (high is None or v < high))))
+    assert sorted(map(tuple, got.collect())) == sorted(expected)
+    nothing = ex.document_histograms(spark.createDataFrame([], "s long"), "s", spark.createDataFrame(edges, "name string, edge long"))
+    assert sorted(map(tuple, nothing.collect())) == sorted((*e[:4], 0) for e in expected)
+    assert ex.document_histograms(spark.createDataFrame(sizes, "s long"), "s", spark.createDataFrame([], "name string, edge long")).count() == 0
