@@ -9,10 +9,12 @@ import pytest
 import __spark_entry__ as entry_points
 import corpus_pipeline
 from cairnframe.llm import flac, unigram
+from cairnframe.llm.common import stored
 from cairnframe.llm.queries import QUERIES, SQL, vocabulary
 from check import compare, connect
 
 from ..conftest import SF_DIR
+from .cases import edge_documents, no_documents
 from .test_near_dedup import plain
 
 
@@ -88,3 +90,17 @@ def test_pipeline_stages(spark, texts):
     assert Counter(r["doc_id"] for r in last) == copies and all(r["round_trip"] and len(r["ids"]) == r["n_pieces"] for r in last)
     whole = corpus_pipeline.run(spark, SF_DIR).select("doc_id", "n_pieces").collect()
     assert Counter(map(tuple, whole)) == Counter((r["doc_id"], r["n_pieces"]) for r in last)
+
+
+@pytest.mark.parametrize("make", [edge_documents, no_documents])
+def test_stages_on_edge_rows_and_empty_tables(spark, make):
+    """Nulls, empty and long texts, repeats and columns named like a stage's own: columns stay, and no value is replaced."""
+    docs = make(spark)
+    seen = {(r["doc_id"], r["text"], r["toxicity"], r["language"], r["score"]) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs_after = stored(stage(spark, docs, SF_DIR))
+        assert docs_after.columns == docs.columns, name
+        assert {(r["doc_id"], r["text"], r["toxicity"], r["language"], r["score"]) for r in docs_after.collect()} <= seen, name
+        docs = docs_after
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR).collect()
+    assert len(last) == docs.count() and all(r["round_trip"] for r in last)
