@@ -198,11 +198,11 @@ def decode(documents: DataFrame, config_type: str) -> DataFrame:
     JSON or holds a value of a wrong type.
     """
     schema = DOCUMENT_SCHEMAS[config_type]
-    rows = strict_parse(documents.filter(F.col("config_type") == config_type), schema)
-    readable = ~F.exists("problems", lambda p: p["problem"] != "unknown_field")
-    return barrier(rows.select("name", "problems", "content"), "doc", F.when(readable, F.from_json("content", schema))).select(
-        "name", "doc"
-    )
+    wrong = f"exists({_problems('parsed', schema, '')}, p -> p.problem <> 'unknown_field')"
+    typed = f"try_variant_get(parsed, '$', '{schema.simpleString()}')"
+    doc = F.expr(_let("try_parse_json(content)", "parsed", f"CASE WHEN parsed IS NOT NULL AND NOT {wrong} THEN {typed} END"))
+    rows = documents.filter(F.col("config_type") == config_type).select("name", "content")
+    return barrier(rows, "doc", doc).select("name", "doc")
 
 
 # ---------------------------------------------------------------- encoding

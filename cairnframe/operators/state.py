@@ -127,7 +127,9 @@ def integration_checks(checked: DataFrame) -> DataFrame:
 
 
 def with_identity(projects: DataFrame) -> DataFrame:
-    """Add ``repo_host, repo_owner, repo_name, repo_url`` from ``src_repo``."""
+    """Add ``repo_host, repo_owner, repo_name, repo_url`` from ``src_repo``; projects that have them stay as they are."""
+    if {"repo_host", "repo_owner", "repo_name", "repo_url"} <= set(projects.columns):
+        return projects
     identity = repo_identity(F.col("src_repo"))
     named = projects.withColumn("_identity", identity)
     out = named.withColumns(
@@ -228,7 +230,7 @@ def reconcile_orgs(projects: DataFrame, installs: DataFrame, org_state: DataFram
     organisation keeps its installation.
     """
     named = with_identity(projects).withColumn("organization", org_of_id(F.col("project_id"))).filter("organization <> ''")
-    owners = named.filter("repo_owner IS NOT NULL").select("organization", F.col("repo_owner").alias("owner")).distinct()
+    owners = named.select("organization", F.col("repo_owner").alias("owner")).distinct()
     failed = ~F.col("status_code").isin(200, 404)
     decisive = installs.filter(failed | ((F.col("status_code") == 200) & F.col("installed")))
     columns = ("installation_id", "installation_target", "installation_target_type", "html_url", "repository_selection")
@@ -236,13 +238,13 @@ def reconcile_orgs(projects: DataFrame, installs: DataFrame, org_state: DataFram
         owners.join(decisive, ["organization", "owner"], "left")
         .groupBy("organization")
         .agg(
-            F.min_by(F.struct("status_code", "installed", *columns), F.when(F.col("status_code").isNotNull(), F.col("owner"))).alias("_new")
+            F.min_by(F.struct("status_code", "installed", *columns), F.when(F.col("status_code").isNotNull(), F.col("owner"))).alias("_new"),
+            F.bool_or(F.col("owner").isNotNull()).alias("_has_owner"),
         )
-        .withColumn("_has_owner", F.lit(True))
     )
     old = org_state.select("organization", F.struct("installed", *columns).alias("_old"))
-    joined = named.select("organization").distinct().join(first, "organization", "left").join(old, "organization", "left")
-    has_owner = F.coalesce("_has_owner", F.lit(False))
+    joined = first.join(old, "organization", "left")
+    has_owner = F.col("_has_owner")
     error = F.when(has_owner & ~F.col("_new.status_code").isin(200, 404), "integration_error")
     installed = F.coalesce(F.when(has_owner, F.col("_new.installed")).otherwise(F.col("_old.installed")), F.lit(False))
     flagged = joined.withColumn("error", error).withColumn("installed", installed & F.col("error").isNull())

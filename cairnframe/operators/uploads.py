@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, strip, strip_path
+from ..sources.tables import stored
 from . import mutations
 from .trees import POINTER_VERSION, paths_exist
 
@@ -138,16 +139,18 @@ def session_view(requests: DataFrame, sessions: DataFrame, files: DataFrame) ->
     """Files of asked ``(session_id, project_id)`` pairs, in target order within a session.
 
     Adds ``collision`` per file and ``has_conflicts`` per session; a session of
-    another project, or none, gives one row with ``error_type`` not_found.
+    another project, or none, gives one row with ``error_type`` not_found. The files of asked
+    sessions are worked out once, and written, for both their rows and their conflicts.
     """
+    columns = ("ordinal", "file_name", "target_path", "size", "checksum", "drs_object_id", "status", "error")
+    files = stored(files.select("session_id", *columns).join(requests.select("session_id").distinct(), "session_id", "left_semi"))
     own = sessions.select("session_id", "project_id").withColumn("_own", F.lit(True))
     conflicts = files.groupBy("session_id").agg(F.bool_or(F.col("status") == COLLISION).alias("has_conflicts"))
     asked = requests.select("session_id", "project_id").distinct().join(own, ["session_id", "project_id"], "left")
-    asked = asked.join(conflicts, "session_id", "left")
+    asked = stored(asked.join(conflicts, "session_id", "left"))
     # The files are the left side of an inner join, so a very large session can be split.
     filled = asked.filter("_own AND has_conflicts IS NOT NULL").drop("_own")
-    columns = ("ordinal", "file_name", "target_path", "size", "checksum", "drs_object_id", "status", "error")
-    shown = files.select("session_id", *columns).join(filled, "session_id")
+    shown = files.join(filled, "session_id")
     empty = asked.filter("_own AND has_conflicts IS NULL").withColumn("has_conflicts", F.lit(False)).drop("_own")
     missing = asked.filter("_own IS NULL").select("session_id", "project_id", F.lit("not_found").alias("error_type"))
     return (

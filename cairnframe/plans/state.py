@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import state as st
+from ..sources.tables import stored
 from .documents import _OWNER, _VALID_REPO
 from .registry import query
 
@@ -210,8 +211,9 @@ FROM tracked t LEFT JOIN project_state s ON s.project_id = t.project_id
 """,
 )
 def p_rec_project(t):
-    org_rows = st.reconcile_orgs(t["projects"], t["installs"], t["org_state"], _now())
-    return st.reconcile_projects(t["projects"], org_rows, t["project_state"], t["probes"])
+    projects = stored(st.with_identity(t["projects"]))
+    org_rows = st.reconcile_orgs(projects, t["installs"], t["org_state"], _now())
+    return st.reconcile_projects(projects, org_rows, t["project_state"], t["probes"])
 
 
 @query("p_pending", "SELECT id, installation_id, repo_full_name, added_at FROM pending WHERE resolved_at IS NULL AND removed_at IS NULL")

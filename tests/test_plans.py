@@ -58,3 +58,23 @@ def test_hot_keys_are_counted_before_the_shuffle(inputs, key):
     else:
         plan = plan_of(st.uniqueness_violations(inputs["pending"]))
     assert "Window" not in plan and "partial_min" in plan
+
+
+def test_identities_are_parsed_once_for_both_reconciliations(inputs):
+    """Projects that carry their identity stay as they are, and owners and organisations come from one aggregation."""
+    from cairnframe.operators import state as st
+
+    named = st.with_identity(inputs["projects"])
+    assert st.with_identity(named) is named
+    plan = plan_of(st.reconcile_orgs(named, inputs["installs"], inputs["org_state"].limit(0), st.F.lit(None).cast("timestamp_ntz")))
+    assert plan.count("BroadcastHashJoin") + plan.count("SortMergeJoin") <= 2 + plan_of(inputs["installs"]).count("Join")
+
+
+def test_asked_sessions_read_their_files_once(inputs):
+    plan = plan_of(QUERIES["u_session"].run(inputs))
+    assert "Window" not in plan and plan.count("Scan parquet") <= 5
+
+
+def test_documents_are_parsed_once(inputs):
+    plan = plan_of(QUERIES["c_decode"].run(inputs))
+    assert "from_json" not in plan.lower() and "jsontostructs" not in plan.lower()
