@@ -31,6 +31,9 @@ _CLOSING = re.compile(r"[.)\]\"'\u201d\u2019]*")
 _SPDX_ID = r"[A-Za-z0-9][A-Za-z0-9.:-]*\+?"
 _SPDX_TERM = rf"\(*[ \t]*{_SPDX_ID}(?:[ \t]+WITH[ \t]+{_SPDX_ID})?(?:[ \t]*\))*"
 _SPDX = re.compile(rf"SPDX-License-Identifier:[ \t]*(?P<expression>{_SPDX_TERM}(?:[ \t]+(?:AND|OR)[ \t]+{_SPDX_TERM})*)", re.I)
+#: Templates that save this share of what the best one saves are winners too: by chance a template also holds a few
+#: letters of the words around a notice, so that smaller gaps tell nothing.
+NEAR = 0.8
 #: Words that an open place of a template stands for at most.
 OPEN = 8
 COLUMNS = (
@@ -312,12 +315,13 @@ def needles(templates: Mapping[str, tuple[str, ...]], tolerated: float) -> str:
 
 
 class Scanner:
-    """Finds stretches of words that may be a notice, confirms them word by word and measures how much their template helps to compress them."""
+    """Finds blocks of words that may hold a notice, ranks their templates by what they save as dictionary, and confirms a block word by word."""
 
     def __init__(self, templates: Mapping[str, tuple[str, ...]], least: float, tolerated: float):
         self.least, self.tolerated = least, tolerated
         self.plain = zstandard.ZstdCompressor(level=19)
         self.entries = []
+        self.saved: dict[tuple, int] = {}
         #: By first word, length and words of a piece: the templates that hold it, and where.
         self.seeds: dict[str, dict[int, dict[tuple[str, ...], list[tuple[int, int]]]]] = {}
         for name, texts in templates.items():
@@ -351,29 +355,44 @@ class Scanner:
         return None if reduction < self.least else (begin, end, equal, reduction, diff)
 
     def reduction(self, template: str, stretch: str) -> float:
+        plain, with_template = self.sizes(template, stretch)
+        return 1 - with_template / plain
+
+    def sizes(self, template: str, stretch: str) -> tuple[int, int]:
         raw = zstandard.ZstdCompressionDict(template.encode("utf-8", "surrogatepass"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         data = stretch.encode("utf-8", "surrogatepass")
-        return 1 - len(zstandard.ZstdCompressor(level=19, dict_data=raw).compress(data)) / len(self.plain.compress(data))
+        return len(self.plain.compress(data)), len(zstandard.ZstdCompressor(level=19, dict_data=raw).compress(data))
 
-    def candidates(self, words: list[str]) -> Iterator[tuple]:
-        """Confirmed stretches, as begin, end, equal words, reduction, license, template and differences."""
-        tried, seen = set(), set()
+    def saving(self, entry: int, block: tuple[str, ...]) -> int:
+        """Bytes by which a block gets smaller with the template as raw dictionary."""
+        key = (entry, block)
+        if key not in self.saved:
+            if len(self.saved) > 20_000:
+                self.saved.clear()
+            plain, with_template = self.sizes(" ".join(self.entries[entry][2]), " ".join(block))
+            self.saved[key] = plain - with_template
+        return self.saved[key]
+
+    def candidates(self, words: list[str]) -> list[tuple[int, int, int, tuple[str, ...]]]:
+        """Bytes saved, template, begin and words of every block that may hold a notice; the greatest saving first.
+
+        A template takes part where a text holds one of its pieces; without one it can't be confirmed, so none is lost.
+        """
+        tried, found = set(), []
         for p, word in enumerate(words):
             for size, pieces in self.seeds.get(word, {}).items():
                 for entry, at in pieces.get(tuple(words[p : p + size]), ()):
                     if (entry, p - at) in tried:
                         continue
                     tried.add((entry, p - at))
-                    name, i, template, open_places = self.entries[entry]
+                    _, _, template, open_places = self.entries[entry]
                     slack = int(self.tolerated * len(template))
                     before = slack + OPEN * sum(k < at for k in open_places)
                     after = slack + OPEN * sum(k > at for k in open_places)
                     first = max(0, p - at - before)
-                    found = self.fit(entry, tuple(words[first : p - at + len(template) + after]))
-                    if found is not None and (entry, first + found[0]) not in seen:
-                        seen.add((entry, first + found[0]))
-                        begin, end, equal, reduction, diff = found
-                        yield first + begin, first + end, equal, reduction, name, i, diff
+                    block = tuple(words[first : p - at + len(template) + after])
+                    found.append((self.saving(entry, block), entry, first, block))
+        return sorted(found, key=lambda c: (-c[0], self.entries[c[1]][:2], c[2]))
 
 
 def _expression(found: str) -> str:
@@ -387,8 +406,9 @@ def _expression(found: str) -> str:
 def scan_text(scanner: Scanner, text: str, longest: int | None = None) -> Iterator[tuple]:
     """Notices of a text: license, template, start and length in characters, reduction, differences, block.
 
-    An SPDX tag stands for itself. Of stretches that overlap, the one with the most words of its template stays. Lines
-    play no part, nor does ``longest``.
+    An SPDX tag stands for itself. Blocks are confirmed in the order of the bytes that their templates save. Where the
+    confirmed stretches of several winners (see ``NEAR``) overlap, the exact wording tells which of them stays, and it
+    keeps all later ones from its words. Lines play no part, nor does ``longest``.
     """
     chosen, tags = [], []
     for m in _SPDX.finditer(text):
@@ -398,14 +418,38 @@ def scan_text(scanner: Scanner, text: str, longest: int | None = None) -> Iterat
         tags.append((m.start(), end))
         chosen.append((m.start(), end, " ".join(expression.split()), 0, scanner.reduction("spdx license identifier", stretch), []))
     words, starts, ends = _placed(text)
-    ranked = sorted(scanner.candidates(words), key=lambda c: (-c[2], len(c[6]), -c[3], c[4], c[5], c[0]))
     taken = bytearray(len(words))
     for begin, end in tags:
         first, last = bisect_left(starts, begin), bisect_left(starts, end)
         taken[first:last] = b"\1" * (last - first)
-    for begin, end, _, reduction, name, i, diff in ranked:
+    ranked = scanner.candidates(words)
+    at_place = sorted(range(len(ranked)), key=lambda r: ranked[r][2])
+    places = [ranked[r][2] for r in at_place]
+    widest = max((len(c[3]) for c in ranked), default=0)
+
+    def confirmed(rank: int) -> tuple | None:
+        """What orders winners, best first, and the stretch; None if the block has no notice, or one on taken words."""
+        saved, entry, first, block = ranked[rank]
+        fitted = None if all(taken[first : first + len(block)]) else scanner.fit(entry, block)
+        if fitted is None:
+            return None
+        begin, end, equal, reduction, diff = fitted
+        begin, end = first + begin, first + end
         if any(taken[begin:end]) or _DENIED.search(text, max(0, starts[begin] - 40), starts[begin]):
+            return None
+        name, i = scanner.entries[entry][:2]
+        return (-equal, len(diff), -saved, name, i, begin), end, reduction, diff
+
+    rank = 0
+    while rank < len(ranked):
+        top = confirmed(rank)
+        if top is None:
+            rank += 1
             continue
+        first, last = top[0][-1], top[1]
+        around = at_place[bisect_left(places, first - widest) : bisect_left(places, last)]
+        winners = [c for r in around if ranked[r][0] >= NEAR * ranked[rank][0] and (c := confirmed(r)) and c[0][-1] < last and c[1] > first]
+        (_, _, _, name, i, begin), end, reduction, diff = min([top, *winners], key=lambda c: c[0])
         taken[begin:end] = b"\1" * (end - begin)
         chosen.append((starts[begin], _CLOSING.match(text, ends[end - 1]).end(), name, i, reduction, diff))
     for start, end, name, i, reduction, diff in sorted(chosen, key=lambda c: c[0]):
@@ -416,20 +460,22 @@ def scan(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES,
     """One row for each license notice in the texts.
 
     Each template is cut into pieces, one more than words of it may differ; wherever a text
-    holds a piece, the stretch of words around it, as long as the template, is compared with
-    it word for word. At most the share ``tolerated`` of the words may differ, and none
-    of those that decide the license (numbers, ``nc``, ``lesser`` and the like).
-    The words of the stretch alone are then compressed without and with the template as raw
-    dictionary, and ``reduction``, the share saved, must be ``least`` or more. ``differences``
-    has what differs.
+    holds a piece, the words around it, as many as the template may span, are a candidate
+    block of that template (no other template could be confirmed there). Each block is
+    compressed without and with the template as raw dictionary, and the bytes saved rank
+    the templates. In that order blocks are confirmed word by word: at most the share
+    ``tolerated`` of the words may differ, and none of those that decide the license
+    (numbers, ``nc``, ``lesser`` and the like). ``reduction`` is the share saved of the
+    confirmed stretch alone, which must be ``least`` or more; ``differences`` has what differs.
 
     ``SPDX-License-Identifier:`` with any expression has a row of its own: ``license`` is the
     expression as written, ``template`` 0, and ``reduction`` that of the tag, whatever it is.
 
     * Stretches begin and end anywhere, within a line or over several; line ends, capitals
       and marks between words (as of comments) cost nothing.
-    * Of stretches that overlap stays the one with most words equal to its template's, then
-      the one with fewer differences, the greater reduction, the license that sorts first.
+    * Of confirmed stretches that overlap stays the one whose template saves most bytes; among
+      those that save nearly as much (``NEAR``) the one with most words equal to its template's,
+      fewer differences, more bytes saved, the license that sorts first.
     * A stretch after "not" or "never", one word between at most, is no notice.
     * Null, empty or blank text: no rows. Very long texts are read whole.
     * Null ``doc_id`` and repeated rows have rows of their own. Other columns play no part.

@@ -156,3 +156,49 @@ def test_denied_notices_are_none(scanner):
     for text in ("It is not licensed under the MIT License.", "It isn't yet released under the MIT License.", "never\n# released under the MIT License"):
         assert found(scanner, text) == []
     assert [g[0] for g in found(scanner, "Ask if you may not. Released under the MIT License.")] == ["MIT"]
+
+
+OVERLAP = {
+    "Short-words": ("permission is granted to all of us to do as we may",),
+    "Long-words": ("we may redistribute unmodified documentation notwithstanding organisational responsibilities",),
+}
+BOTH = "permission is granted to all of us to do as we may redistribute unmodified documentation notwithstanding organisational responsibilities"
+
+
+def test_the_bytes_saved_decide_between_templates(monkeypatch):
+    """Both notices are there word by word and share two words; the other has more words, this one saves more bytes."""
+    scanner = license_scan.Scanner(OVERLAP, 0.2, 0.1)
+    assert [g[0] for g in found(scanner, BOTH)] == ["Long-words"]
+    ranked = scanner.candidates(license_scan.words_of(BOTH))
+    assert [scanner.entries[c[1]][0] for c in ranked] == ["Long-words", "Short-words"] and ranked[0][0] * license_scan.NEAR > ranked[1][0]
+    monkeypatch.setattr(license_scan.Scanner, "saving", lambda self, entry, block: 1)
+    assert [g[0] for g in found(license_scan.Scanner(OVERLAP, 0.2, 0.1), BOTH)] == ["Short-words"]
+
+
+class EveryWindow(license_scan.Scanner):
+    """Brute force: every template with the block around every word, without pieces."""
+
+    def candidates(self, words):
+        out = []
+        for entry, (_, _, template, open_places) in enumerate(self.entries):
+            slack = int(self.tolerated * len(template)) + license_scan.OPEN * len(open_places)
+            for p in range(len(words)):
+                first = max(0, p - slack)
+                block = tuple(words[first : p + len(template) + slack])
+                out.append((self.saving(entry, block), entry, first, block))
+        return sorted(out, key=lambda c: (-c[0], self.entries[c[1]][:2], c[2]))
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "We took it. Licensed under the MIT License. The rest is licensed under the GNU General Public License, version 3.",
+        "This text is licensed under the GNU General Public License, version 3, all of it, and the map is under CC BY 4.0, Licensed under CC BY 4.0.",
+        "Nothing is granted here but the permission to read the copyright notice in the public library of the town.",
+        "Not licensed under the MIT License, never released under CC BY 4.0. All rights reserved. Released under the MIT License",
+        "",
+    ],
+)
+def test_pieces_lose_no_template(text):
+    few = {name: tuple(t for t in TEMPLATES[name] if len(t) < 90) for name in ("MIT", "GPL-3.0", "CC-BY-4.0", "All-rights-reserved")}
+    assert found(license_scan.Scanner(few, 0.2, 0.1), text) == found(EveryWindow(few, 0.2, 0.1), text)
