@@ -75,6 +75,52 @@ def parse_pointer(content: Column) -> Column:
     return let(F.split(strip(content), "\n"), read)
 
 
+# Fixed value: bytes of a file that a listing reads for its pointer.
+LISTED_BYTES = 2048
+
+
+def listing_at(requests: DataFrame, versions: DataFrame) -> DataFrame:
+    """Entries of asked directories as they were at the time of a ref: one row for each request and entry.
+
+    ``requests``: ``request_id, repo, as_of, dir``, where ``as_of`` is the commit time of the resolved
+    ref (NULL when there is none). ``versions``: ``repo, path, committed_at, commit_id, hash, size,
+    content``, one row for each file that a commit changed, with NULL ``hash`` where it was deleted.
+
+    A file is as its last version at or before ``as_of`` says (of equal times the greater
+    ``commit_id``); a directory is there while a file below it is. Adds ``name, path, type, hash,
+    size, pointer, last_modified_at``; the time counts deletions below a directory too. A directory that
+    is not there, and a request without time, give one row with ``error_type`` not_found; an
+    empty top level gives one without. Equal questions are answered once, and no history is
+    gathered: last versions are partial aggregations, and contents stay out of all shuffles.
+    """
+    asked = requests.select("request_id", "repo", "as_of", strip_path(F.col("dir")).alias("dir"))
+    places = asked.filter("as_of IS NOT NULL").select("repo", "dir", "as_of").distinct()
+    head = F.substring(F.col("content").cast("binary"), 1, LISTED_BYTES).cast("string")
+    above = F.concat(F.array(F.lit("")), ancestors(F.col("path"), include_self=False))
+    below = versions.select("repo", "path", "committed_at", "commit_id", "hash", "size", parse_pointer(head).alias("pointer"), F.explode(above).alias("dir"))
+    state = F.max_by(F.struct("hash", "size", "pointer"), F.struct("committed_at", "commit_id")).alias("file")
+    files = (
+        below.join(places, ["repo", "dir"])
+        .filter("path <> '' AND committed_at <= as_of")
+        .groupBy("repo", "dir", "as_of", "path")
+        .agg(state, F.max("committed_at").alias("touched_at"))
+    )
+    rest = F.when(F.col("dir") == "", F.col("path")).otherwise(F.expr("substring(path, length(dir) + 2)"))
+    placed = files.withColumn("rest", rest).withColumn("name", F.substring_index("rest", "/", 1))
+    there, own = F.col("file.hash").isNotNull(), F.col("rest") == F.col("name")
+    children = placed.groupBy("repo", "dir", "as_of", "name").agg(
+        F.max("touched_at").alias("last_modified_at"), F.max(F.when(there & own, F.col("file"))).alias("blob"), F.bool_or(there & ~own).alias("tree")
+    )
+    blob = F.when(F.col("blob").isNotNull(), F.struct(F.lit("blob").alias("type"), "blob.*"))
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in children.schema["blob"].dataType.fields]
+    tree = F.when(F.col("tree"), F.struct(F.lit("tree").alias("type"), *empty))
+    path = F.when(F.col("dir") == "", F.col("name")).otherwise(F.concat("dir", F.lit("/"), "name"))
+    entries = children.select("repo", "dir", "as_of", "name", path.alias("path"), "last_modified_at", F.explode(F.array_compact(F.array(blob, tree))).alias("entry"))
+    listed = entries.select("repo", "dir", "as_of", "name", "path", "entry.*", "last_modified_at")
+    absent = F.col("name").isNull() & (F.col("as_of").isNull() | (F.col("dir") != ""))
+    return asked.join(listed, ["repo", "dir", "as_of"], "left").withColumn("error_type", F.when(absent, "not_found")).drop("as_of")
+
+
 # ---------------------------------------------------------------- refs
 
 _HEADS, _ORIGIN, _TAGS = "refs/heads/", "refs/remotes/origin/", "refs/tags/"

@@ -43,6 +43,51 @@ def t_list_modified(t):
     return tr.with_last_modified(tr.list_tree(t["tree"]), t["commits"]).select("repo", "path", "last_modified_at")
 
 
+# Every event changes its page's file, deletes it or writes a pointer; a ref stands at the last change of its own page.
+view(
+    "file_versions",
+    """
+SELECT repo, path, committed_at, event_id AS commit_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_id END AS hash, event_id % 1000 AS size,
+  CASE WHEN event_id % 3 = 0 THEN concat('version https://git-lfs.github.com/spec/v1', chr(10), 'oid sha256:', lpad(CAST(event_id AS STRING), 64, 'A'), chr(10), 'size ', CAST(event_id AS STRING), chr(10))
+       ELSE 'plain text' END AS content
+FROM commits WHERE path <> ''
+""",
+)
+view("ref_times", "SELECT user_id AS hash, max(ts) AS as_of FROM events GROUP BY user_id")
+view(
+    "listing_requests",
+    """
+SELECT r.hash AS request_id, r.repo, t.as_of, CASE r.hash % 5 WHEN 0 THEN '' WHEN 1 THEN ' /en/ ' WHEN 2 THEN 'missing' WHEN 3 THEN 'fr' ELSE '/en' END AS dir
+FROM refs r LEFT JOIN ref_times t ON t.hash = r.hash
+""",
+)
+
+
+@query(
+    "t_listing",
+    """
+WITH q AS (SELECT request_id, repo, as_of, trim(trim(dir), '/') AS dir FROM listing_requests), p AS (SELECT DISTINCT repo, dir, as_of FROM q WHERE as_of IS NOT NULL),
+v AS (SELECT p.repo, p.dir, p.as_of, v.path, v.hash, v.size, v.committed_at, CASE WHEN p.dir = '' THEN v.path ELSE substr(v.path, length(p.dir) + 2) END AS rest,
+  row_number() OVER (PARTITION BY p.repo, p.dir, p.as_of, v.path ORDER BY v.committed_at DESC, v.commit_id DESC) AS rn
+  FROM p JOIN file_versions v ON v.repo = p.repo AND v.committed_at <= p.as_of AND (p.dir = '' OR starts_with(v.path, p.dir || '/'))),
+f AS (SELECT *, split_part(rest, '/', 1) AS name FROM v WHERE rn = 1),
+times AS (SELECT repo, dir, as_of, name, max(committed_at) AS last_modified_at FROM f GROUP BY ALL),
+e AS (SELECT repo, dir, as_of, name, 'blob' AS type, hash, size FROM f WHERE hash IS NOT NULL AND rest = name
+  UNION ALL SELECT DISTINCT repo, dir, as_of, name, 'tree', NULL, NULL FROM f WHERE hash IS NOT NULL AND rest <> name)
+SELECT q.request_id, q.repo, q.dir, e.name, CASE WHEN q.dir = '' THEN e.name ELSE q.dir || '/' || e.name END AS path, e.type, e.hash, e.size,
+  CASE WHEN e.hash % 3 = 0 THEN lower(lpad(CAST(e.hash AS VARCHAR), 64, 'a')) END AS pointer_oid, CASE WHEN e.hash % 3 = 0 THEN e.hash END AS pointer_size, t.last_modified_at,
+  CASE WHEN e.name IS NULL AND (q.as_of IS NULL OR q.dir <> '') THEN 'not_found' END AS error_type
+FROM q LEFT JOIN e ON e.repo = q.repo AND e.dir = q.dir AND e.as_of = q.as_of LEFT JOIN times t ON t.repo = e.repo AND t.dir = e.dir AND t.as_of = e.as_of AND t.name = e.name
+""",
+)
+def t_listing(t):
+    found = tr.ordered_listing(tr.listing_at(t["listing_requests"], t["file_versions"]))
+    return found.select(
+        "request_id", "repo", "dir", "name", "path", "type", "hash", "size", F.col("pointer.oid").alias("pointer_oid"), F.col("pointer.size").alias("pointer_size"),
+        "last_modified_at", "error_type",
+    )
+
+
 @query(
     "t_pointer",
     """

@@ -333,3 +333,53 @@ def test_stored_cuts_lineage(spark):
     kept = tables.stored(spark.range(5).withColumn("x", F.col("id") * 2))
     assert rows(kept) == [(i, 2 * i) for i in range(5)]
     assert "FileScan parquet" in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def _at(day, hour=0):
+    return datetime(2024, 1, day, hour)
+
+
+def test_listing_as_of_a_ref(spark):
+    pointer = f"version {tr.POINTER_VERSION}\noid sha256:{'A' * 64}\nsize 12\n"
+    versions = spark.createDataFrame(
+        [
+            ("r", "a.txt", _at(1), 1, "h1", 5, "text"),
+            ("r", "d/x/one", _at(2), 2, "h2", 6, pointer),
+            ("r", "d/two", _at(2), 2, "h3", 7, "tex" + "\u00e9" * 3000),
+            ("r", "a.txt", _at(3), 3, "h4", 8, pointer),
+            ("r", "a.txt", _at(3), 4, "h5", 9, None),
+            ("r", "d/two", _at(4), 5, None, None, None),
+            ("r", "d/x/one", _at(5), 6, None, None, None),
+            ("r", "d", _at(6), 7, "h7", 1, "now a file"),
+            ("q", "d/y", _at(1), 8, "h8", 1, ""),
+        ],
+        "repo string, path string, committed_at timestamp_ntz, commit_id long, hash string, size long, content string",
+    )
+    asks = [(1, "r", _at(1), ""), (2, "r", _at(2), "/ "), (3, "r", _at(3), ""), (4, "r", _at(4), " /d/ "), (5, "r", _at(5), "d"), (6, "r", _at(6), ""), (7, "r", _at(6), "d")]
+    asks += [(8, "r", _at(1) - (_at(2) - _at(1)), ""), (9, "r", None, ""), (10, "none", _at(6), "d"), (11, "r", _at(4), "d"), (12, "r", _at(2), "d/x")]
+    got = {}
+    found = tr.listing_at(spark.createDataFrame(asks, "request_id long, repo string, as_of timestamp_ntz, dir string"), versions)
+    for r in found.collect():
+        entry = None if r["name"] is None else (r["path"], r["type"], r["hash"], r["size"], r["pointer"] and r["pointer"]["size"], r["last_modified_at"].day)
+        got.setdefault(r["request_id"], set()).add(entry or r["error_type"])
+    assert got == {
+        1: {("a.txt", "blob", "h1", 5, None, 1)},
+        2: {("a.txt", "blob", "h1", 5, None, 1), ("d", "tree", None, None, None, 2)},
+        3: {("a.txt", "blob", "h5", 9, None, 3), ("d", "tree", None, None, None, 2)},
+        4: {("d/x", "tree", None, None, None, 2)},
+        5: {"not_found"},
+        6: {("a.txt", "blob", "h5", 9, None, 3), ("d", "blob", "h7", 1, None, 6)},
+        7: {"not_found"},
+        8: {None},
+        9: {"not_found"},
+        10: {"not_found"},
+        11: {("d/x", "tree", None, None, None, 2)},
+        12: {("d/x/one", "blob", "h2", 6, 12, 2)},
+    }
+
+
+def test_listing_at_gathers_no_history(inputs):
+    """Last versions are reduced before the shuffle, and file contents are in none."""
+    plan = tr.listing_at(inputs["listing_requests"], inputs["file_versions"])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "partial_max_by" in plan
+    assert not any("content" in line for line in plan.split("\n") if "Exchange" in line)
