@@ -56,7 +56,7 @@ CRC_SQL = crc_sql("coalesce(text, '')")
     "op3_shards",
     f"""
 WITH d AS (SELECT doc_id, source, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size, {CRC_SQL} AS text_crc32,
-                  md5(concat('{sharding.SEED}:', coalesce(CAST(doc_id AS VARCHAR), ''))) AS key FROM documents),
+                  md5(concat('{sharding.SEED}:', coalesce(CAST(doc_id AS VARCHAR), ''), ':', {CRC_SQL})) AS key FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY key, text_crc32, size) AS rank, count(*) OVER (PARTITION BY source) AS n FROM d),
 p AS (SELECT *, row_number() OVER (ORDER BY CAST(rank * 2 - 1 AS DOUBLE) / CAST(n * 2 AS DOUBLE), key, source NULLS FIRST, text_crc32, size) - 1 AS position,
              count(*) OVER () AS total FROM r)

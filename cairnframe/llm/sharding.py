@@ -15,8 +15,8 @@ SEED = "shards-1"
 def shard(docs: DataFrame, shards: int = 24, seed: str = SEED, bucket_rows: int = 1000, max_buckets: int = 100_000) -> DataFrame:
     """``doc_id, source, size, text_crc32, shard, slot``: every row in one of ``shards`` shards that hold the sources alike.
 
-    Rows of a source are ranked in a seeded shuffled order (MD5 of seed and
-    ``doc_id``); the fractional rank (2 * rank + 1) / (2 * rows of the source)
+    Rows of a source are ranked in a seeded shuffled order (MD5 of seed,
+    ``doc_id`` and the text's CRC-32); the fractional rank (2 * rank + 1) / (2 * rows of the source)
     sorts all rows, and the sorted rows are cut into equal runs. Row counts of two
     shards differ by one at most, and so, but for rounding, do those of a source.
 
@@ -25,7 +25,7 @@ def shard(docs: DataFrame, shards: int = 24, seed: str = SEED, bucket_rows: int
     the text is read once, for its size and CRC-32.
 
     * Null text: size 8, CRC-32 0. Empty text alike. Null source: a source of its own.
-    * Null ``doc_id``: shuffled like an id of its own. Repeated rows each take a slot.
+    * Null ``doc_id``: shuffled by the text. Repeated rows each take a slot.
     * Ties in the fractional rank go to the smaller shuffle key, then the source by
       code point (null first), CRC-32 and size. Other columns play no part.
     * No rows: no rows. Fewer rows than shards: some shards stay empty.
@@ -37,7 +37,8 @@ def shard(docs: DataFrame, shards: int = 24, seed: str = SEED, bucket_rows: int
             F.col("source").cast("string").alias("source"),
             (F.octet_length(text) + F.lit(8)).cast("long").alias("size"),
             crc32_of(text).alias("text_crc32"),
-            F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"),
+            # The text's checksum spreads rows without an id, or with one id, over the buckets.
+            F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), crc32_of(text).cast("string"))).alias("key"),
         )
     )
     rows = narrow.count()

@@ -148,3 +148,12 @@ def _sum(got):
     for r in got:
         out[r["doc_id"]] += r["copies"]
     return out
+
+
+def test_rows_without_ids_fall_into_many_buckets(spark):
+    """Half of the rows have no id; the shuffle order spreads them by their texts, whatever the buckets."""
+    docs = spark.createDataFrame([(i if i % 2 else None, f"text {i}", "a") for i in range(400)], "doc_id long, text string, source string")
+    one = sorted(map(tuple, sharding.shard(docs, 4, bucket_rows=10).drop("doc_id").collect()))
+    assert one == sorted(map(tuple, sharding.shard(docs.repartition(3), 4, bucket_rows=1000).drop("doc_id").collect()))
+    nulls = [r["slot"] for r in sharding.shard(docs, 1, bucket_rows=10).filter("doc_id IS NULL").collect()]
+    assert len(nulls) == 200 and min(nulls) < 20 and max(nulls) > 380
