@@ -81,7 +81,7 @@ FROM q LEFT JOIN e ON e.repo = q.repo AND e.dir = q.dir AND e.as_of = q.as_of LE
 """,
 )
 def t_listing(t):
-    found = tr.ordered_listing(tr.listing_at(t["listing_requests"], t["file_versions"]))
+    found = tr.listing_at(t["listing_requests"], t["file_versions"], ordered=True)
     return found.select(
         "request_id", "repo", "dir", "name", "path", "type", "hash", "size", F.col("pointer.oid").alias("pointer_oid"), F.col("pointer.size").alias("pointer_size"),
         "last_modified_at", "error_type",

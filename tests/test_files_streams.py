@@ -383,3 +383,33 @@ def test_listing_at_gathers_no_history(inputs):
     plan = tr.listing_at(inputs["listing_requests"], inputs["file_versions"])._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "partial_max_by" in plan
     assert not any("content" in line for line in plan.split("\n") if "Exchange" in line)
+
+
+def test_listing_at_many_times_shuffles_no_answer(spark):
+    """Every file for every request, in blocks of requests: rows equal a plain search, and no step shuffles or gathers them."""
+    changes = [("r", f"d{i % 3}/f{i % 7}" if i % 4 else f"F{i % 5}", (i * 37) % 211, i, None if i % 6 == 0 else i) for i in range(300)]
+    asks = [(i, "r" if i % 50 else "none", None if i % 90 == 7 else (i * 53) % 230 - 5, ["", "d1", "d2/", "gone", "d0/f0"][i % 5]) for i in range(600)]
+    versions = spark.createDataFrame([(*c, 1, "") for c in changes], "repo string, path string, committed_at long, commit_id long, hash long, size long, content string")
+    requests = spark.createDataFrame(asks, "request_id long, repo string, as_of long, dir string")
+    expected = []
+    for request, repo, as_of, asked in asks:
+        directory, last, found = asked.strip("/"), {}, {}
+        for r, path, at, commit, value in changes if as_of is not None else []:
+            if r == repo and at <= as_of and (not directory or path.startswith(f"{directory}/")):
+                last[path] = max(last.get(path, (-1, -1, None)), (at, commit, value))
+        for path, (_, _, value) in last.items():
+            name, _, more = path[len(directory) + 1 if directory else 0 :].partition("/")
+            at = max(v[0] for p, v in last.items() if f"{p}/".startswith(f"{directory}/{name}/".lstrip("/")))
+            if value is not None:
+                found[name, "tree" if more else "blob"] = (request, name, "tree" if more else "blob", None if more else value, at, None)
+        wrong = None if as_of is not None and not directory else "not_found"
+        expected += list(found.values()) or [(request, None, None, None, None, wrong)]
+    columns = ("request_id", "name", "type", "hash", "last_modified_at", "error_type")
+    for broadcast_bytes in (tr.BROADCAST_BYTES, 0):
+        listed = tr.listing_at(requests, versions, ordered=True, broadcast_bytes=broadcast_bytes)
+        assert rows(listed, *columns) == sorted(expected, key=repr)
+        kept = [(r["repo"], r["dir"], ["tree", "blob", None].index(r["type"]), (r["name"] or "").lower(), r["name"] or "") for r in listed.collect()]
+        assert kept == sorted(kept)
+        if broadcast_bytes:
+            plan = listed._jdf.queryExecution().sparkPlan().toString()
+            assert not any(step in plan.split("Join")[0] for step in ("Sort", "Exchange", "Aggregate"))
