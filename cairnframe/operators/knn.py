@@ -23,21 +23,23 @@ from ..functions.text import let
 from ..functions.vectors import HIGHER_IS_BETTER, best_first, check_metric, norm, passes_threshold, score_literal
 from ..sources.tables import stored
 
-# A query table (and a table of excluded pairs) up to this size is sent to every task;
-# a larger one is shuffled in blocks.
-BROADCAST_BYTES = 64 << 20
-PAIR_BYTES = 256
-# What an id takes besides its vector.
+# A query table (and a table of excluded pairs) up to this size, with what is kept for it, is sent
+# to every task at once; a larger one goes in passes of this size.
+BROADCAST_BYTES = 32 << 20
+BLOCK_BYTES = 32 << 20
+PAIR_BYTES = 64
+# What an id takes besides its vector, and a kept neighbour.
 ID_BYTES = 64
-# Points of one shuffled block, and queries of one shuffled block, in bytes of DOUBLE vectors.
-BLOCK_BYTES = 64 << 20
-# A table of block counts up to this many cells (12 bytes each) is broadcast.
-MAX_BROADCAST_CELLS = 1_000_000
+KEPT_BYTES = 64
 # Bounds on one scoring step inside a task.
-SCORE_CELLS = 2_000_000
-RESCORE_CELLS = 8_000_000
+SCORE_CELLS = 1_000_000
+RESCORE_CELLS = 1_000_000
 # Rows of one batch that a task gives back.
 OUT_ROWS = 100_000
+# Points that meet the queries at once, at most (fewer where queries have very many conditions).
+BATCH_ROWS = 8_192
+# Scoring one pair by itself takes as long as this many pairs of a matrix product.
+PAIR_COST = 32
 
 SEGMENT = 16  # dimensions averaged per row when vectors are combined
 
@@ -87,8 +89,13 @@ def _matrix(vectors) -> np.ndarray:
 
 
 def _ids(column) -> np.ndarray:
-    values = column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
-    return values.astype(str) if values.dtype == object else values
+    """Ids as numbers, or as UTF-8 bytes, which sort like the texts and take a quarter of the room."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        column = column.cast(pa.large_binary())
+    values = column.to_numpy(zero_copy_only=False)
+    return values.astype("S") if values.dtype == object else values
 
 
 def _pair_scores(q: np.ndarray, p: np.ndarray, metric: str) -> np.ndarray:
@@ -104,6 +111,18 @@ def _pair_scores(q: np.ndarray, p: np.ndarray, metric: str) -> np.ndarray:
     return np.divide(dot, norms, out=np.zeros_like(dot), where=norms > 0)
 
 
+def _side(vectors: np.ndarray, metric: str, are_queries: bool) -> tuple[np.ndarray, float]:
+    """Vectors of one side whose product with the other side's approximates the signed score (for Euclid its square), and their greatest norm."""
+    norms = np.sqrt((vectors * vectors).sum(axis=1))
+    most = norms.max(initial=0.0)
+    if metric == "Cosine":
+        return np.divide(vectors, norms[:, None], out=np.zeros_like(vectors), where=norms[:, None] > 0), most
+    if metric == "Euclid":
+        one, square = np.ones(len(vectors)), norms**2
+        return np.column_stack([2 * vectors, -square, -one] if are_queries else [vectors, one, square]), most
+    return vectors, most
+
+
 class _TopK:
     """Best ``k`` points per query over the point batches of one task.
 
@@ -114,36 +133,34 @@ class _TopK:
 
     slack = 1e-11
 
-    def __init__(self, queries: np.ndarray, k: int | np.ndarray, metric: str, excluded: dict | None = None):
+    def __init__(self, queries: np.ndarray, k: np.ndarray, metric: str):
         self.q, self.metric = queries, metric
-        self.k = np.maximum(np.broadcast_to(np.asarray(k, dtype=np.int64), len(queries)), 1)
+        self.k = np.maximum(k, 1)
         self.sign = 1.0 if HIGHER_IS_BETTER[metric] else -1.0
-        self.excluded = excluded or {}
         self.rows = self.scores = self.ids = None
         self.floor = np.full(len(queries), -np.inf)  # signed k-th best so far
-        self.q_norm = np.sqrt((queries * queries).sum(axis=1))
-
-    def add(self, ids: np.ndarray, p: np.ndarray, allowed=None) -> None:
-        """Take in a batch of points for all queries; ``allowed(query rows)`` says which pairs count."""
-        if len(ids) and len(self.q):
-            self.merge([self.find(ids, p, np.arange(len(self.q)), allowed)])
-
-    def find(self, ids: np.ndarray, p: np.ndarray, among: np.ndarray, allowed=None):
-        """(query rows, ids, scores) of the points that may be among the best of the listed (sorted) query rows."""
-        pairs = [(row, col) for col, i in enumerate(ids.tolist()) for row in self.excluded.get(i, ())] if self.excluded else []
-        hidden = np.array(pairs, dtype=np.int64).reshape(-1, 2)
-        step = max(1, SCORE_CELLS // len(ids))
-        found = [self._shortlist(among[lo : lo + step], p, hidden, allowed) for lo in range(0, len(among), step)]
-        rows, cols, scores = (np.concatenate(part) for part in zip(*found))
-        return rows, ids[cols], scores
-
-    def merge(self, found: list) -> None:
+
+    def add(self, ids: np.ndarray, p: np.ndarray, side, hidden: tuple[np.ndarray, np.ndarray], allowed=None) -> None:
+        """Take in a batch of points (``side``: as :func:`_side` has them) for all queries, without the ``hidden`` (rows, columns) and with only those that ``allowed`` says."""
+        rows, cols = self._shortlist(p, hidden, allowed, side)
+        self.add_pairs(ids, p, rows, cols)
+
+    def add_pairs(self, ids: np.ndarray, p: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> None:
+        """Take in the listed pairs of query rows and points."""
+        scores = np.empty(len(rows))
+        step = max(1, RESCORE_CELLS // max(1, p.shape[1]))
+        for at in range(0, len(rows), step):
+            part = slice(at, at + step)
+            scores[part] = _pair_scores(self.q[rows[part]], p[cols[part]], self.metric)
+        # No score is above the floor by chance: what is below it cannot be among the best.
+        near = np.isfinite(scores) & (self.sign * scores >= self.floor[rows])
+        if near.any():
+            self._merge(rows[near], ids[cols[near]], scores[near])
+
+    def _merge(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         """Keep the best ``k`` per query of what was kept before and what was found."""
         if self.ids is not None:
-            found = [(self.rows, self.ids, self.scores), *found]
-        if not found:
-            return
-        rows, ids, scores = (np.concatenate(part) for part in zip(*found))
+            rows, ids, scores = (np.concatenate(part) for part in ((self.rows, rows), (self.ids, ids), (self.scores, scores)))
         order = np.lexsort((ids, -self.sign * scores, rows))
         rows, ids, scores = rows[order], ids[order], scores[order]
         fresh = np.r_[True, (rows[1:] != rows[:-1]) | (ids[1:] != ids[:-1])][: len(rows)]
@@ -155,45 +172,34 @@ class _TopK:
         keep = place < self.k[rows]
         self.rows, self.ids, self.scores = rows[keep], ids[keep], scores[keep]
 
-    def _shortlist(self, among: np.ndarray, p: np.ndarray, hidden: np.ndarray, allowed=None):
-        q, floor, q_norm = self.q[among], self.floor[among], self.q_norm[among]
-        p_norm = np.sqrt((p * p).sum(axis=1))
+    def _shortlist(self, p: np.ndarray, hidden: tuple[np.ndarray, np.ndarray], allowed, side) -> tuple[np.ndarray, np.ndarray]:
+        floor = self.floor.copy()
         if self.metric == "Manhattan":
-            approx = -np.stack([np.abs(p - row).sum(axis=1) for row in q])
+            approx = -np.stack([np.abs(p - row).sum(axis=1) for row in self.q])
             margin = self.slack * (1 + np.abs(approx).max())
         else:
-            approx = q @ p.T
-            if self.metric == "Cosine":
-                norms = np.outer(q_norm, p_norm)
-                approx = np.divide(approx, norms, out=np.zeros_like(approx), where=norms > 0)
-                margin = self.slack
-            elif self.metric == "Dot":
-                margin = self.slack * (1 + q_norm.max() * p_norm.max())
-            else:
-                squares = (q_norm**2)[:, None] + (p_norm**2)[None, :]
-                approx = 2 * approx - squares  # minus the squared distance
-                margin = self.slack * (1 + squares.max())
+            (q, q_most), (points, p_most) = _side(self.q, self.metric, True), side
+            approx = q @ points.T
+            margin = self.slack * (1 if self.metric == "Cosine" else 1 + q_most * p_most if self.metric == "Dot" else 1 + q_most**2 + p_most**2)
+            if self.metric == "Euclid":  # minus the squared distance
                 floor = np.where(np.isfinite(floor), -(floor**2), floor)
-        if len(hidden):
-            place = np.minimum(np.searchsorted(among, hidden[:, 0]), len(among) - 1)
-            inside = among[place] == hidden[:, 0]
-            approx[place[inside], hidden[inside, 1]] = -np.inf
-        if allowed is not None:
-            approx = np.where(allowed(among), approx, -np.inf)
-        # Queries of similar limits together, so that one long page does not lengthen the others.
-        wanted = self.k[among]
-        for size in np.unique(np.ceil(np.log2(wanted))):
-            alike = np.flatnonzero(np.ceil(np.log2(wanted)) == size)
-            place = approx.shape[1] - int(wanted[alike].max())
+        approx[hidden] = -np.inf
+        # Queries that have no k-th best yet take it from this batch, those of similar limits together, so that one
+        # long page does not lengthen the others.
+        fresh = np.flatnonzero(np.isneginf(floor))
+        if allowed is not None and len(fresh):
+            approx[fresh] = np.where(allowed.all(fresh), approx[fresh], -np.inf)
+        sizes = np.ceil(np.log2(self.k[fresh]))
+        for size in np.unique(sizes):
+            alike = fresh[sizes == size]
+            place = approx.shape[1] - int(self.k[alike].max())
             if place > 0:
-                floor[alike] = np.maximum(floor[alike], np.partition(approx[alike], place, axis=1)[:, place])
-        rows, cols = np.nonzero((approx >= (floor - margin)[:, None]) & np.isfinite(approx))
-        scores = np.empty(len(rows))
-        step = max(1, RESCORE_CELLS // p.shape[1])
-        for at in range(0, len(rows), step):
-            part = slice(at, at + step)
-            scores[part] = _pair_scores(q[rows[part]], p[cols[part]], self.metric)
-        return among[rows], cols, scores
+                floor[alike] = np.partition(approx[alike], place, axis=1)[:, place]
+        rows, cols = np.divmod(np.flatnonzero(approx >= (floor - margin)[:, None]), approx.shape[1])
+        keep = np.isfinite(approx[rows, cols])
+        if allowed is not None:
+            keep &= allowed.pairs(rows, cols)
+        return rows[keep], cols[keep]
 
 
 class _Filters:
@@ -217,8 +223,8 @@ class _Filters:
     def points_at_once(self) -> int:
         return max(1, SCORE_CELLS * 8 // (len(self.names) + 1))
 
-    def allowed(self, tokens: pa.Array):
-        """For a batch of points with their ``tokens``: a function from query rows to the pairs that count."""
+    def met(self, tokens: pa.Array) -> np.ndarray:
+        """Which conditions (rows) are met by which of the points with these ``tokens``."""
         import pyarrow.compute as pc
 
         met = np.zeros((len(self.names) + 1, len(tokens)), bool)
@@ -226,14 +232,47 @@ class _Filters:
         owner = np.repeat(np.arange(len(tokens)), tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
         found = pc.index_in(tokens.flatten(), self.names).fill_null(-1).to_numpy(zero_copy_only=False)
         met[found[found >= 0], owner[found >= 0]] = True
+        return met
 
-        def pairs(rows: np.ndarray) -> np.ndarray:
-            every = np.ones((len(rows), len(tokens)), bool)
-            for column in range(self.of.shape[1]):
-                every &= met[self.of[rows, column]]
-            return every
 
-        return pairs
+@dataclass(frozen=True)
+class _Meeting:
+    """The pairs of queries and points in which the point meets the query's conditions ``of``."""
+
+    of: np.ndarray
+    met: np.ndarray
+
+    def all(self, rows: np.ndarray) -> np.ndarray:
+        every = np.ones((len(rows), self.met.shape[1]), bool)
+        for column in range(self.of.shape[1]):
+            every &= self.met[self.of[rows, column]]
+        return every
+
+    def pairs(self, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        every = np.ones(len(rows), bool)
+        for column in range(self.of.shape[1]):
+            every &= self.met[self.of[rows, column], cols]
+        return every
+
+
+@dataclass(frozen=True)
+class _SameCell:
+    """The pairs of queries and points that share a cell in one of the bands."""
+
+    q: np.ndarray
+    p: np.ndarray
+
+    def all(self, rows: np.ndarray) -> np.ndarray:
+        some = np.zeros((len(rows), len(self.p)), bool)
+        for band in range(self.q.shape[1]):
+            some |= self.q[rows, band][:, None] == self.p[:, band][None, :]
+        return some
+
+    def pairs(self, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        some = np.zeros(len(rows), bool)
+        for band in range(self.q.shape[1]):
+            some |= self.q[rows, band] == self.p[cols, band]
+        return some
 
 
 def _result_type(points: DataFrame, queries: DataFrame) -> T.StructType:
@@ -260,13 +299,33 @@ def _as_batches(top: _TopK, query_ids: pa.Array, schema: pa.Schema):
         yield pa.record_batch([picked, pa.array(top.ids[part].tolist(), type=schema.field(1).type), pa.array(top.scores[part])], schema=schema)
 
 
-def _excluded_rows(pairs, query_ids) -> dict:
-    row_of = {q: i for i, q in enumerate(query_ids)}
-    hidden: dict = {}
-    for query_id, point_id in pairs:
-        if query_id in row_of:
-            hidden.setdefault(point_id, []).append(row_of[query_id])
-    return {point_id: np.unique(rows) for point_id, rows in hidden.items()}
+def _excluded_pairs(pairs: pa.Table, query_ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids, sorted, and query rows of the excluded pairs."""
+    import pyarrow.compute as pc
+
+    rows = pc.index_in(pairs["query_id"], query_ids)
+    known = pairs.filter(pc.and_(rows.is_valid(), pairs["id"].is_valid()))
+    ids, rows = _ids(known["id"]), rows.filter(pc.and_(rows.is_valid(), pairs["id"].is_valid())).to_numpy()
+    order = np.argsort(ids, kind="stable")
+    return ids[order], rows[order]
+
+
+def _hidden(excluded: tuple[np.ndarray, np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(Query rows, sorted, and columns) of the excluded pairs in a batch of points."""
+    if not len(excluded[0]):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    low, high = (np.searchsorted(excluded[0], ids, side) for side in ("left", "right"))
+    cols, at = _runs(low, high)
+    rows = excluded[1][at]
+    order = np.argsort(rows, kind="stable")
+    return rows[order], cols[order]
+
+
+def _runs(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(Number, place) for each place of the numbered ranges from ``low`` to ``high``."""
+    counts = high - low
+    ends = np.cumsum(counts)
+    return np.repeat(np.arange(len(low)), counts), np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - ends + counts, counts)
 
 
 # ---------------------------------------------------------------- many queries
@@ -292,9 +351,9 @@ def knn_join(
     not given; a point or query of another length raises.
 
     Points are never shuffled. The number of queries (and exclusions) decides how
-    often they are read: up to ``broadcast_bytes`` the query table goes to every
-    task at once, beyond that in passes of at most ``block_bytes``, whose results are
-    written to the shared folder.
+    often they are read: up to ``broadcast_bytes``, with what is kept for each query, the query
+    table goes to every task at once, beyond that in passes of at most ``block_bytes``, whose results
+    are written to the shared folder. So a task's memory is bounded, however many queries there are.
     """
     partial = _top_partial(points, queries, offset + k, metric, exclude, broadcast_bytes, block_bytes, dim)
     if threshold is not None:
@@ -302,24 +361,26 @@ def knn_join(
     return rank_per_query(partial, offset + k, metric).filter(F.col("rank") > offset)
 
 
-def _top_partial(points, queries, k: int | None, metric, exclude, broadcast_bytes, block_bytes, dim) -> DataFrame:
-    """The best ``k`` per query (or as many as its column ``k`` says) of every task."""
+def _top_partial(points, queries, k: int | None, metric, exclude, broadcast_bytes, block_bytes, dim, family=None) -> DataFrame:
+    """The best ``k`` per query (or as many as its column ``k`` says) of every task; ``family(points, dim)`` limits the pairs to equal cells."""
     check_metric(metric)
     points, queries, dim = _same_length(points, queries, dim)
+    family = None if family is None else family(points, dim)
     queries = queries.withColumn("k", F.lit(k).cast("long") if k is not None else F.col("k").cast("long"))
     pairs = None if exclude is None else exclude.select("query_id", "id").distinct()
-    row = 8 * max(dim, 1) + ID_BYTES
-    n_queries, n_pairs = queries.count(), 0 if pairs is None else pairs.count()
-    if n_queries * row <= broadcast_bytes and n_pairs * PAIR_BYTES <= broadcast_bytes:
-        return _broadcast_top(points, queries, queries.toArrow(), None if pairs is None else pairs.toArrow(), metric)
-    passes = max(1, -(-n_queries * row // block_bytes), -(-n_pairs * PAIR_BYTES // max(broadcast_bytes, block_bytes)))
+    row = 8 * max(dim, 1) + ID_BYTES + (8 * family.bands if family else 0)
+    n_queries, n_kept = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.greatest("k", F.lit(1))), F.lit(0))).first()
+    n_bytes, n_pairs = n_queries * row + n_kept * KEPT_BYTES, 0 if pairs is None else pairs.count()
+    if n_bytes <= broadcast_bytes and n_pairs * PAIR_BYTES <= broadcast_bytes:
+        return _broadcast_top(points, queries, queries.toArrow(), None if pairs is None else pairs.toArrow(), metric, family)
+    passes = max(1, -(-n_bytes // block_bytes), -(-n_pairs * PAIR_BYTES // max(broadcast_bytes, block_bytes)))
     at = F.pmod(F.xxhash64("query_id"), F.lit(passes)).alias("_pass")
     queries = stored(queries.select("*", at))
     pairs = None if pairs is None else stored(pairs.select("*", at))
     found = None
     for n in range(passes):
         asked, hidden = (None if t is None else t.filter(F.col("_pass") == n).drop("_pass").toArrow() for t in (queries, pairs))
-        part = stored(_broadcast_top(points, queries, asked, hidden, metric))
+        part = stored(_broadcast_top(points, queries, asked, hidden, metric, family))
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -378,79 +439,59 @@ def rank_per_query(scored: DataFrame, limit: int | None, metric: str = "Cosine")
     return ranked.withColumn("rank", F.col("rank").cast("bigint"))
 
 
-def _broadcast_top(points, queries, table: pa.Table, pairs: pa.Table | None, metric) -> DataFrame:
-    """The best per query and task, as many as its ``k``, with the query rows in ``table`` sent to every task."""
+def _broadcast_top(points, queries, table: pa.Table, pairs: pa.Table | None, metric, family=None) -> DataFrame:
+    """The best per query and task, as many as its ``k``, with the query rows in ``table`` sent to every task.
+
+    With a ``family``, only pairs that share a cell count. A batch of points meets the queries in steps: where cells
+    are narrow their pairs are listed and scored, where they are wide one product scores all and only the
+    pairs that come near the best are looked up, since listing them would score most pairs more than once.
+    """
     result = _result_type(points, queries)
     schema = _arrow_schema(result)
     query_ids = _one_array(table.column("query_id"))
     matrix = _matrix(table.column("vector")) if len(query_ids) else np.empty((0, 1))
     limits = table.column("k").to_numpy()
-    hidden = {}
-    if pairs is not None:
-        hidden = _excluded_rows(zip(pairs["query_id"].to_pylist(), pairs["id"].to_pylist()), query_ids.to_pylist())
+    excluded = (np.zeros(0), np.zeros(0, np.int64)) if pairs is None else _excluded_pairs(pairs, query_ids)
     filters = _Filters(table.column("must").to_pylist()) if "must" in table.column_names else None
-    shared = points.sparkSession.sparkContext.broadcast((query_ids, matrix, limits, hidden, filters))
+    shared = points.sparkSession.sparkContext.broadcast((query_ids, matrix, limits, excluded, filters, family))
 
     def score(batches):
-        ids_of_queries, q, k, excluded, filters = shared.value
-        top = _TopK(q, k, metric, excluded)
-        for whole in batches:
-            step = whole.num_rows if filters is None else filters.points_at_once
-            for start in range(0, whole.num_rows, max(step, 1)):
-                batch = whole.slice(start, step)
-                top.add(_ids(batch.column(0)), _matrix(batch.column(1)), None if filters is None else filters.allowed(batch.column(2)))
-        yield from _as_batches(top, ids_of_queries, schema)
+        ids_of_queries, q, k, excluded, filters, family = shared.value
+        most = 1 if filters is None else max(1, -(-SCORE_CELLS // filters.points_at_once))
+        step = max(most, SCORE_CELLS // BATCH_ROWS)
+        tops = [_TopK(q[lo : lo + step], k[lo : lo + step], metric) for lo in range(0, len(q), step)]
+        asked = family.cells(q, True) if family and len(q) else None
+        for whole in batches if tops else ():
+            for start in range(0, whole.num_rows, SCORE_CELLS // step):
+                batch = whole.slice(start, SCORE_CELLS // step)
+                ids, p = _ids(batch.column(0)), _matrix(batch.column(1))
+                hidden_rows, hidden_cols = _hidden(excluded, ids)
+                side = None if metric == "Manhattan" else _side(p, metric, False)
+                met = None if filters is None else filters.met(batch.column(2))
+                if family:
+                    held = family.cells(p, False)
+                    order = np.argsort(held, axis=None, kind="stable")
+                    numbers = held.ravel()[order]
+                for lo, top in zip(range(0, len(q), step), tops):
+                    mine = slice(*np.searchsorted(hidden_rows, [lo, lo + step]))
+                    hidden = hidden_rows[mine] - lo, hidden_cols[mine]
+                    allowed = None if filters is None else _Meeting(filters.of[lo : lo + step], met)
+                    if family:
+                        own = asked[lo : lo + step]
+                        low, high = (np.searchsorted(numbers, own.ravel(), side) for side in ("left", "right"))
+                        if (high - low).sum() * PAIR_COST < len(own) * len(ids):
+                            rows, at = _runs(low, high)
+                            both = np.unique(rows // own.shape[1] * len(ids) + order[at] // own.shape[1])
+                            top.add_pairs(ids, p, both // len(ids), both % len(ids))
+                            continue
+                        allowed = _SameCell(own, held)
+                    top.add(ids, p, side, hidden, allowed)
+        for lo, top in zip(range(0, len(q), step), tops):
+            yield from _as_batches(top, ids_of_queries.slice(lo, step), schema)
 
     return points.mapInArrow(score, result)
 
 
-def _blocked_top(points, queries, k, metric, rows_per_block, n_cells) -> DataFrame:
-    """Top ``k`` per query and block, for points and queries that share a ``cell``.
-
-    There are at most ``n_cells`` cells; their row counts fix the number of point
-    blocks and query blocks, so a hot cell simply gets more of both. Points are repeated once per query block
-    and queries once per point block.
-    """
-    result = _result_type(points, queries)
-    schema = _arrow_schema(result)
-    blocks = (
-        points.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / rows_per_block).cast("int").alias("n_p"))
-        .join(
-            queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / rows_per_block).cast("int").alias("n_q")), "cell"
-        )
-    )
-
-    if n_cells <= MAX_BROADCAST_CELLS:
-        blocks = F.broadcast(blocks)
-
-    def block_of(column: str, count: str) -> Column:
-        return F.pmod(F.xxhash64(column), F.col(count)).cast("int")
-
-    def every(count: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-
-    left = points.join(blocks, "cell").select(
-        "cell", block_of("id", "n_p").alias("p_block"), every("n_q").alias("q_block"), "id", "vector"
-    )
-    right = queries.join(blocks, "cell").select(
-        "cell",
-        every("n_p").alias("p_block"),
-        block_of("query_id", "n_q").alias("q_block"),
-        "query_id",
-        "vector",
-    )
-    def score(p: pa.Table, q: pa.Table) -> pa.Table:
-        if not p.num_rows or not q.num_rows:
-            return schema.empty_table()
-        top = _TopK(_matrix(q.column("vector")), k, metric)
-        for batch in p.to_batches(max_chunksize=8192):
-            top.add(_ids(batch.column("id")), _matrix(batch.column("vector")))
-        return pa.Table.from_batches(list(_as_batches(top, _one_array(q.column("query_id")), schema)), schema=schema)
-
-    key = ["cell", "p_block", "q_block"]
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(score, result)
-
-
 def attach_points(ranked: DataFrame, points: DataFrame, with_payload: bool | None = None, with_vector: bool | None = None) -> DataFrame:
     """Add payload and vector of the found points when asked for; nothing is read otherwise."""
     wanted = [c for c, keep in (("payload", with_payload), ("vector", with_vector)) if keep]
@@ -572,28 +613,6 @@ def _family(points: DataFrame, metric: str, dim: int, bands: int, bits: int, wid
     return _Family(metric, planes, shifts, bands, bits, width or 1.0, longest)
 
 
-def _rows_by_cell(cells: np.ndarray) -> dict[int, np.ndarray]:
-    """Cell number → sorted positions of the vectors in it."""
-    order = np.argsort(cells, axis=None, kind="stable")
-    numbers, starts = np.unique(cells.ravel()[order], return_index=True)
-    return {int(n): np.sort(part // cells.shape[1]) for n, part in zip(numbers, np.split(order, starts[1:]))}
-
-
-def _with_cells(df: DataFrame, family: _Family, are_queries: bool) -> DataFrame:
-    """Repeat each row once per band with its ``cell``."""
-    schema = T.StructType([*df.schema.fields, T.StructField("cells", T.ArrayType(T.LongType()))])
-    arrow = _arrow_schema(schema)
-    at = df.columns.index("vector")
-
-    def sign(batches):
-        for batch in batches:
-            if batch.num_rows:
-                cells = family.cells(_matrix(batch.column(at)), are_queries)
-                yield pa.record_batch([*batch.columns, pa.array(list(cells), type=arrow.field("cells").type)], schema=arrow)
-
-    return df.mapInArrow(sign, schema).withColumn("cell", F.explode("cells")).drop("cells")
-
-
 def ann_join(
     points: DataFrame,
     queries: DataFrame,
@@ -616,48 +635,15 @@ def ann_join(
     of the ``bands`` signatures raise recall, more ``bits`` cut the work; ``bits`` has to grow
     with the logarithm of the points. A query may find fewer than ``k``.
 
-    A small query table is broadcast and points are not shuffled: a task scores each
-    cell's points against that cell's queries. Otherwise points and queries meet on
-    equal cells, in blocks of bounded size; a point's vector then travels once for
-    each band. Both plans score the same pairs and return each block's exact best ``k``.
+    Queries go to every task, at once or in passes as in :func:`knn_join`, and points are not shuffled: a task
+    scores the points of a batch against the queries that share a cell with them, and keeps the exact best ``k``.
     """
     check_metric(metric)
-    points, queries, dim = _same_length(points, queries, dim)
-    family = _family(points, metric, dim, bands, bits, width, seed)
-    if queries.count() * (8 * max(dim, 1) + ID_BYTES) <= broadcast_bytes:
-        return rank_per_query(_broadcast_ann(points, queries, queries.toArrow(), family, k, metric), k, metric)
-    partial = _blocked_top(
-        _with_cells(points, family, False),
-        _with_cells(stored(queries), family, True),
-        k,
-        metric,
-        max(1, block_bytes // (8 * max(dim, 1))),
-        n_cells=bands << bits if metric != "Euclid" else MAX_BROADCAST_CELLS + 1,
-    )
-    distinct = partial.groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    return rank_per_query(distinct, k, metric)
 
+    def family(points: DataFrame, dim: int) -> _Family:
+        return _family(points, metric, dim, bands, bits, width, seed)
 
-def _broadcast_ann(points, queries, table: pa.Table, family: _Family, k, metric) -> DataFrame:
-    result = _result_type(points, queries)
-    schema = _arrow_schema(result)
-    query_ids = _one_array(table.column("query_id"))
-    matrix = _matrix(table.column("vector")) if len(query_ids) else np.empty((0, 1))
-    shared = points.sparkSession.sparkContext.broadcast((query_ids, matrix, family))
-
-    def score(batches):
-        ids_of_queries, q, hashes = shared.value
-        top = _TopK(q, k, metric)
-        asked = _rows_by_cell(hashes.cells(q, True)) if len(q) else {}
-        for batch in batches:
-            if not batch.num_rows or not asked:
-                continue
-            ids, p = _ids(batch.column(0)), _matrix(batch.column(1))
-            held = _rows_by_cell(hashes.cells(p, False))
-            top.merge([top.find(ids[rows], p[rows], asked[cell]) for cell, rows in held.items() if cell in asked])
-        yield from _as_batches(top, ids_of_queries, schema)
-
-    return points.mapInArrow(score, result)
+    return rank_per_query(_top_partial(points, queries, k, metric, None, broadcast_bytes, block_bytes, dim, family), k, metric)
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,6 +253,32 @@ def test_both_ann_plans_agree(spark, metric):
     assert small.count() > 0
 
 
+@pytest.mark.parametrize("bits", [2, 12])
+def test_ann_scores_wide_and_narrow_cells_alike(spark, bits):
+    """Every point that shares a cell with a query counts and no other, in passes too, and no vector is shuffled."""
+    vectors = _clustered(np.random.default_rng(13), 20, 15, 8, 0.05)
+    queries = vectors[::7]
+    p, q = make_points(spark, vectors).localCheckpoint(), make_queries(spark, queries)
+    family = nn._family(p, "Cosine", 8, 5, bits, None, 7)
+    near = (family.cells(as_float(queries), True)[:, None, :] == family.cells(as_float(vectors), False)[None, :, :]).any(axis=2)
+    expected = brute(vectors, queries, 6, "Cosine", {(int(a), int(b)) for a, b in np.argwhere(~near)})
+    for options in ({}, {"broadcast_bytes": 0, "block_bytes": 12_000}):
+        got = nn.ann_join(p, q, 6, bits=bits, bands=5, **options)
+        assert rows(got, "query_id", "id", "rank") == expected
+        assert "CoGroup" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_kept_neighbour_takes_few_bytes():
+    """What a task keeps for a neighbour: its query's row, its id and its score."""
+    ids = nn._ids(pa.array([f"00000000-0000-4000-8000-{i:012d}" for i in range(9)] + ["\u00e9"]))
+    assert ids.itemsize + 16 <= nn.KEPT_BYTES
+    assert ids.tolist()[-1].decode() == "\u00e9" and np.argsort(ids).tolist() == list(range(10))
+    top, p = nn._TopK(np.eye(4), np.full(4, 3), "Cosine"), np.eye(4).repeat(3, axis=0)[:10]
+    top.add(ids, p, nn._side(p, "Cosine", False), (np.array([1]), np.array([4])))
+    assert sum(x.nbytes for x in (top.rows, top.ids, top.scores)) <= nn.KEPT_BYTES * 3 * 4
+    assert ids[4] not in top.ids[top.rows == 1] and set(top.ids[top.rows == 0]) == set(ids[:3])
+
+
 # ---------------------------------------------------------------- points
 
 COLOURS = [
