@@ -121,9 +121,10 @@ def pick_images(images: DataFrame) -> DataFrame:
     """One image per project, the first by path: ``project, path, content_type``.
 
     The type comes from the extension, else from the content. Only the short
-    type text is aggregated, not the image.
+    type text is sorted and aggregated, not the image.
     """
     known = F.create_map(*[F.lit(x) for pair in TYPE_OF_EXTENSION.items() for x in pair])
     extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     kind = F.coalesce(F.try_element_at(known, extension), content_type(F.col("content")), F.lit("application/octet-stream"))
-    return images.groupBy("project").agg(F.min("path").alias("path"), F.min_by(kind, "path").alias("content_type"))
+    typed = images.select("project", "path", kind.alias("_kind"))
+    return typed.groupBy("project").agg(F.min("path").alias("path"), F.min_by("_kind", "path").alias("content_type"))

@@ -14,10 +14,10 @@ def _hex(value, digits):
     return F.lpad(F.hex(value), digits, "0")
 
 
-def _images(t):
+def _with_content(part):
     """0, 1: PNG; 2, 3: JPEG; 4: text; 5: empty; 6: PNG with a wrong checksum; 7: too many bytes."""
     kind = F.expr(_KIND)
-    part = t["part"].withColumn("w", F.expr(_WIDTH)).withColumn("h", F.expr(_HEIGHT))
+    part = part.withColumn("w", F.expr(_WIDTH)).withColumn("h", F.expr(_HEIGHT))
     header = F.concat(F.lit("49484452"), _hex("w", 8), _hex("h", 8), F.lit("0802000000"))
     png = F.concat(F.lit("89504E470D0A1A0A0000000D"), header)
     good = F.concat(png, _hex(F.crc32(F.unhex(header)), 8))
@@ -31,7 +31,11 @@ def _images(t):
         .when(kind == 6, F.concat(png, F.lit("00000000")))
         .otherwise(F.concat(good, F.repeat(F.lit("00"), im.MAX_BYTES)))
     )
-    return part.select("p_partkey", F.unhex(text).alias("content"))
+    return part.withColumn("content", F.unhex(text))
+
+
+def _images(t):
+    return _with_content(t["part"]).select("p_partkey", "content")
 
 
 @query(
@@ -62,7 +66,7 @@ FROM m JOIN f ON f.project = m.project AND f.path = m.path GROUP BY m.project, m
 def i_pick(t):
     size = F.col("p_size") % 3
     name = F.when(size == 0, "png").when(size == 1, "jpeg").otherwise(F.concat(F.lit("bin"), F.col("p_partkey").cast("string")))
-    files = t["part"].join(_images(t), "p_partkey").select(
-        F.col("p_brand").alias("project"), F.concat("p_brand", F.lit("/thumbnail."), name).alias("path"), "content"
-    )
-    return im.pick_images(files)
+    named = t["part"].select("p_partkey", F.col("p_brand").alias("project"), F.concat("p_brand", F.lit("/thumbnail."), name).alias("path"))
+    # The join moves what an image is made of; its bytes, a megabyte and more, are made behind it and are in no shuffle or sort.
+    files = _with_content(named.join(t["part"].select("p_partkey", "p_size", "p_name"), "p_partkey"))
+    return im.pick_images(files.select("project", "path", "content"))

@@ -413,3 +413,13 @@ def test_listing_at_many_times_shuffles_no_answer(spark):
         if broadcast_bytes:
             plan = listed._jdf.queryExecution().sparkPlan().toString()
             assert not any(step in plan.split("Join")[0] for step in ("Sort", "Exchange", "Aggregate"))
+
+
+def test_pick_images_sorts_no_content(spark, inputs):
+    """An image's bytes end before the rows are sorted, shuffled or aggregated."""
+    from cairnframe.plans import images as plans
+
+    for picked in (im.pick_images(spark.createDataFrame([("p", "a.bin", b"x")], "project string, path string, content binary")), plans.i_pick(inputs)):
+        nodes = picked._jdf.queryExecution().sparkPlan().toString().split("\n")
+        heavy = [n for n in nodes if any(step in n for step in ("Aggregate", "Exchange", "Sort"))]
+        assert heavy and not any("content#" in n or "unhex" in n for n in heavy)
