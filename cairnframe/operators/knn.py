@@ -140,9 +140,12 @@ class _TopK:
         self.rows = self.scores = self.ids = None
         self.floor = np.full(len(queries), -np.inf)  # signed k-th best so far
 
-    def add(self, ids: np.ndarray, p: np.ndarray, side, hidden: tuple[np.ndarray, np.ndarray], allowed=None) -> None:
-        """Take in a batch of points (``side``: as :func:`_side` has them) for all queries, without the ``hidden`` (rows, columns) and with only those that ``allowed`` says."""
-        rows, cols = self._shortlist(p, hidden, allowed, side)
+    def add(self, ids: np.ndarray, p: np.ndarray, side, hidden: tuple[np.ndarray, np.ndarray], allowed=None, repeats: int = 1) -> None:
+        """Take in a batch of points (``side``: as :func:`_side` has them) for all queries, without the ``hidden`` (rows, columns) and with only those that ``allowed`` says.
+
+        Enough points are shortlisted for ``k`` different ids where an id comes up to ``repeats`` times.
+        """
+        rows, cols = self._shortlist(p, hidden, allowed, side, repeats)
         self.add_pairs(ids, p, rows, cols)
 
     def add_pairs(self, ids: np.ndarray, p: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> None:
@@ -172,7 +175,7 @@ class _TopK:
         keep = place < self.k[rows]
         self.rows, self.ids, self.scores = rows[keep], ids[keep], scores[keep]
 
-    def _shortlist(self, p: np.ndarray, hidden: tuple[np.ndarray, np.ndarray], allowed, side) -> tuple[np.ndarray, np.ndarray]:
+    def _shortlist(self, p: np.ndarray, hidden: tuple[np.ndarray, np.ndarray], allowed, side, repeats) -> tuple[np.ndarray, np.ndarray]:
         floor = self.floor.copy()
         if self.metric == "Manhattan":
             approx = -np.stack([np.abs(p - row).sum(axis=1) for row in self.q])
@@ -192,7 +195,7 @@ class _TopK:
         sizes = np.ceil(np.log2(self.k[fresh]))
         for size in np.unique(sizes):
             alike = fresh[sizes == size]
-            place = approx.shape[1] - int(self.k[alike].max())
+            place = approx.shape[1] - int(self.k[alike].max()) * repeats
             if place > 0:
                 floor[alike] = np.partition(approx[alike], place, axis=1)[:, place]
         rows, cols = np.divmod(np.flatnonzero(approx >= (floor - margin)[:, None]), approx.shape[1])
@@ -472,6 +475,7 @@ def _broadcast_top(points, queries, table: pa.Table, pairs: pa.Table | None, met
                     held = family.cells(p, False)
                     order = np.argsort(held, axis=None, kind="stable")
                     numbers = held.ravel()[order]
+                repeats = int(np.unique(ids, return_counts=True)[1].max()) if family else 1
                 for lo, top in zip(range(0, len(q), step), tops):
                     mine = slice(*np.searchsorted(hidden_rows, [lo, lo + step]))
                     hidden = hidden_rows[mine] - lo, hidden_cols[mine]
@@ -485,7 +489,7 @@ def _broadcast_top(points, queries, table: pa.Table, pairs: pa.Table | None, met
                             top.add_pairs(ids, p, both // len(ids), both % len(ids))
                             continue
                         allowed = _SameCell(own, held)
-                    top.add(ids, p, side, hidden, allowed)
+                    top.add(ids, p, side, hidden, allowed, repeats)
         for lo, top in zip(range(0, len(q), step), tops):
             yield from _as_batches(top, ids_of_queries.slice(lo, step), schema)
 

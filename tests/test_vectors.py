@@ -268,6 +268,13 @@ def test_ann_scores_wide_and_narrow_cells_alike(spark, bits):
         assert "CoGroup" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_ann_counts_a_repeated_point_once(spark):
+    vectors = np.random.default_rng(14).normal(size=(60, 4))
+    p, q = make_points(spark, vectors, 1), make_queries(spark, vectors[:9])
+    once, twice = (nn.ann_join(points, q, 6, bits=1, bands=8) for points in (p, p.union(p).coalesce(1)))
+    assert rows(once) == rows(twice) and once.count() == 54
+
+
 def test_a_kept_neighbour_takes_few_bytes():
     """What a task keeps for a neighbour: its query's row, its id and its score."""
     ids = nn._ids(pa.array([f"00000000-0000-4000-8000-{i:012d}" for i in range(9)] + ["\u00e9"]))
