@@ -37,6 +37,23 @@ def test_view_of_a_hot_session(spark):
     assert up.finalize_check(sessions, files).filter("error IS NOT NULL").count() == 1
 
 
+def test_view_moves_only_what_it_shows(spark):
+    files = spark.range(40).selectExpr(
+        "id % 6 AS session_id", "id AS ordinal", "concat('f', id) AS file_name", "concat('t', id) AS target_path", "1L AS size",
+        "CAST(NULL AS string) AS checksum", "CAST(NULL AS string) AS drs_object_id", "CASE WHEN id = 3 THEN 'collision' ELSE 'pending_upload' END AS status", "'' AS error",
+    )
+    given = files.filter("ordinal % 2 = 0").selectExpr("session_id", "target_path", "2L AS size", "'c' AS checksum", "'d' AS drs_object_id", "1L AS ordinal")
+    attached = up.attach(files, given, "ordinal")
+    sessions = files.select("session_id").distinct().withColumn("project_id", F.lit("o/p"))
+    shown = ("session_id", "project_id", "ordinal", "target_path", "status", "collision", "has_conflicts", "error_type")
+    narrow = up.session_view(sessions, sessions, attached, ("ordinal", "target_path", "status"))
+    assert sorted(narrow.select(*shown).collect()) == sorted(up.session_view(sessions, sessions, attached).select(*shown).collect())
+    assert narrow.filter("status = 'uploaded'").count() == 20
+    assert not {"size", "checksum", "drs_object_id", "file_name", "error"} & set(narrow.columns)
+    plan = attached.select("session_id", "ordinal", "target_path", "status")._jdf.queryExecution().optimizedPlan().toString()
+    assert "drs_object_id" not in plan.split("Join")[0] and "_given" not in plan
+
+
 def test_hot_pending_key(spark):
     pending = spark.range(N).selectExpr("id", f"{HOT} AS installation_id", "1L AS repo_id", "CAST(NULL AS string) AS user_id")
     bad = st.uniqueness_violations(pending)
