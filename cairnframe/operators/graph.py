@@ -18,6 +18,8 @@ from ..sources.tables import stored
 # Labels of the graph.
 STUDY_LABEL = "ResearchStudy"
 ROOT_EDGE = "rootDir_Directory"
+# Requests of one directory, and its entries, that one task brings together.
+BLOCK_ROWS = 4_000
 
 
 def has_label(vertices: DataFrame, label: str) -> DataFrame:
@@ -132,10 +134,11 @@ def resolve_paths(vertices: DataFrame, edges: DataFrame, requests: DataFrame) ->
     One row per listed entry with ``matched`` true (its vertex is all NULL for an
     empty directory); one row with ``matched`` false for a directory that does
     not exist, and with ``error_type`` for a path that is not valid. Equal
-    (project, path) pairs are resolved once. At each path level the paths that are still
-    on their way, a small table, meet the edges by source and then the vertices by
-    target, so vertices are joined to reached ids only and no step reads the graph
-    into a shuffle where the paths are few.
+    (project, path) pairs are resolved once, and a directory is listed once however many paths lead to it.
+
+    The edges that a path can take, those to a vertex of an asked project and name, are worked out
+    first. The paths that are still on their way meet them by source, project and name at once, so a step
+    makes a row for a match, not for every entry of the directories on the way.
 
     The walk runs here, level by level, until no path goes deeper. Each level is
     written to the shared folder: it is computed once, its size is known to the
@@ -147,27 +150,29 @@ def resolve_paths(vertices: DataFrame, edges: DataFrame, requests: DataFrame) ->
     pairs = checked.filter("error_type IS NULL").select("project", "path").distinct()
     pairs = pairs.withColumn("_parts", F.when(F.col("path") == "/", F.array()).otherwise(segments(F.col("path"))))
     at_root = stored(pairs.join(roots(vertices, edges), "project"))
+    steps = stored(_steps(vertices, edges, at_root))
 
-    listed_roots = _below(at_root.filter(F.size("_parts") == 0), vertices, edges).filter(F.col("child_auth") == F.col("project"))
-    finished = [listed_roots.select("project", "path", *_CHILD)]
+    ended = [at_root.filter(F.size("_parts") == 0).select("project", "path", "id", F.lit(True).alias("_root"))]
     frontier = at_root.filter(F.size("_parts") > 0).select("project", "path", "_parts", "id")
     depth = 0
     while not frontier.isEmpty():
-        own = (F.col("child_name") == F.get("_parts", F.lit(depth))) & (F.col("child_auth") == F.col("project"))
-        reached = _below(frontier, vertices, edges).filter(own)
+        asking = frontier.withColumn("_name", F.get("_parts", F.lit(depth)))
+        reached = asking.join(steps, ["id", "project", "_name"])
         reached = stored(reached.select("project", "path", "_parts", F.col("child_id").alias("id")))
         depth += 1
-        ended = reached.filter(F.size("_parts") == depth)
-        entries = stored(_below(ended, vertices, edges).select("project", "path", "id", *_CHILD))
-        empty = ended.join(entries.select("id").distinct(), "id", "left_anti")
-        finished.append(entries.unionByName(empty.drop("_parts"), allowMissingColumns=True).select("project", "path", *_CHILD))
+        ended.append(reached.filter(F.size("_parts") == depth).select("project", "path", "id", F.lit(False).alias("_root")))
         frontier = reached.filter(F.size("_parts") > depth)
 
-    entries = stored(reduce(DataFrame.unionByName, finished))
-    listed = checked.join(entries, ["project", "path"]).withColumn("matched", F.lit(True))
-    found = entries.select("project", "path").distinct()
-    other = checked.join(found, ["project", "path"], "left_anti").withColumn("matched", F.lit(False))
-    return listed.unionByName(other, allowMissingColumns=True).select(
+    reached = reduce(DataFrame.unionByName, ended)
+    entries = stored(_below(reached.select("id").distinct(), vertices, edges).select("id", *_CHILD))
+    own = entries.select("id", F.col("child_auth").alias("project")).distinct()
+    found = stored(reached.filter("NOT _root").unionByName(reached.filter("_root").join(own, ["id", "project"], "left_semi")))
+    asked = checked.join(found, ["project", "path"])
+    listed = _listed(asked, entries).filter(~F.col("_root") | (F.col("child_auth") == F.col("project")))
+    empty = asked.join(entries.select("id").distinct(), "id", "left_anti")
+    matched = listed.unionByName(empty, allowMissingColumns=True).withColumn("matched", F.lit(True))
+    other = checked.join(found.select("project", "path").distinct(), ["project", "path"], "left_anti").withColumn("matched", F.lit(False))
+    return matched.unionByName(other, allowMissingColumns=True).select(
         "request_id",
         "project",
         "path",
@@ -180,6 +185,37 @@ def resolve_paths(vertices: DataFrame, edges: DataFrame, requests: DataFrame) ->
     )
 
 
+def _steps(vertices: DataFrame, edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """``id, project, _name, child_id``: the edges to vertices of a project and name that a row of ``asked`` has among its ``_parts``."""
+    wanted = asked.select("project", F.explode("_parts").alias("_name")).distinct()
+    named = vertices.select(F.col("id").alias("child_id"), F.col("auth_resource_path").alias("project"), F.col("name").alias("_name"))
+    return edges.select(F.col("src").alias("id"), F.col("dst").alias("child_id")).join(named.join(wanted, ["project", "_name"], "left_semi"), "child_id")
+
+
+def _listed(asked: DataFrame, entries: DataFrame) -> DataFrame:
+    """``asked`` rows with each of the ``entries`` of their ``id``.
+
+    The rows of a directory are as many as its requests times its entries, so both are cut
+    into blocks and every pair of blocks has a key of its own: no directory is one task's work, and what is
+    shuffled besides the two tables is a row for thousands of the answer.
+    """
+
+    def blocks(table: DataFrame, out: str) -> DataFrame:
+        return table.groupBy("id").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(out))
+
+    sizes = stored(blocks(asked, "_n_asked").join(blocks(entries, "_n_entries"), "id"))
+
+    def dealt(table: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        each = F.explode(F.sequence(F.lit(0), F.col(f"_n_{other}") - 1)).alias(f"_{other}")
+        block = F.pmod(F.xxhash64(key), F.col(f"_n_{own}")).alias(f"_{own}")
+        cut = table.join(sizes, "id").select(*table.columns, block, each)
+        # A number given here stays: planned by their bytes, blocks would be put together again.
+        return cut.repartition(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+    keys = ["id", "_asked", "_entries"]
+    return dealt(asked, "request_id", "asked", "entries").join(dealt(entries, "child_id", "entries", "asked"), keys).drop("_asked", "_entries")
+
+
 def parse_project_ids(ids: DataFrame, column: str) -> DataFrame:
     """Add ``resource_path`` of ``prog-proj`` ids, or ``error_type`` when there are not two parts."""
     bad = project_id_parts(F.col(column)).isNull()

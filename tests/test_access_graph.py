@@ -212,6 +212,49 @@ def test_resolve_paths_keeps_every_request(spark, graph):
     )
 
 
+def _most_joined(plan) -> int:
+    """The most rows that a join of an executed plan made."""
+    kind = plan.nodeName()
+    if kind == "AdaptiveSparkPlan":
+        return _most_joined(plan.executedPlan())
+    if "QueryStage" in kind:
+        return _most_joined(plan.plan())
+    below = plan.children()
+    own = plan.metrics().apply("numOutputRows").value() if "Join" in kind else 0
+    return max([own, *[_most_joined(below.apply(i)) for i in range(below.size())]])
+
+
+def test_resolve_paths_steps_make_a_row_for_a_match(spark, monkeypatch):
+    n = 60
+    names = [f"n{i}" for i in range(n)]
+    v = spark.createDataFrame([("s1", "ResearchStudy", "one", P1), ("r1", "Directory", "/", P1), ("data", "Directory", "data", P1), *[(k, "Directory", k, P1) for k in names]], "id string, label string, name string, auth_resource_path string")
+    e = spark.createDataFrame([("s1", "r1", "rootDir_Directory"), ("r1", "data", "c"), *[("data", k, "c") for k in names]], "src string, dst string, label string")
+    requests = spark.createDataFrame([(i, P1, f"/data/{k}") for i, k in enumerate(names)], "request_id long, project string, path string")
+    most, write = [], gr.stored
+
+    def seen(df):
+        df.collect()
+        most.append(_most_joined(df._jdf.queryExecution().executedPlan()))
+        return write(df)
+
+    monkeypatch.setattr(gr, "stored", seen)
+    assert rows(gr.resolve_paths(v, e, requests), "request_id", "matched", "id") == sorted(((i, True, None) for i in range(n)), key=repr)
+    assert max(most) <= 2 * n  # not every path with every entry of the directory that it passes
+
+
+def test_resolve_paths_in_blocks(spark, graph, monkeypatch):
+    """Repeated and null requests, two paths of one directory, a repeated edge and an empty directory, in blocks of two rows."""
+    monkeypatch.setattr(gr, "BLOCK_ROWS", 2)
+    v, e = graph
+    e = e.union(e.filter("dst = 'foo'"))
+    asked = [(1, P1, "/data"), (1, P1, "/data"), (None, P1, "/data/"), (2, P1, "/data/foo/leaf.txt"), (3, P1, "/"), (4, None, "/"), (5, P1, "/data/foo")]
+    requests = spark.createDataFrame(asked, "request_id long, project string, path string")
+    got = rows(gr.resolve_paths(v, e, requests), "request_id", "matched", "id")
+    listed = ["foo", "foo", "hidden"]
+    expected = [(i, True, x) for i in (1, 1, None) for x in listed] + [(2, True, None)] * 2 + [(3, True, "data"), (4, False, None)] + [(5, True, "leaf")] * 2
+    assert got == sorted(expected, key=repr)
+
+
 def test_list_projects_needs_a_root_edge(spark, graph):
     grants = spark.createDataFrame([(1, P1), (1, P2), (2, P2)], "user_id long, resource string")
     assert rows(gr.list_projects(*graph, grants)) == [(1, P1)]
