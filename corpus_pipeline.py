@@ -41,9 +41,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every text, its runners-up, and whether decoding gives the text back."""
+    """Piece ids of every text, its runners-up, and whether decoding gives the text back.
+
+    What encoding gives is written before it is decoded, so that a task has one Python worker at a time.
+    """
     words = vocabulary()
-    found = segmentation.segmented(docs, words, 4)
+    found = stored(segmentation.segmented(docs.select("doc_id", "lang", "source", "text"), words, 4))
     decoded = segmentation.decode(spark, words, F.col("encoded.ids"))
     return found.select(
         "doc_id",

@@ -104,3 +104,11 @@ def test_stages_on_edge_rows_and_empty_tables(spark, make):
         docs = docs_after
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR).collect()
     assert len(last) == docs.count() and all(r["round_trip"] for r in last)
+
+
+def test_a_task_of_the_last_stage_has_one_python_worker(spark):
+    """Encoding and decoding run one after the other: each Python step of a plan keeps a worker of its own in every running task."""
+    docs = spark.createDataFrame([(1, "a b", "en", "x", 3), (None, None, None, None, None), (1, "a b", "en", "x", 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.encode_texts(spark, docs, SF_DIR)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted((r["doc_id"] or 0, r["lang"] or "", r["n_pieces"] > 0, r["round_trip"]) for r in found.collect()) == [(0, "", False, True), (1, "en", True, True), (1, "en", True, True)]
