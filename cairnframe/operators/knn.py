@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -149,16 +150,21 @@ class _TopK:
         self.add_pairs(ids, p, rows, cols)
 
     def add_pairs(self, ids: np.ndarray, p: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> None:
-        """Take in the listed pairs of query rows and points."""
-        scores = np.empty(len(rows))
+        """Take in the listed pairs of query rows and points, a part at a time: where very many points tie, they are not all held."""
         step = max(1, RESCORE_CELLS // max(1, p.shape[1]))
+        found, n_found = [], 0
         for at in range(0, len(rows), step):
-            part = slice(at, at + step)
-            scores[part] = _pair_scores(self.q[rows[part]], p[cols[part]], self.metric)
-        # No score is above the floor by chance: what is below it cannot be among the best.
-        near = np.isfinite(scores) & (self.sign * scores >= self.floor[rows])
-        if near.any():
-            self._merge(rows[near], ids[cols[near]], scores[near])
+            some, of = rows[at : at + step], cols[at : at + step]
+            scores = _pair_scores(self.q[some], p[of], self.metric)
+            # No score is above the floor by chance: what is below it cannot be among the best.
+            near = np.isfinite(scores) & (self.sign * scores >= self.floor[some])
+            found.append((some[near], of[near], scores[near]))
+            n_found += len(found[-1][0])
+            # At least as many as are kept, so that these are not sorted for a few.
+            if n_found and (at + step >= len(rows) or n_found >= max(step, 0 if self.ids is None else len(self.ids))):
+                some, of, scores = (np.concatenate(part) for part in zip(*found))
+                found, n_found = [], 0
+                self._merge(some, ids[of], scores)
 
     def _merge(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         """Keep the best ``k`` per query of what was kept before and what was found."""
@@ -375,7 +381,7 @@ def _top_partial(points, queries, k: int | None, metric, exclude, broadcast_byte
     n_queries, n_kept = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.greatest("k", F.lit(1))), F.lit(0))).first()
     n_bytes, n_pairs = n_queries * row + n_kept * KEPT_BYTES, 0 if pairs is None else pairs.count()
     if n_bytes <= broadcast_bytes and n_pairs * PAIR_BYTES <= broadcast_bytes:
-        return _broadcast_top(points, queries, queries.toArrow(), None if pairs is None else pairs.toArrow(), metric, family)
+        return _broadcast_top(points, queries, queries.toArrow(), None if pairs is None else pairs.toArrow(), metric, family)[0]
     passes = max(1, -(-n_bytes // block_bytes), -(-n_pairs * PAIR_BYTES // max(broadcast_bytes, block_bytes)))
     at = F.pmod(F.xxhash64("query_id"), F.lit(passes)).alias("_pass")
     queries = stored(queries.select("*", at))
@@ -383,7 +389,9 @@ def _top_partial(points, queries, k: int | None, metric, exclude, broadcast_byte
     found = None
     for n in range(passes):
         asked, hidden = (None if t is None else t.filter(F.col("_pass") == n).drop("_pass").toArrow() for t in (queries, pairs))
-        part = stored(_broadcast_top(points, queries, asked, hidden, metric, family))
+        best, shared = _broadcast_top(points, queries, asked, hidden, metric, family)
+        part = stored(best)
+        shared.destroy()
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -442,8 +450,8 @@ def rank_per_query(scored: DataFrame, limit: int | None, metric: str = "Cosine")
     return ranked.withColumn("rank", F.col("rank").cast("bigint"))
 
 
-def _broadcast_top(points, queries, table: pa.Table, pairs: pa.Table | None, metric, family=None) -> DataFrame:
-    """The best per query and task, as many as its ``k``, with the query rows in ``table`` sent to every task.
+def _broadcast_top(points, queries, table: pa.Table, pairs: pa.Table | None, metric, family=None) -> tuple[DataFrame, Broadcast]:
+    """The best per query and task, as many as its ``k``, with the query rows in ``table`` sent to every task; and the broadcast.
 
     With a ``family``, only pairs that share a cell count. A batch of points meets the queries in steps: where cells
     are narrow their pairs are listed and scored, where they are wide one product scores all and only the
@@ -493,7 +501,7 @@ def _broadcast_top(points, queries, table: pa.Table, pairs: pa.Table | None, met
         for lo, top in zip(range(0, len(q), step), tops):
             yield from _as_batches(top, ids_of_queries.slice(lo, step), schema)
 
-    return points.mapInArrow(score, result)
+    return points.mapInArrow(score, result), shared
 
 
 def attach_points(ranked: DataFrame, points: DataFrame, with_payload: bool | None = None, with_vector: bool | None = None) -> DataFrame:

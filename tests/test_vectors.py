@@ -286,6 +286,30 @@ def test_a_kept_neighbour_takes_few_bytes():
     assert ids[4] not in top.ids[top.rows == 1] and set(top.ids[top.rows == 0]) == set(ids[:3])
 
 
+@pytest.mark.parametrize("metric", ["Cosine", "Euclid"])
+def test_points_that_tie_are_taken_in_parts(monkeypatch, metric):
+    """A large group of equal points is near every query; its pairs are not all held at once, and none is lost."""
+    monkeypatch.setattr(nn, "RESCORE_CELLS", 4 * 50)
+    merged, merge = [], nn._TopK._merge
+
+    def watched(self, rows, ids, scores):
+        merged.append(len(rows))
+        merge(self, rows, ids, scores)
+
+    monkeypatch.setattr(nn._TopK, "_merge", watched)
+    vectors = np.random.default_rng(15).normal(size=(400, 4))
+    vectors[::2] = vectors[0]
+    queries = np.vstack([vectors[0], np.random.default_rng(16).normal(size=(7, 4))])
+    top, ids = nn._TopK(queries, np.array([1, 5, 30, 9, 2, 300, 7, 3]), metric), nn._ids(pa.array([f"p{i:04d}" for i in range(400)]))
+    for part in (slice(200, 400), slice(0, 200)):
+        top.add(ids[part], vectors[part], nn._side(vectors[part], metric, False), (np.zeros(0, np.int64),) * 2)
+    for row, k in enumerate(top.k):
+        scores = nn._pair_scores(np.repeat(queries[row : row + 1], 400, axis=0), vectors, metric)
+        order = np.lexsort((ids, scores if metric == "Euclid" else -scores))[:k]
+        assert top.ids[top.rows == row].tolist() == ids[order].tolist()
+    assert max(merged) <= 50 + len(top.ids)
+
+
 # ---------------------------------------------------------------- points
 
 COLOURS = [
