@@ -32,6 +32,8 @@ PAIR_BYTES = 64
 # What an id takes besides its vector, and a kept neighbour.
 ID_BYTES = 64
 KEPT_BYTES = 64
+# What a condition of a query takes besides its text.
+CONDITION_BYTES = 16
 # Bounds on one scoring step inside a task.
 SCORE_CELLS = 1_000_000
 RESCORE_CELLS = 1_000_000
@@ -223,10 +225,17 @@ class _Filters:
         names = sorted({c for m in wanted for c in m})
         number = {c: i for i, c in enumerate(names)}
         self.names = pa.array(names, pa.string())
-        # Padded with the number of a condition that all points meet.
-        self.of = np.full((len(wanted), max(map(len, wanted), default=0)), len(names))
-        for row, conditions in enumerate(wanted):
-            self.of[row, : len(conditions)] = [number[c] for c in conditions]
+        # One list after the other, so that a query with very many conditions does not lengthen the others.
+        self.numbers = np.array([number[c] for m in wanted for c in m], np.int64)
+        self.starts = np.cumsum([0, *map(len, wanted)])
+
+    def of(self, low: int, high: int) -> np.ndarray:
+        """Conditions of some of the queries, padded with the number of a condition that all points meet."""
+        starts = self.starts[low : high + 1]
+        counts = np.diff(starts)
+        padded = np.full((len(counts), counts.max(initial=0)), len(self.names))
+        padded[np.arange(padded.shape[1]) < counts[:, None]] = self.numbers[starts[0] : starts[-1]]
+        return padded
 
     @property
     def points_at_once(self) -> int:
@@ -378,8 +387,11 @@ def _top_partial(points, queries, k: int | None, metric, exclude, broadcast_byte
     queries = queries.withColumn("k", F.lit(k).cast("long") if k is not None else F.col("k").cast("long"))
     pairs = None if exclude is None else exclude.select("query_id", "id").distinct()
     row = 8 * max(dim, 1) + ID_BYTES + (8 * family.bands if family else 0)
-    n_queries, n_kept = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.greatest("k", F.lit(1))), F.lit(0))).first()
-    n_bytes, n_pairs = n_queries * row + n_kept * KEPT_BYTES, 0 if pairs is None else pairs.count()
+    sent = F.lit(row)
+    if "must" in queries.columns:
+        sent += F.coalesce(F.aggregate("must", F.lit(0).cast("long"), lambda n, text: n + F.octet_length(text) + CONDITION_BYTES), F.lit(0))
+    n_sent, n_kept = queries.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in (sent, F.greatest("k", F.lit(1)))]).first()
+    n_bytes, n_pairs = n_sent + n_kept * KEPT_BYTES, 0 if pairs is None else pairs.count()
     if n_bytes <= broadcast_bytes and n_pairs * PAIR_BYTES <= broadcast_bytes:
         return _broadcast_top(points, queries, queries.toArrow(), None if pairs is None else pairs.toArrow(), metric, family)[0]
     passes = max(1, -(-n_bytes // block_bytes), -(-n_pairs * PAIR_BYTES // max(broadcast_bytes, block_bytes)))
@@ -487,7 +499,7 @@ def _broadcast_top(points, queries, table: pa.Table, pairs: pa.Table | None, met
                 for lo, top in zip(range(0, len(q), step), tops):
                     mine = slice(*np.searchsorted(hidden_rows, [lo, lo + step]))
                     hidden = hidden_rows[mine] - lo, hidden_cols[mine]
-                    allowed = None if filters is None else _Meeting(filters.of[lo : lo + step], met)
+                    allowed = None if filters is None else _Meeting(filters.of(lo, lo + step), met)
                     if family:
                         own = asked[lo : lo + step]
                         low, high = (np.searchsorted(numbers, own.ravel(), side) for side in ("left", "right"))

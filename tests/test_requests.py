@@ -1,7 +1,10 @@
 import json
 import math
+import os
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +146,35 @@ def test_points_are_read_once_for_any_number_of_filters(spark, keys):
     given = [{"vector": [1.0] * 4, "must": [(k, "1") for k in ("size", "color", "even", "n.k")[:keys]]} for _ in range(5)]
     plan = query_points(points, _requests(spark, *given))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_conditions_count_in_what_a_pass_takes(spark, monkeypatch):
+    """Conditions go to every task as vectors do; a task gets a bounded part of them at a time."""
+    points = _points(spark)
+    words = [[("tags", json.dumps(f"{'long' * 50}{i}-{j}")) for j in range(20)] for i in range(12)]
+    given = [{"vector": [1.0, 0.0, 0.0, 0.0], "limit": 3, "must": w if i % 2 else [("color", '"green"')]} for i, w in enumerate(words)]
+    whole = rows(query_points(points, _requests(spark, *given)), "query_id", "id", "rank")
+    sent, one_pass = [], knn._broadcast_top
+
+    def watched(points, queries, table, *rest):
+        sent.append(sum(len(t) for m in table.column("must").to_pylist() for t in m))
+        return one_pass(points, queries, table, *rest)
+
+    monkeypatch.setattr(knn, "_broadcast_top", watched)
+    files = len(os.listdir(spark.sparkContext._temp_dir))
+    got = query_points(points, _requests(spark, *given), broadcast_bytes=8 << 10, block_bytes=8 << 10)
+    assert rows(got, "query_id", "id", "rank") == whole and len(whole) == 18
+    assert len(sent) > 1 and max(sent) < sum(sent) / 2
+    assert len(os.listdir(spark.sparkContext._temp_dir)) == files
+
+
+def test_many_conditions_of_one_query_do_not_lengthen_the_others():
+    filters = knn._Filters([["a"], None, [f"c{i}" for i in range(1000)], ["b", "a", "a"]] + [["a"]] * 996)
+    assert sum(x.nbytes for x in vars(filters).values() if hasattr(x, "nbytes")) < 50_000
+    met = filters.met(pa.array([["a"], ["a", "b"], [f"c{i}" for i in range(1000)], None]))
+    expected = np.array([[True, True, False, False], [True] * 4, [False, False, True, False], [False, True, False, False]])
+    for low, high in ((0, 4), (0, 2), (1, 3), (3, 4)):
+        meeting = knn._Meeting(filters.of(low, high), met)
+        assert (meeting.all(np.arange(high - low)) == expected[low:high]).all()
+        r, c = np.divmod(np.arange(4 * (high - low)), 4)
+        assert (meeting.pairs(r, c) == expected[low:high].ravel()).all()
